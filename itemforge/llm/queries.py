@@ -48,6 +48,17 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemforge.llm.language import fold
+    from itemforge.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = train(docs.join(labels, "doc_id").where(fold("doc_id", 5) != 0))
+    out = score(docs.withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False))), model)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemforge.llm.pieces import encode
 
