@@ -9,12 +9,13 @@ one text. Texts with other white space go to the library as they are.
 from __future__ import annotations
 
 import os
-from itertools import filterfalse
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
 #: Chunks held by a worker before it starts anew (about 150 bytes each).
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 
@@ -51,11 +52,19 @@ class ChunkedEncoder:
         cache, words = self.cache, self.words
         todo, new = [], {}
         for c in chunks:
+            word = c.rstrip(MARKS)
+            if word.isalpha():
+                # Letters and then ASCII marks are two pieces; many marks follow the same letters.
+                parts = (" " + word,) if len(word) == len(c) else (" " + word, c[len(word) :])
+                todo.append((c, parts))
+                for x in parts:
+                    if x not in words:
+                        new[x] = None
+                continue
             s = self._spelling(c)
             if s is None or c[0] == "\0":
                 cache[c] = None if s is None else self._library([c[1:]])[0].tobytes()
                 continue
-            # Letters and then ASCII marks are two pieces, and many marks follow the same letters.
             word = s.rstrip(MARKS)
             parts = (word, s[len(word) :]) if word[1:].isalpha() and len(word) < len(s) else (s,)
             todo.append((c, parts))
@@ -85,20 +94,23 @@ class ChunkedEncoder:
             self.words.clear()
         for t in texts:
             # A NUL in the text would look like the mark of a first chunk.
-            parts = ("\0" + t.replace("\n", " \n")).split(" ") if t and "\0" not in t else None
-            cut.append(parts)
-            if parts:
-                missing.update(filterfalse(cache.__contains__, parts))
+            parts = ("\0" + t.replace("\n", " \n")).split(" ") if t and "\0" not in t else []
+            found = list(map(cache.get, parts))
+            if None in found:
+                missing.update(compress(parts, map(is_, found, repeat(None))))
+            cut.append((parts, found))
         if missing:
             self._learn(missing)
         out: list[np.ndarray | None] = []
         rest = []
-        for i, parts in enumerate(cut):
-            try:
-                out.append(np.frombuffer(b"".join(map(cache.__getitem__, parts)), dtype="<u4"))
-            except TypeError:  # no cut was possible: parts is None, or a chunk's ids are
+        for i, (parts, found) in enumerate(cut):
+            if None in found:
+                found = [cache[p] if f is None else f for p, f in zip(parts, found, strict=True)]
+            if not parts or None in found:  # the text couldn't be cut
                 out.append(None)
                 rest.append(i)
+            else:
+                out.append(np.frombuffer(b"".join(found), dtype="<u4"))
         for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
             out[i] = ids
         return out

@@ -48,6 +48,22 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemforge.llm.sharding import shard
+
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law")
+    )
+    return shard(docs, 16).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemforge.llm.metric_join import near_components
+
+    return near_components(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemforge.llm.language import fold
     from itemforge.llm.quality import score, train
