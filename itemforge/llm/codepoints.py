@@ -47,9 +47,11 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(8)
 def _powers(base: int, size: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(size - 1, base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    factors = np.full(size, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

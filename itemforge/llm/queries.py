@@ -88,6 +88,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemforge.llm.near_dup import near_components
+
+    return near_components(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
