@@ -149,7 +149,7 @@ def _edges(features: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate([quantiles, steps]), axis=0).T
 
 
-def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 300, rate: float = 0.2, ridge: float = 1e-5) -> Crf:
+def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 120, rate: float = 0.2, ridge: float = 1e-5) -> Crf:
     """Maximum likelihood with a ridge, by Adam. labels: one for each document."""
     prior = float(labels.mean()) if len(labels) else 0.5
     wide = len(FEATURES)
