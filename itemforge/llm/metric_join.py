@@ -5,8 +5,9 @@ hash-chosen, bounded number) split the vectors into cells of the nearest pivot.
 to every other cell that could hold a partner: y nearer to p_j than to p_i, within r of x, forces
 |x - p_j| - |x - p_i| <= 2r, and, in the plane of the two pivots,
 (|x - p_j|^2 - |x - p_i|^2) / (2 |p_i - p_j|) <= r; both follow from the triangle inequality. Cells
-join on their own, each pair being kept in the cell of its smaller member's home. A cell above
-TILE rows is cut into tiles whose pairs join apart, so no task holds a large cell.
+join on their own: the rows at home in a cell meet all rows sent to it, and a pair is kept in the
+home cell of its smaller member. A cell above TILE rows is cut into tiles whose pairs join apart, so
+no task holds a large cell.
 
 A tile pair returns, for each vector, the number of its links, and only as many links as connect
 what it found connected; all pairs are never emitted.
@@ -97,33 +98,39 @@ def near_links(vectors: DataFrame, cosine: float) -> DataFrame:
     kind = vectors.schema["label"].dataType.simpleString()
     placed = materialize(vectors.select("row", "label", "w", "embedding").mapInPandas(assign, f"label {kind}, dim int, cell int, home int, row long, w long, embedding array<double>"), "cells")
     keys = ["label", "dim", "cell"]
-    tiles = placed.groupBy(*keys).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    placed = placed.join(tiles, keys).withColumn("tile", F.pmod(F.xxhash64("row", F.lit(7)), F.col("tiles")).cast("int"))
-    # Each row meets every tile of its cell once: (i, j) with i <= j, its own tile on either side.
-    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    placed = placed.withColumn("other", every).withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
+    own = F.col("home") == F.col("cell")
+    tiles = placed.groupBy(*keys).agg(
+        F.ceil(F.count("*") / TILE).cast("int").alias("all_tiles"), F.ceil(F.count_if(own) / TILE).cast("int").alias("own_tiles")
+    )
+    placed = placed.join(tiles, keys)
+
+    def spread(side: int, rows: DataFrame, mine: str, theirs: str) -> DataFrame:
+        tile = F.pmod(F.xxhash64("row", F.lit(7)), F.col(f"{mine}_tiles")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.col(f"{theirs}_tiles") - 1))
+        rows = rows.where(F.col("own_tiles") > 0).withColumn("tile", tile).withColumn("other", other).withColumn("side", F.lit(side))
+        return rows.select(*keys, (F.col("tile") if side == 0 else F.col("other")).alias("i"), (F.col("other") if side == 0 else F.col("tile")).alias("j"), "side", "row", "w", "embedding")
+
+    # Home rows of the cell (side 0, tile i) meet all of its rows (side 1, tile j), each pair of
+    # tiles in a task of its own: never more comparisons than without cells.
+    dealt = spread(0, placed.where(own), "own", "all").union(spread(1, placed, "all", "own"))
 
     def join(key, pdf):
-        i, j, cell = key[3], key[4], key[2]
-        left = pdf[pdf["tile"] == i].sort_values("row")
-        right = left if i == j else pdf[pdf["tile"] == j].sort_values("row")
+        left, right = (pdf[pdf["side"] == k].sort_values("row") for k in (0, 1))
         if left.empty or right.empty:
             return pd.DataFrame(columns=["a", "b", "kind", "n"]).astype("int64")
-        x, y = _unit(list(left["embedding"])), _unit(list(right["embedding"]))
         rx, ry = left["row"].to_numpy(), right["row"].to_numpy()
-        at, to = np.nonzero(x @ y.T >= cosine)
-        low_is_x = rx[at] < ry[to]
-        low_home = np.where(low_is_x, left["home"].to_numpy()[at], right["home"].to_numpy()[to])
-        mine = (low_home == cell) & (rx[at] != ry[to]) & (low_is_x if i == j else True)
-        a, b = rx[at][mine], ry[to][mine]
+        near = _unit(list(left["embedding"])) @ _unit(list(right["embedding"])).T >= cosine
+        # A pair is found in the home cell of its smaller member, and there only.
+        at, to = np.nonzero(near & (rx[:, None] < ry))
+        a, b = rx[at], ry[to]
         # A link to a class of equal vectors counts as many times as the class has rows.
-        weight = np.concatenate([right["w"].to_numpy()[to][mine], left["w"].to_numpy()[at][mine]])
+        weight = np.concatenate([right["w"].to_numpy()[to], left["w"].to_numpy()[at]])
         rows, where = np.unique(np.concatenate([a, b]), return_inverse=True)
         n = np.bincount(where, weight, len(rows)).astype(np.int64)
         keep = spanning(a, b)
         return pd.DataFrame({"a": np.concatenate([rows, a[keep]]), "b": np.concatenate([rows, b[keep]]), "kind": np.repeat([0, 1], [len(rows), len(keep)]), "n": np.concatenate([n, np.ones(len(keep), np.int64)])})
 
-    return placed.groupBy(*keys, "i", "j").applyInPandas(join, LINKS)
+    return dealt.groupBy(*keys, "i", "j").applyInPandas(join, LINKS)
 
 
 def near_components(df: DataFrame, cosine: float = 0.98) -> DataFrame:
