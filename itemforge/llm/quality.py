@@ -5,8 +5,8 @@ lines before and after it; neighbouring labels share learned transition weights.
 labelled document carries that document's label in training. A document's quality is the mean of
 its lines' forward-backward marginals of "good", weighted by line length.
 
-Training takes the lines' features of at most about MAX_TRAIN labelled documents, chosen by a hash
-of doc_id, to the driver (a few numbers a line); scoring is one pass over all texts without a
+Training takes the lines' features of at most about MAX_TRAIN labelled documents and MAX_TRAIN_LINES
+lines, chosen by a hash of doc_id, to the driver (a few numbers a line); scoring is one pass over all texts without a
 shuffle. Null texts are empty ones: a single empty line, scored like any other. Without both labels
 in the training rows, every score is the share of label 1 (0.5 without any). Repeated rows stay
 apart; columns other than those named are carried along.
@@ -193,12 +193,18 @@ def score_texts(model: Crf, texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
     return np.bincount(doc, p * weight, len(texts)) / np.bincount(doc, weight, len(texts)), p, counts
 
 
-def train(labelled: DataFrame, max_docs: int = MAX_TRAIN, max_lines: int = MAX_TRAIN_LINES) -> Crf:
-    """labelled: doc_id, text, quality (0 or 1). Rows without a label are left out."""
-    rows = labelled.where("quality is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
-    n, lines = rows.agg(F.count("*"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()
-    share = min(1.0, max_docs / max(n, 1), max_lines / max(lines or 1, 1))
-    rows = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else F.lit(True))
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN, max_lines: int = MAX_TRAIN_LINES) -> Crf:
+    """docs: doc_id, text; labels: doc_id, quality (0 or 1; null labels are left out).
+
+    The labels are thinned to about max_docs before the join, so that side is bounded and broadcast
+    and the documents don't move; long documents thin them once more, to about max_lines lines."""
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    labels = labels.where("quality is not null").select("doc_id", "quality")
+    share = min(1.0, max_docs / max(labels.count(), 1))
+    few = labels.where(chosen < int(share * (1 << 20))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    lines = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    rows = rows.where(chosen < int(share * min(1.0, max_lines / lines) * (1 << 20)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

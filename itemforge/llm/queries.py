@@ -70,7 +70,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = train(docs.join(labels, "doc_id").where(fold("doc_id", 5) != 0))
+    model = train(docs, labels.where(fold("doc_id", 5) != 0))
     out = score(docs.withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False))), model)
     return out.select("doc_id", "held_out", "score", "predicted")
 
