@@ -25,8 +25,7 @@ from itemforge.llm.secrets import find_secrets
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("__quality"))
-    model = train(docs.select("doc_id", "text").join(labels, "doc_id").withColumnRenamed("__quality", "quality"))
+    model = train(docs, table(spark, sf_dir, "labels"))
     scored = score(docs.select(*(F.col(f"`{c}`").alias(f"__{c}") for c in docs.columns)), model, text="__text")
     return scored.where("predicted = 1").select(*(F.col(f"`__{c}`").alias(c) for c in docs.columns))
 
