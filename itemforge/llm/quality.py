@@ -34,6 +34,13 @@ STOPS = [ord(c) for c in ".,;:?'\"()-"]
 BAR = ord("|")
 
 
+def _as_before(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which words equal the word before them on the same line."""
+    out = np.zeros(len(h), bool)
+    out[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
+    return out
+
+
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features: lines x FEATURES, line lengths, lines of each document)."""
     points, starts, ends = cp.join(texts)
@@ -59,11 +66,11 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     line = np.searchsorted(start, a, side="right") - 1
     words = np.bincount(line, minlength=len(start))
     h = cp.run_hashes(points, a, b)
-    same = np.concatenate([[False], (h[1:] == h[:-1]) & (line[1:] == line[:-1])])
+    same = _as_before(h, line)
     repeats = np.bincount(line[same], minlength=len(start))
     # Repeats at any distance in the line: words less distinct words.
     key = np.lexsort((h, line))
-    again = np.concatenate([[False], (h[key][1:] == h[key][:-1]) & (line[key][1:] == line[key][:-1])])
+    again = _as_before(h[key], line[key])
     word_repeats = np.bincount(line[key][again], minlength=len(start))
     w = np.maximum(words, 1)
     features = np.stack(

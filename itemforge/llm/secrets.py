@@ -149,6 +149,10 @@ def scan(texts: pa.StringArray) -> list[list[tuple[str, int, int, int]]]:
     return out
 
 
+def scan_one(text: str | None) -> list[tuple[str, int, int, int]]:
+    return scan(pa.array([text], pa.string()))[0]
+
+
 def find_secrets(df: DataFrame, text: str = "text", spans: str = "secrets", redacted: str | None = None) -> DataFrame:
     """df with an array of the spans found in its text; with redacted, also the text in which each
     secret value has become [REDACTED] (a null text stays null)."""
