@@ -108,5 +108,54 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+LINKED_SQL = """
+reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+component AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
+"""
+
+OP6_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0
+), u AS (SELECT id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+edges AS (
+  SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.label = y.label AND x.id <> y.id
+  WHERE list_dot_product(x.e, y.e) / x.norm / y.norm >= 0.98
+), nodes AS (SELECT vec_id AS id FROM embeddings), {LINKED_SQL}
+SELECT c.id AS vec_id, count(e.a) AS n_links, c.component_id, c.id = c.component_id AS kept
+FROM component c LEFT JOIN edges e ON e.a = c.id GROUP BY c.id, c.component_id
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), sets AS (
+  SELECT id, list_distinct(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda k: array_to_string(words[k : k + 2], ' '))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS s FROM w
+), each AS (SELECT id, len(s) AS n, unnest(s) AS x FROM sets),
+shared AS (SELECT p.id AS a, q.id AS b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS common FROM each p JOIN each q ON p.x = q.x AND p.id <> q.id GROUP BY p.id, q.id),
+edges AS (SELECT a, b FROM shared WHERE 100 * common >= 85 * (na + nb - common)),
+nodes AS (SELECT id FROM sets), {LINKED_SQL}
+SELECT s.id AS doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.id = c.component_id AS kept FROM sets s JOIN component c ON c.id = s.id
+"""
+
+OP10_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {OP10_WORDS} AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {OP10_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+wins AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM b)),
+grams AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM wins))),
+hits AS (SELECT doc_id, item_id, k, n FROM grams JOIN wins USING (n, g)),
+spots AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS spot FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; the others are tested against brute force."""
+    return {"op6_embedding_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL, "op10_decontamination": OP10_SQL}
