@@ -1,6 +1,6 @@
 """Token counts (operator 1): find end-of-document ids in flat, unindexed token files.
 
-A flat file is a run of little-endian 32-bit ids, each document ended by the separator id. It is
+A flat file is a run of little-endian ids of 16 or 32 bits, each document ended by the separator id. It is
 scanned in fixed-size blocks that know nothing of documents. In each block one vectorised search
 finds the separators; counts of whole documents come out at once, and the ids before the first and
 after the last separator are stitched to the neighbouring blocks by a prefix scan over the blocks'
@@ -8,7 +8,7 @@ summaries (one small row a block).
 
 Empty documents are a separator alone (0 ids before it). Ids after a file's last separator are an
 unended document, counted with ended = false. A file without ids has no documents. Null texts are
-empty; null doc_ids sort first; repeated rows stay apart; an empty table gives no rows.
+empty; null doc_ids are counted like others; repeated rows stay apart; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,22 +21,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemforge.llm.bpe_cache import encoder
-from itemforge.llm.common import scratch_path, text_or_empty
+from itemforge.llm.common import materialize, scratch_path, text_or_empty
 
 BLOCK_IDS = 1 << 18
 FLAT = "kind string, file int, block int, n long, payload binary"
 
 
-def flat_blocks(spark: SparkSession, glob: str, block_ids: int = BLOCK_IDS) -> DataFrame:
+def flat_blocks(spark: SparkSession, glob: str, block_ids: int = BLOCK_IDS, dtype: str = "<u4") -> DataFrame:
     """Blocks (file, block, payload) of flat files in any store that Spark reads. file is the path."""
 
+    step = block_ids * np.dtype(dtype).itemsize
+
     def cut(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 data = memoryview(content.as_buffer())
-                for k, at in enumerate(range(0, len(data), 4 * block_ids)):
+                for k, at in enumerate(range(0, len(data), step)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([path]), pa.array([k], pa.int32()), pa.array([bytes(data[at : at + 4 * block_ids])])],
+                        [pa.array([path]), pa.array([k], pa.int32()), pa.array([bytes(data[at : at + step])])],
                         names=["file", "block", "payload"],
                     )
 
@@ -44,14 +46,14 @@ def flat_blocks(spark: SparkSession, glob: str, block_ids: int = BLOCK_IDS) -> D
     return files.mapInArrow(cut, "file string, block int, payload binary")
 
 
-def scan_blocks(blocks: DataFrame, separator: int) -> DataFrame:
+def scan_blocks(blocks: DataFrame, separator: int, dtype: str = "<u4") -> DataFrame:
     """(file, ordinal, n_tokens, ended) of every document in blocks (file, block, payload)."""
     kind = blocks.schema["file"].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = np.frombuffer(batch.column("payload")[i].as_buffer(), "<u4")
+                ids = np.frombuffer(batch.column("payload")[i].as_buffer(), dtype)
                 at = np.flatnonzero(ids == separator)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -66,11 +68,12 @@ def scan_blocks(blocks: DataFrame, separator: int) -> DataFrame:
                 )
 
     schema = f"file {kind.simpleString()}, block int, seps long, head long, tail long, whole array<bigint>"
-    found = blocks.select("file", "block", "payload").mapInArrow(scan, schema)
+    found = materialize(blocks.select("file", "block", "payload").mapInArrow(scan, schema), "separators")
+    # The scan over the blocks' summaries: a few numbers a block, never the documents' lengths.
     order = Window.partitionBy("file").orderBy("block")
     ahead = order.rowsBetween(Window.unboundedPreceding, -1)
     # group: separators-bearing blocks before this one; the open document began in the last of them.
-    stitched = found.withColumn("ordinal", F.coalesce(F.sum("seps").over(ahead), F.lit(0))).withColumn(
+    stitched = found.drop("whole").withColumn("ordinal", F.coalesce(F.sum("seps").over(ahead), F.lit(0))).withColumn(
         "grp", F.coalesce(F.sum((F.col("seps") > 0).cast("long")).over(ahead), F.lit(0))
     )
     open_ = Window.partitionBy("file", "grp").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,22 +83,24 @@ def scan_blocks(blocks: DataFrame, separator: int) -> DataFrame:
         # tail of the last block that has a separator, and all of the blocks without one since then
         F.coalesce(last_tail, F.lit(0)) + F.coalesce(F.sum(F.when(F.col("seps") == 0, F.col("tail"))).over(open_), F.lit(0)),
     ).withColumn("is_last", F.lead("block").over(order).isNull())
-    sizes = F.concat(
-        F.when(F.col("seps") > 0, F.array(F.col("carry") + F.col("head"))).otherwise(F.array().cast("array<bigint>")),
-        F.col("whole"),
-    )
+    sizes = F.concat(F.array(F.col("carry") + F.col("head")), F.col("whole"))
+    known = ["file", "block"]
+    lengths = found.where("seps > 0").select(*known, "whole").join(stitched.where("seps > 0"), known)
     rest = F.when(F.col("seps") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("tail"))
-    ended = stitched.select("file", "ordinal", F.posexplode(sizes).alias("k", "n_tokens"))
+    ended = lengths.select("file", "ordinal", F.posexplode(sizes).alias("k", "n_tokens"))
     left = stitched.where("is_last").where(rest > 0)
     return ended.select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended")).unionByName(
         left.select("file", (F.col("ordinal") + F.col("seps")).alias("ordinal"), rest.alias("n_tokens"), F.lit(False).alias("ended"))
     )
 
 
-def write_flat(docs: DataFrame, path: str, vocabulary: str, separator: int, files: int, block_ids: int = BLOCK_IDS) -> None:
-    """Encode (doc_id, text) in doc_id order into flat id runs cut into blocks (kind 'ids'), with
-    the order of the documents beside them (kind 'docs'), partitioned by kind."""
-    end = np.array([separator], "<u4").tobytes()
+def write_flat(docs: DataFrame, path: str, vocabulary: str, separator: int, block_ids: int = BLOCK_IDS, dtype: str = "<u4") -> None:
+    """Encode (doc_id, text) into flat id runs, one for each partition of docs as it stands (no
+    shuffle), cut into blocks (kind 'ids'), with the order of the documents beside them (kind
+    'docs'), partitioned by kind."""
+    size = np.dtype(dtype).itemsize
+    step = block_ids * size
+    end = np.array([separator], dtype).tobytes()
 
     def row(kind, file, block, n, payload):
         return pa.RecordBatch.from_arrays(
@@ -108,39 +113,39 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, separator: int, file
 
         file, block, seen = TaskContext.get().partitionId(), 0, 0
         enc, flat = encoder(vocabulary), bytearray()
+        if max(separator, enc.tokenizer.get_vocab_size() - 1) >> 8 * size:
+            raise ValueError(f"ids of this vocabulary don't fit {dtype}")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for ids in enc.encode(part.column("text").to_pylist()):
-                    flat += ids.tobytes()
+                    flat += ids.astype(dtype).tobytes()
                     flat += end
                 names = part.column("doc_id").to_numpy(zero_copy_only=False) if not part.column("doc_id").null_count else None
                 known = np.array([d is not None for d in part.column("doc_id").to_pylist()], "u1")
                 values = part.column("doc_id").fill_null(0).to_numpy() if names is None else names
                 yield row("docs", file, seen, part.num_rows, known.tobytes() + values.astype("<i8").tobytes())
                 seen += part.num_rows
-                while len(flat) >= 4 * block_ids:
-                    yield row("ids", file, block, block_ids, bytes(flat[: 4 * block_ids]))
-                    del flat[: 4 * block_ids]
+                while len(flat) >= step:
+                    yield row("ids", file, block, block_ids, bytes(flat[:step]))
+                    del flat[:step]
                     block += 1
         if flat:
-            yield row("ids", file, block, len(flat) // 4, bytes(flat))
+            yield row("ids", file, block, len(flat) // size, bytes(flat))
 
     (
         docs.select("doc_id", text_or_empty().alias("text"))
-        .repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .mapInArrow(encode, FLAT)
         .write.partitionBy("kind")
         .parquet(path)
     )
 
 
-def token_counts(docs: DataFrame, vocabulary: str, separator: int = 50256, files: int | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, separator: int = 50256, block_ids: int = BLOCK_IDS, dtype: str = "<u2") -> DataFrame:
     """(doc_id, file, ordinal, n_tokens) of every document, counted from flat token files."""
     spark = docs.sparkSession
     path = scratch_path(spark, "flat")
-    write_flat(docs, path, vocabulary, separator, files or int(spark.conf.get("spark.sql.shuffle.partitions")), block_ids)
+    write_flat(docs, path, vocabulary, separator, block_ids, dtype)
     stored = spark.read.schema("file int, block int, n long, payload binary, kind string").option("basePath", path).parquet(path)
 
     def names(batches):
@@ -159,5 +164,5 @@ def token_counts(docs: DataFrame, vocabulary: str, separator: int = 50256, files
                 )
 
     ids = stored.where("kind = 'docs'").select("file", "block", "n", "payload").mapInArrow(names, "file int, ordinal long, doc_id long")
-    counts = scan_blocks(stored.where("kind = 'ids'").select("file", "block", "payload"), separator)
+    counts = scan_blocks(stored.where("kind = 'ids'").select("file", "block", "payload"), separator, dtype)
     return ids.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")

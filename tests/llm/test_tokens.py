@@ -100,7 +100,7 @@ def test_wavelet_small_blocks(spark, documents, tmp_path):
 def test_token_counts(odd, library, block_ids):
     few = odd.where("doc_id is null or doc_id <> 6") if block_ids == 1 else odd
     want = sorted((r.doc_id or 0, n) for r, n in ((r, len(library([r.text])[0])) for r in few.select("doc_id", "text").collect()))
-    got = separators.token_counts(few, VOCAB, files=2, block_ids=block_ids)
+    got = separators.token_counts(few.repartition(2), VOCAB, block_ids=block_ids)
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got.collect()) == want
 
 
