@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,16 +53,13 @@ MAX_BROADCAST_RULES = 100_000
 
 
 def tag_by_table(questions: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
-    """(key, removed_reason) with rules held in a table. A counted, small rule table is broadcast
-    to a nested loop; a larger one meets the items by chapter, which rules without one don't have."""
+    """(key, removed_reason) with rules held in a table: the stated rules against all items, in
+    blocks of counted size, each broadcast to one pass over the items."""
     left = questions.select(key, F.col("chapter").alias("c"), F.lower("question").alias("t"))
-    fits = F.contains(F.col("t"), F.col("keyword"))
-    if rules.count() <= MAX_BROADCAST_RULES:
-        hits = left.join(F.broadcast(rules), (F.col("chapter").isNull() | (F.col("chapter") == F.col("c"))) & fits)
-    else:
-        every = left.select("c").distinct().join(rules.where("chapter is null").drop("chapter").withColumn("__one", F.lit(1)), F.col("__one") == 1)
-        own = rules.where("chapter is not null").withColumnRenamed("chapter", "c")
-        hits = left.join(own.unionByName(every.drop("__one")), "c").where(fits)
+    applies = (F.col("chapter").isNull() | (F.col("chapter") == F.col("c"))) & F.contains(F.col("t"), F.col("keyword"))
+    blocks = max(1, -(-rules.count() // MAX_BROADCAST_RULES))
+    block = F.pmod(F.xxhash64("rule_ord", "kw_ord"), F.lit(blocks))
+    hits = reduce(DataFrame.union, (left.join(F.broadcast(rules.where(block == k)), applies) for k in range(blocks)))
     first = hits.groupBy(key).agg(F.min_by("label", F.struct("rule_ord", "kw_ord")).alias("removed_reason"))
     return questions.select(key).join(first, key, "left")
 

@@ -29,6 +29,6 @@ def chapter_progress(chapters: DataFrame, questions: DataFrame, solved: DataFram
 
 def overall_progress(questions: DataFrame, solved: DataFrame) -> DataFrame:
     """The size of the set against all questions; stale ids count, so it may pass 100."""
-    total = questions.agg(F.count("*").alias("total"))
-    sets = solved.agg(F.countDistinct("id").alias("solved"))
-    return sets.crossJoin(total).select("solved", "total", percent(F.col("solved"), F.col("total")).alias("pct"))  # one row each
+    rows = solved.select("id").distinct().select(F.lit(True).alias("done")).union(questions.select(F.lit(False).alias("done")))
+    counts = rows.agg(F.count_if("done").alias("solved"), F.count_if(~F.col("done")).alias("total"))
+    return counts.withColumn("pct", percent(F.col("solved"), F.col("total")))

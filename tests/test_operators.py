@@ -100,8 +100,8 @@ def test_rules(spark, few):
     assert [r.removed_reason for r in rules.reason_counts(tagged).collect()] == ["Potentiometer", "Carbon Resistors & Colour Code"]
 
 
-def test_rules_beyond_broadcast(spark, few, monkeypatch):
-    monkeypatch.setattr(rules, "MAX_BROADCAST_RULES", 0)
+def test_rules_in_blocks(spark, few, monkeypatch):
+    monkeypatch.setattr(rules, "MAX_BROADCAST_RULES", 1)
     own = [("Current Electricity", ["potentiometer"], "P"), (None, ["flux"], "F")]
     got = {tuple(r) for r in rules.tag_by_table(few, rules.rule_table(spark, own)).collect()}
     assert got == {("a-1", "F"), ("a-2", None), ("c-1", "P"), ("c-2", "P")}
