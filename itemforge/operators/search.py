@@ -42,10 +42,11 @@ def search(questions: DataFrame, chapter=None, year=None, marks=None, text=None,
     return page(matching(questions, chapter, year, marks, text), number, size)
 
 
-def chapter_matching(questions: DataFrame, chapter: str, marks=None, year=None, text: str = "") -> DataFrame:
+def chapter_matching(questions: DataFrame, chapter: str | None, marks=None, year=None, text: str = "") -> DataFrame:
     """Within a chapter: with no criteria everything; a blank needle is none, another isn't trimmed."""
     needle = text if text.strip() else None
-    return questions.where(reduce(Column.__and__, _conditions("question", "chapter", "year", "marks", chapter, year, marks, needle)))
+    found = _conditions("question", "chapter", "year", "marks", chapter, year, marks, needle)
+    return questions.where(reduce(Column.__and__, found)) if found else questions
 
 
 def chapter_page(questions: DataFrame, chapter: str, marks=None, year=None, text: str = "", number: int = 1, size: int = CHAPTER_PAGE) -> DataFrame:

@@ -14,6 +14,7 @@ from itemforge.functions import labels as lab
 from itemforge.functions import markup as mk
 from itemforge.functions import text as tx
 from itemforge.operators import generation, match, rules, scan, search, state, summary
+from itemforge.plans.bank import ItemBank
 from itemforge.sources.bank import text_lines
 
 QUERIES: dict = {}
@@ -336,6 +337,24 @@ def toggle_counts(spark, sf):
     return t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), (F.count("*") % 2 == 1).alias("on_"))
 
 
+def bank_of(spark: SparkSession, sf: str) -> ItemBank:
+    q = items(spark, sf).withColumns({"year": F.lit(0), "marks": (F.col("n_chars") % 5 + 1).cast("int"), "answer": F.lit(None).cast("string")})
+    return ItemBank.of(q)
+
+
+@query("SELECT doc_id AS ord, lang AS chapter FROM documents WHERE lang = 'de' AND n_chars % 5 + 1 = 3 ORDER BY doc_id LIMIT 40")
+def bank_chapter_page(spark, sf):
+    return bank_of(spark, sf).chapter_page("de", marks="3", page=2).select("ord", "chapter")
+
+
+@query(
+    "SELECT lang AS name, count(*) AS count, '0–0' AS year_range, count(*) FILTER (n_chars % 5 = 0) > 0 AS has_1, count(*) FILTER (n_chars % 5 = 1) > 0 AS has_2, "
+    "count(*) FILTER (n_chars % 5 = 2) > 0 AS has_3, count(*) FILTER (n_chars % 5 = 4) > 0 AS has_5 FROM documents GROUP BY 1"
+)
+def bank_summary(spark, sf):
+    return bank_of(spark, sf).summary().select("name", "count", "year_range", "has_1", "has_2", "has_3", "has_5")
+
+
 MARKUP_ROWS = ["235 92 U", "1 √ LC", "V0 √ 2", "XL", "3 × 108 m/s", "π 3", "2π 3", "α β", "αβ", "ω0", "∑", "30°", "", None]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from itemforge.operators import generation, match, rules, scan, search, state, summary
 from itemforge.plans import catalogue
+from itemforge.plans.bank import ItemBank
 from itemforge.plans.pipeline import build, extract
 from itemforge.sources import bank
 from itemforge.streaming import toggles
@@ -204,3 +205,17 @@ def test_build(spark):
     bank_rows, chapters = build(pages, papers, listed)
     assert {r.id: r.answer for r in bank_rows.collect()}["atoms-2"] == r"$\frac{V_0}{\sqrt{2}}$"
     assert chapters.first()["count"] == 3
+
+
+def test_bank_object(spark, few, tmp_path):
+    b = ItemBank.of(few)
+    assert [r.slug for r in b.all_chapters().collect()] == ["current-electricity", "atoms"]
+    assert [r.id for r in b.chapter_page("atoms", year="2019").collect()] == ["a-1"]
+    assert b.chapter_page("unknown").count() == 0 and b.chapter_page("atoms").count() == 2
+    assert b.question("c-2").first().marks == 5 and b.total().first().total == 4
+    assert [r.year for r in b.years().collect()] == [2020, 2019]
+    marked = spark.createDataFrame([("c-1",), ("a-1",), ("gone",)], "id string")
+    assert [r.id for r in b.bookmarked(marked).collect()] == ["a-1", "c-1"]
+    assert {r.name: r.solved for r in b.progress(marked).collect()} == {"Current Electricity": 1, "Atoms": 1}
+    b.register(spark)
+    assert spark.sql("SELECT count(*) AS n FROM questions JOIN chapters ON chapter = name").first().n == 4
