@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset
     (local tests) a folder of our own is made and registered."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         # A session without the setting is a local one: the driver's disk is the executors' disk.
         found = getattr(spark, "_itemforge_shared", None)
         if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="itemforge-")
-            spark._itemforge_shared = found
+            own = tempfile.mkdtemp(prefix="itemforge-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            found = spark._itemforge_shared = "file://" + own
     return found.rstrip("/")
 
 
