@@ -48,6 +48,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def _digest(edges: DataFrame):
+    """Count and hash sum of a set of edges: equal sets have equal ones."""
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
@@ -59,6 +64,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
     )
+    before = _digest(edges)
     for _ in range(max_rounds):
         # Large star: every larger neighbour of a node moves to the node's smallest neighbour.
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -74,14 +80,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         )
         nxt = materialize(nxt, "cc")
         # Converged when the edge set is a set of stars: nothing changed in this round.
-        sums = [
-            d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-            for d in (edges, nxt)
-        ]
-        before, after = (s.first() for s in sums)
+        after = _digest(nxt)
         edges = nxt
         if before == after:
             break
+        before = after
     else:
         raise RuntimeError("components did not converge")
     star = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
