@@ -14,8 +14,8 @@ from operator import is_
 
 import numpy as np
 
-#: Chunks held by a worker before it starts anew (about 150 bytes each).
-CACHE_CHUNKS = 1_000_000
+#: Chunks, and words, held by a worker before it starts anew (about 250 bytes each).
+CACHE_CHUNKS = 600_000
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 
@@ -55,7 +55,8 @@ class ChunkedEncoder:
             word = c.rstrip(MARKS)
             if word.isalpha():
                 # Letters and then ASCII marks are two pieces; many marks follow the same letters.
-                parts = (" " + word,) if len(word) == len(c) else (" " + word, c[len(word) :])
+                # A word is kept without its space, so that chunk and word can be one string.
+                parts = (c,) if len(word) == len(c) else (word, c[len(word) :])
                 todo.append((c, parts))
                 for x in parts:
                     if x not in words:
@@ -71,13 +72,14 @@ class ChunkedEncoder:
             for x in parts:
                 if x not in words:
                     new[x] = None
-        apart = [x for x in new if x[0] not in " \n"]
+        spelled = {x: " " + x if x.isalpha() else x for x in new}
+        apart = [x for x, y in spelled.items() if y[0] not in " \n"]
         words.update(zip(apart, (ids.tobytes() for ids in self._library(apart)), strict=True))
-        joined = [x for x in new if x[0] in " \n"]
+        joined = [x for x, y in spelled.items() if y[0] in " \n"]
         for at in range(0, len(joined), 4096):
             part = joined[at : at + 4096]
-            ids = self._library(["".join(part)])[0]
-            ends = np.cumsum([len(x.encode()) for x in part])
+            ids = self._library(["".join(map(spelled.__getitem__, part))])[0]
+            ends = np.cumsum([len(spelled[x].encode()) for x in part])
             cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
             raw, start = ids.tobytes(), 0
             for x, cut in zip(part, (4 * cuts).tolist(), strict=True):
@@ -90,7 +92,7 @@ class ChunkedEncoder:
         cache, missing, cut = self.cache, set(), []
         if len(cache) > self.cache_chunks:
             cache.clear()
-        if len(self.words) > self.cache_chunks:
+        if len(self.words) > self.cache_chunks * 3 // 4:
             self.words.clear()
         for t in texts:
             # A NUL in the text would look like the mark of a first chunk.
