@@ -101,7 +101,7 @@ def year_range(low: Column, high: Column) -> Column:
 
 def chapter_of_file(stem: Column) -> Column:
     """The first chapter whose key is in the name, keys in alphabetical order; else the name itself."""
-    prefix, suffix = "class-12-physics-", r"-pyq-177970212[1-7]"
+    prefix, suffix = "class-12-physics-", r"-[a-z]{3}-\d{10}"
     plain = F.initcap(F.replace(F.regexp_replace(F.replace(stem, F.lit(prefix), F.lit("")), suffix, ""), F.lit("-"), F.lit(" ")))
     out = plain
     for key, name, _ in sorted(CHAPTERS, reverse=True):

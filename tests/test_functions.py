@@ -45,7 +45,7 @@ def test_labels(spark):
     assert column(spark, [100, 51, 50, 0], lab.progress_band, "long") == ["green", "blue", "amber", "gray"]
     pairs = spark.createDataFrame([(29, 200), (1, 8), (0, 0)], "a long, b long")
     assert [r[0] for r in pairs.select(lab.percent(F.col("a"), F.col("b"))).collect()] == [14, 13, 0]
-    files = ["class-12-physics-atoms-pyq-1779702121", "class-12-physics-new-topic-pyq-1779702122"]
+    files = ["class-12-physics-atoms-abc-1779702121", "class-12-physics-new-topic-abc-1779702122"]
     assert column(spark, files, lab.chapter_of_file) == ["Atoms", "New Topic"]
     assert column(spark, ["Atoms", "Other"], lab.chapter_icon) == ["🔬", "📚"]
 
