@@ -8,10 +8,10 @@ estimates a high similarity; candidates whose estimate is far below the threshol
 others are confirmed on the full sets.
 
 No bucket is expanded into its pairs. First every member is compared with the bucket's smallest
-class (its hub). Buckets whose members still lie in more than one component are cut into tiles of
-TILE classes whose pairs of tiles are compared in tasks of their own; within a task only links that
-join two components are kept. So a bucket of n members costs n rows, and more only where
-comparisons are really open; nothing is capped.
+class (its hub). In buckets whose members still lie in more than one component, the classes outside
+the largest component meet all of the bucket's classes, cut into tiles of TILE whose pairs are
+compared in tasks of their own; within a task only links that join two components are kept. So a
+bucket of n members costs n rows, and more only where comparisons are really open; nothing is capped.
 
 Null and empty texts, and texts of white space, have an empty set and link with nothing; a text
 with fewer than k words has its whole sequence as one shingle. Rows with a null id take no part and
@@ -35,7 +35,7 @@ from itemforge.llm.common import connected_components, materialize
 SAMPLES = 125
 SKETCH_BITS = 512
 MISS = 1e-6  # chance that bands miss a pair at the threshold
-TILE = 128
+TILE = 256
 _rng = np.random.default_rng(9)
 _A = _rng.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SAMPLES, np.uint32)
@@ -160,8 +160,7 @@ def _confirm(percent: int):
 
 def _tile_links(percent: int, different: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        left, right = pdf[pdf["tile"] == i], pdf[pdf["tile"] == j]
+        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         found = []
         if len(left) and len(right):
             x, y = (np.stack([np.asarray(s, np.int64) for s in side["sketch"]]).view(np.uint64) for side in (left, right))
@@ -235,12 +234,26 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"),
     ).where("lo <> hi")
     # Buckets of other bands with the same members are the same work.
-    once = spread.groupBy("sum", "c").agg(F.min("key").alias("key"))
-    open_ = labelled.join(once.select("key", F.ceil(F.col("c") / TILE).cast("int").alias("tiles")), "key").join(facts, "rep")
-    open_ = open_.withColumn("tile", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("tiles")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    open_ = open_.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other"))
-    more = open_.groupBy("key", "i", "j").applyInPandas(_tile_links(percent, different), "a long, b long")
+    once = spread.groupBy("sum", "c").agg(F.min("key").alias("key")).select("key")
+    labelled = materialize(labelled.join(once, "key"), "open")
+    # Only pairs across components are open. Classes outside a bucket's largest component (side 0)
+    # meet all of its classes (side 1), in tiles; pairs within the largest one never do.
+    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("key").agg(
+        F.max_by("comp", F.struct("m", F.negate("comp"))).alias("main"), F.ceil(F.sum("m") / TILE).cast("int").alias("all_tiles"),
+        F.ceil((F.sum("m") - F.max("m")) / TILE).cast("int").alias("own_tiles"),
+    )
+    open_ = labelled.join(largest, "key").join(facts, "rep")
+    tile = F.xxhash64("rep", F.lit(5))
+
+    def spread_over(side: int, rows: DataFrame, mine: str, theirs: str) -> DataFrame:
+        rows = rows.withColumn("tile", F.pmod(tile, F.col(f"{mine}_tiles")).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(f"{theirs}_tiles") - 1)))
+        i, j = ("tile", "other") if side == 0 else ("other", "tile")
+        return rows.select("key", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "rep", "n", "sketch", "fp", "comp")
+
+    dealt = spread_over(0, open_.where("comp <> main"), "own", "all").union(spread_over(1, open_, "all", "own"))
+    more = dealt.groupBy("key", "i", "j").applyInPandas(_tile_links(percent, different), "a long, b long")
     more = materialize(more, "links")
     if not more.isEmpty():
         stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
