@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +52,17 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_slices(batch: pa.RecordBatch, text: str | int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most rows rows and, longer single texts apart, size bytes of text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = upto[at - 1] if at else 0
+        to = min(max(int(np.searchsorted(upto, done + size, side="right")), at + 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _digest(edges: DataFrame):
     """Count and hash sum of a set of edges: equal sets have equal ones."""
     return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()

@@ -9,7 +9,7 @@ others are confirmed on the full sets.
 
 No bucket is expanded into its pairs. First every member is compared with the bucket's smallest
 class (its hub). In buckets whose members still lie in more than one component, the classes outside
-the largest component meet all of the bucket's classes, cut into tiles of TILE whose pairs are
+the largest component meet all of the bucket's classes, cut into tiles of about TILE whose pairs are
 compared in tasks of their own; within a task only links that join two components are kept. So a
 bucket of n members costs n rows, and more only where comparisons are really open; nothing is capped.
 
@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm import codepoints as cp
-from itemforge.llm.common import connected_components, materialize
+from itemforge.llm.common import connected_components, materialize, text_slices
 
 SAMPLES = 125
 SKETCH_BITS = 512
 MISS = 1e-6  # chance that bands miss a pair at the threshold
 TILE = 256
+TILE_SHINGLES = 1 << 22
 _rng = np.random.default_rng(9)
 _A = _rng.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, SAMPLES, np.uint32)
@@ -112,8 +113,7 @@ def _signatures(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.arange(bands, dtype=np.uint64) * _STEP[-2]
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in text_slices(batch, "text"):
                 sets = shingle_sets(part.column("text").to_pylist(), k)
                 n = len(sets)
                 samples = np.stack([minhash(s) for s in sets])
@@ -140,20 +140,10 @@ def _signatures(k: int, bands: int, rows: int):
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in text_slices(batch, "text"):
                 sets = shingle_sets(part.column("text").to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "fp"])
-
-    return run
-
-
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column("fa"), batch.column("fb")
-            ok = [similar(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "fp"])
 
     return run
 
@@ -180,7 +170,7 @@ def _tile_links(percent: int, different: int):
 
             sets = {}
             for side in (left, right):
-                sets.update((r, np.frombuffer(f, np.uint64)) for r, f in zip(side["rep"].tolist(), side["fp"], strict=True))
+                sets.update((r, np.asarray(f, np.int64).view(np.uint64)) for r, f in zip(side["rep"].tolist(), side["fp"], strict=True))
             lr, rr, lc, rc = left["rep"].tolist(), right["rep"].tolist(), left["comp"].tolist(), right["comp"].tolist()
             # The likeliest pairs first: once joined, a component's other pairs need no comparison.
             for k in np.argsort(apart[at, to], kind="stable").tolist():
@@ -205,14 +195,14 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = sig.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     cls = sig.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "bands", "sketch")
-    keyed = cls.select("rep", F.explode("bands").alias("key"))
+    keyed = cls.select("rep", "n", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    members = materialize(keyed.join(hubs, "key").select("key", "hub", "c", "rep"), "members")
+    members = materialize(keyed.join(hubs, "key").select("key", "hub", "c", "rep", "n"), "members")
 
     # Full sets of the classes that share a bucket, and of no others.
     wanted = members.select("rep").distinct()
     facts = cls.join(wanted, "rep").select("rep", "n", "sketch")
-    sets = docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_set_rows(k), "rep long, fp binary")
+    sets = docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_set_rows(k), "rep long, fp array<bigint>")
     facts = materialize(sets.join(facts, "rep"), "sets")
 
     # 1. Each member against its bucket's hub.
@@ -223,12 +213,13 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     likely = materialize(pairs.join(pa_, "a").join(pb_, "b").where(fits & (apart <= different)).select("a", "b"), "likely")
     fa, fb = (facts.select(F.col("rep").alias(s), F.col("fp").alias(f"f{s}")) for s in "ab")
-    links = likely.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(_confirm(percent), "a long, b long")
-    links = materialize(links, "links")
+    both = F.size(F.array_intersect("fa", "fb"))
+    links = likely.join(fa, "a").join(fb, "b").where(100 * both >= percent * (F.size("fa") + F.size("fb") - both))
+    links = materialize(links.select("a", "b"), "links")
     parts = connected_components(links)
 
     # 2. Buckets of three or more classes that still lie in more than one component.
-    labelled = members.where("c > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    labelled = members.where("c > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     spread = labelled.groupBy("key").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"),
         F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"),
@@ -238,12 +229,18 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     labelled = materialize(labelled.join(once, "key"), "open")
     # Only pairs across components are open. Classes outside a bucket's largest component (side 0)
     # meet all of its classes (side 1), in tiles; pairs within the largest one never do.
-    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    # Tiles are cut by classes and by shingles, so that long documents don't make heavy ones.
+    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("load"))
+    bulk = F.struct("m", F.negate("comp"))
+
+    def tiles(m, load):
+        return F.ceil(F.greatest(m / TILE, load / TILE_SHINGLES)).cast("int")
+
     largest = sizes.groupBy("key").agg(
-        F.max_by("comp", F.struct("m", F.negate("comp"))).alias("main"), F.ceil(F.sum("m") / TILE).cast("int").alias("all_tiles"),
-        F.ceil((F.sum("m") - F.max("m")) / TILE).cast("int").alias("own_tiles"),
+        F.max_by("comp", bulk).alias("main"), tiles(F.sum("m"), F.sum("load")).alias("all_tiles"),
+        tiles(F.sum("m") - F.max("m"), F.sum("load") - F.max_by("load", bulk)).alias("own_tiles"),
     )
-    open_ = labelled.join(largest, "key").join(facts, "rep")
+    open_ = labelled.join(largest, "key").join(facts.drop("n"), "rep")
     tile = F.xxhash64("rep", F.lit(5))
 
     def spread_over(side: int, rows: DataFrame, mine: str, theirs: str) -> DataFrame:

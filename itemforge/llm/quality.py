@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemforge.llm import codepoints as cp
+from itemforge.llm.common import text_slices
 
 MAX_TRAIN = 6_000
 MAX_TRAIN_LINES = 60_000
@@ -215,8 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN, max_lin
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in text_slices(batch, "text"):
                 features, _, counts = line_features(part.column("text").to_pylist())
                 cuts = np.cumsum(counts)[:-1]
                 yield pa.RecordBatch.from_arrays(
@@ -244,8 +244,7 @@ def score(df: DataFrame, model: Crf, text: str = "text", lines: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in text_slices(batch, at_text):
                 s, p, counts = score_texts(model, [x or "" for x in part.column(at_text).to_pylist()])
                 columns = [*part.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
                 if lines:
