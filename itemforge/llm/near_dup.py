@@ -240,6 +240,8 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         F.max_by("comp", bulk).alias("main"), tiles(F.sum("m"), F.sum("load")).alias("all_tiles"),
         tiles(F.sum("m") - F.max("m"), F.sum("load") - F.max_by("load", bulk)).alias("own_tiles"),
     )
+    # Written first, so that the join's sides are plain scans and a hot bucket's task can be split.
+    largest = materialize(largest, "largest")
     open_ = labelled.join(largest, "key").join(facts.drop("n"), "rep")
     tile = F.xxhash64("rep", F.lit(5))
 
