@@ -2,12 +2,19 @@
 
 Patterns (kinds assign, access, hex) are leftmost and non-overlapping per kind. Beside them, every
 run of at least MIN_RUN key-like characters is a candidate. Its encoding is inferred as the smallest
-of the known alphabets that holds it. Three tests ask whether it looks drawn uniformly from that
-alphabet: chi-squared of the symbol counts, the runs test about the middle of the alphabet, and
-lag-1 serial correlation. A candidate which none of them rejects (Bonferroni over the three) then
-needs evidence against being ordinary text: the number of changes of character class, whose tail
-under an ordinary identifier is its p-value. Within a document the p-values are weighted by length,
-as long runs carry more evidence, and go through Benjamini-Hochberg control (kind random).
+of the known alphabets that holds it. The evidence is the likelihood of uniform draws from that
+alphabet against the likelihood of the run as ordinary text, a chain of characters fitted to
+identifiers and words: symbol counts and lag-1 order, which chi-squared and serial correlation only
+compare with uniform draws, weigh in where ordinary text differs. A ratio over a distribution
+exceeds x with chance 1/x at most, so its inverse, times the number of alphabets to choose from, is a
+p-value under ordinary text, at every length and also for runs of one character class. Within a
+document the p-values are weighted by length, as long runs carry more evidence, and go through
+Benjamini-Hochberg control (kind random).
+
+A run can be neither ordinary nor drawn at random (aaaa, abcd1234 again and again). So a discovery
+also has to pass three tests of uniform draws: chi-squared of the symbol counts, the runs test about
+the middle of the alphabet, and lag-1 serial correlation (Bonferroni over the three). These three
+only refuse; about REJECT_RANDOM of true keys are refused by them.
 
 Offsets are code points, end exclusive. Null and empty texts have no spans. Repeated rows stay
 apart, an empty table gives an empty result, and other columns are carried along.
@@ -31,15 +38,30 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_RUN = 20
 REJECT_RANDOM = 0.01  # a candidate less likely than this under uniform draws isn't one
-ORDINARY_CHANGE = 0.15  # chance of a class change between two characters of an ordinary identifier
 DISCOVERY_RATE = 0.01
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKS = "+/-_"
 #: From the smallest to the largest alphabet; the first that holds a run is its encoding.
 ALPHABETS = [
-    ("hex", DIGITS + LOWER[:6]), ("hex_upper", DIGITS + UPPER[:6]), ("base32", UPPER + "234567"), ("base36", DIGITS + LOWER),
-    ("base36_upper", DIGITS + UPPER), ("base62", UPPER + LOWER + DIGITS), ("base64", UPPER + LOWER + DIGITS + "+/"),
-    ("base64url", UPPER + LOWER + DIGITS + "-_"), ("mixed", UPPER + LOWER + DIGITS + "+/-_"),
+    ("decimal", DIGITS), ("hex", DIGITS + LOWER[:6]), ("hex_upper", DIGITS + UPPER[:6]), ("lower", LOWER), ("upper", UPPER),
+    ("base32", UPPER + "234567"), ("base32_lower", LOWER + "234567"), ("base36", DIGITS + LOWER), ("base36_upper", DIGITS + UPPER),
+    ("letters", UPPER + LOWER), ("base62", UPPER + LOWER + DIGITS), ("base64", UPPER + LOWER + DIGITS + "+/"),
+    ("base64url", UPPER + LOWER + DIGITS + "-_"), ("mixed", UPPER + LOWER + DIGITS + MARKS),
 ]
+#: Ordinary letters: for each letter before, and last for the start of a word, -2 log2 of the chance
+#: of a to z as a base-36 digit. From identifiers of Python's library and words of four languages.
+LETTER_COST = """
+ca89afbe9he796cah7859deedi 7cbd5fff8bh4ed7ci99c8ihiag 7hbe7fg58k89de5eh9c7afhidj 7cda4deb5hhafb6eha89afdgej
+8d979cdd9ig9b6bce568cddbfe 8ecb77ed5jg8ed6di7988gfich 7cde3fb88kg9c89dk88a9eejhf 5bef4hf98keaea7eja98cfcjgf
+ac8a7cafdih9a46bga87fchejc 3jbe6fjfaibegf7ckd9d6khkfk 9dbb3cbd7jg9fabcfb7bcfaidi 7fdb4egf5ig7fd7djeaabfhj6i
+5afc3fhf6jfbad77ke9cahhjek 8c976c6b9idbeb8dgc85bcdjgg cca9cacgbhd994bai69a7cbfhi 5fcd59gb9kf7fe79h6a8agejbk
+dfeecghfeikcgceeccae1hhjjk 6cbb4ecc7idbba7ci988bedich 9e8d6ed77gdbcd99ec849gehcj 7dce5eg55kgbec8ci89abfehbc
+99ad6ccdakg895a9h787efg9ig 5eeg2eff5khdddaejdddfhfihi 6fdc7eh36jhbf98dk89cehefij 8c7b6afc7khaad96dab5dcfbbg
+9abc6cfa8ki9a786ja76edagde 7bbd3ddd8fecbf9cgcbb4egkfd 8a897aba8fd9a989e877adbegg
+""".split()
+#: Ordinary order of classes (digit, lower, upper, mark), after each of them and at the start.
+CLASS_STEP = np.array([[0.76, 0.062, 0.015, 0.163], [0.003, 0.892, 0.022, 0.083], [0.004, 0.15, 0.743, 0.103], [0.021, 0.722, 0.221, 0.036], [0.009, 0.503, 0.257, 0.231]])
+MARK_SHARE = np.array([0.05, 0.2, 0.3, 0.45])
 RUN_BYTES = np.isin(np.arange(256), list((UPPER + LOWER + DIGITS + "+/-_").encode()))
 HEX_BYTES = np.isin(np.arange(256), list((DIGITS + LOWER[:6]).encode()))
 SPANS = T.ArrayType(
@@ -51,6 +73,31 @@ def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def _ordinary() -> tuple[np.ndarray, np.ndarray]:
+    """Log chances of the first character, and of each character after each other, in ordinary text
+    (characters as in SYMBOL). Every row is a distribution."""
+    cost = np.array([[int(x, 36) for x in row] for row in LETTER_COST])
+    letter = 2.0 ** (-cost / 2)
+    letter /= letter.sum(1, keepdims=True)
+    digit = np.full((11, 10), 0.1)
+    digit[:10] = 0.065 + 0.25 * np.eye(10) + 0.1 * np.roll(np.eye(10), 1, 1)  # the same again, and the next
+    kind = np.repeat([0, 1, 2, 3, 4], [10, 26, 26, 4, 1])
+    at = np.concatenate([np.arange(10), np.arange(26), np.arange(26), np.arange(4), [0]])
+    rows = []
+    for c, i in zip(kind, at, strict=True):
+        word = i if c in (1, 2) else 26
+        new = 26 if c == 1 else word  # a capital after a small letter begins a word
+        parts = [digit[i if c == 0 else 10], letter[word], letter[new], MARK_SHARE]
+        rows.append(np.concatenate([share * part for share, part in zip(CLASS_STEP[c] / CLASS_STEP[c].sum(), parts, strict=True)]))
+    logs = np.log(np.array(rows))
+    return logs[:-1], logs[-1]
+
+
+SYMBOL = np.zeros(256, np.intp)
+SYMBOL[list((DIGITS + LOWER + UPPER + MARKS).encode())] = np.arange(66)
+STEP_LOG, START_LOG = _ordinary()
+
+
 def battery(run: str) -> tuple[str, float, float]:
     """(encoding, p-value of uniform randomness, p-value of ordinary text) of a run."""
     name, alphabet = next(((n, a) for n, a in ALPHABETS if set(run) <= set(a)), ALPHABETS[-1])
@@ -71,15 +118,10 @@ def battery(run: str) -> tuple[str, float, float]:
         p_runs = 2.0 ** (1 - n)
     d = at - at.mean()
     p_serial = _two_sided(float((d[1:] * d[:-1]).sum() / (d * d).sum()) * math.sqrt(n)) if d.any() else 0.0
-    kind = np.select([[c.isdigit() for c in run], [c.islower() for c in run], [c.isupper() for c in run]], [0, 1, 2], 3)
-    changes = int((kind[1:] != kind[:-1]).sum())
-    q = ORDINARY_CHANGE
-    tail = sum(math.comb(n - 1, x) * q**x * (1 - q) ** (n - 1 - x) for x in range(changes, n)) if n <= 400 else _normal_tail(changes, n, q)
-    return name, min(1.0, 3 * min(p_chi, p_runs, p_serial)), tail
-
-
-def _normal_tail(x: int, n: int, q: float) -> float:
-    return math.erfc((x - 0.5 - (n - 1) * q) / math.sqrt(2 * (n - 1) * q * (1 - q))) / 2
+    code = SYMBOL[np.frombuffer(run.encode(), np.uint8)]
+    gain = -n * math.log(k) - float(START_LOG[code[0]] + STEP_LOG[code[:-1], code[1:]].sum())
+    p_ordinary = min(1.0, len(ALPHABETS) * math.exp(-min(max(gain, 0.0), 700.0)))
+    return name, min(1.0, 3 * min(p_chi, p_runs, p_serial)), p_ordinary
 
 
 def discoveries(runs: list[str], rate: float = DISCOVERY_RATE) -> list[bool]:

@@ -98,6 +98,22 @@ def test_randomness_battery():
     assert not any(secrets.discoveries(words))
 
 
+def test_random_keys_of_every_alphabet():
+    rng = random.Random(8)
+    low, up, digits = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    words = ["thisIsAnOrdinaryCamelCaseIdentifierName", "internationalizationandlocalization", "AVERYLONGCONSTANTNAMEINCAPITALS", "a_test_of_the_ordinary_function_names", "docs/guide/getting-started/index"]
+    for alphabet in (digits, digits + low[:6], low, up, up + "234567", digits + low, low + up, low + up + digits, low + up + digits + "+/"):
+        for n in (20, 32, 64, 128):
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(60)]
+            assert np.mean([secrets.discoveries([k])[0] for k in keys]) > 0.9, (alphabet, n)
+            found = [secrets.discoveries([k, *words]) for k in keys]
+            assert np.mean([f[0] for f in found]) > 0.75 and not any(any(f[1:]) for f in found), (alphabet, n)
+
+
+def test_ordinary_likelihood_is_a_distribution():
+    assert np.allclose(np.exp(secrets.STEP_LOG).sum(1), 1) and np.isclose(np.exp(secrets.START_LOG).sum(), 1)
+
+
 def test_redaction(spark):
     text = "x token = \"0123456789abcdef0123456789abcdef\" y"
     df = spark.createDataFrame([(1, text), (2, "plain"), (3, None)], "doc_id long, text string")
