@@ -3,7 +3,8 @@
 A text without doubled or exotic white space is cut before every single space and newline. The
 pre-tokenizer's pattern starts a new piece at each of those cuts, so the ids of the text are the
 ids of its chunks put together. Chunks not met before are encoded by the library, many at once, as
-one text. Texts with other white space go to the library as they are.
+one text. Texts with other white space go to the library as they are, and so do texts that hold an
+added token such as <|endoftext|>, unless those are to be encoded as ordinary text.
 """
 
 from __future__ import annotations
@@ -20,14 +21,18 @@ MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 
 
 class ChunkedEncoder:
-    """encode(texts) gives a uint32 array of ids for each text, equal to the library's own."""
+    """encode(texts) gives a uint32 array of ids for each text, equal to the library's own with
+    encode_special_tokens set to `special_as_text` (the library's default is False)."""
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Texts of the tokens that the library cuts out before any pre-tokenizing.
+        self.added = tuple(t.content for t in added if not (special_as_text and t.special))
         self.cache_chunks = cache_chunks
         self.cache: dict[str, bytes | None] = {}
         self.words: dict[str, bytes] = {}
@@ -96,7 +101,8 @@ class ChunkedEncoder:
             self.words.clear()
         for t in texts:
             # A NUL in the text would look like the mark of a first chunk.
-            parts = ("\0" + t.replace("\n", " \n")).split(" ") if t and "\0" not in t else []
+            whole = not t or "\0" in t or any(a in t for a in self.added)
+            parts = [] if whole else ("\0" + t.replace("\n", " \n")).split(" ")
             found = list(map(cache.get, parts))
             if None in found:
                 missing.update(compress(parts, map(is_, found, repeat(None))))
@@ -118,11 +124,12 @@ class ChunkedEncoder:
         return out
 
 
-_encoders: dict[str, ChunkedEncoder] = {}
+_encoders: dict[tuple[str, bool], ChunkedEncoder] = {}
 
 
-def encoder(path: str) -> ChunkedEncoder:
-    """One encoder for each Python worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = ChunkedEncoder(path)
-    return _encoders[path]
+def encoder(path: str, special_as_text: bool = True) -> ChunkedEncoder:
+    """One encoder for each Python worker, vocabulary and treatment of added tokens."""
+    key = path, special_as_text
+    if key not in _encoders:
+        _encoders[key] = ChunkedEncoder(path, special_as_text=special_as_text)
+    return _encoders[key]

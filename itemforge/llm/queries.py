@@ -45,7 +45,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from itemforge.llm.wavelet import token_output
 
-    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,8 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, separator: int, bloc
         from pyspark import TaskContext
 
         file, block, seen = TaskContext.get().partitionId(), 0, 0
-        enc, flat = encoder(vocabulary), bytearray()
+        # As text: the id of an added token in a document would read as a separator.
+        enc, flat = encoder(vocabulary, special_as_text=True), bytearray()
         if max(separator, enc.tokenizer.get_vocab_size() - 1) >> 8 * size:
             raise ValueError(f"ids of this vocabulary don't fit {dtype}")
         for batch in batches:

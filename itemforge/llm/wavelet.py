@@ -144,16 +144,18 @@ def pack(doc_ids: list, docs: list[np.ndarray], levels: int) -> tuple[int, bytes
 
 
 def write_shards(
-    docs: DataFrame, path: str, vocabulary: str, shards: int, end_id: int, block_tokens: int = BLOCK_TOKENS
+    docs: DataFrame, path: str, vocabulary: str, shards: int, end_id: int, block_tokens: int = BLOCK_TOKENS,
+    special_as_text: bool = True,
 ) -> None:
-    """Encode (doc_id, text) in ascending doc_id order and write the blocks to path."""
+    """Encode (doc_id, text) in ascending doc_id order and write the blocks to path. Without
+    special_as_text, an added token's text becomes its id, as in the library's default call."""
     end = np.array([end_id], "<u4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, block = TaskContext.get().partitionId(), 0
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, special_as_text)
         levels = max(enc.tokenizer.get_vocab_size() - 1, end_id).bit_length()
         ids: list = []
         held: list[np.ndarray] = []
@@ -232,10 +234,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def token_output(docs: DataFrame, vocabulary: str, end_id: int = 2, shards: int | None = None) -> DataFrame:
+def token_output(docs: DataFrame, vocabulary: str, end_id: int = 2, shards: int | None = None, special_as_text: bool = True) -> DataFrame:
     """Write the documents' ids as wavelet shards in the shared folder and read them back."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "wavelet")
-    write_shards(docs, path, vocabulary, shards, end_id)
+    write_shards(docs, path, vocabulary, shards, end_id, special_as_text=special_as_text)
     return read_documents(spark, path)

@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from itemforge.llm import pieces, separators, wavelet
+from itemforge.llm import pieces, queries, separators, wavelet
 from itemforge.llm.bpe_cache import ChunkedEncoder
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,34 @@ def test_chunked_encoding_is_the_library(library, documents):
         assert [x.tolist() for x in enc.encode(part)] == library(part)
 
 
+def test_chunked_encoding_is_the_default_library(documents):
+    plain = Tokenizer.from_file(VOCAB)
+    mark = "<|endoftext|>"
+    texts = [*noise(4000, 5), f"a{mark}b", mark, f" {mark} ", f"{mark}{mark}\n{mark}", f"the {mark}\n\n x", "<|endof text|>", "<|endoftext|", f"\0{mark}"]
+    texts += [r.text[:50] + mark + r.text[50:] for r in documents.limit(40).collect() if r.text]
+    enc = ChunkedEncoder(VOCAB, cache_chunks=500, special_as_text=False)
+    for at in range(0, len(texts), 300):
+        part = texts[at : at + 300]
+        assert [x.tolist() for x in enc.encode(part)] == [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
+
+
+def test_token_output_query_is_the_default_library(spark, odd, tmp_path):
+    plain = Tokenizer.from_file(VOCAB)
+    more = spark.createDataFrame([(20, "a<|endoftext|>b"), (21, "after it"), (22, "<|endoftext|>")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").union(more)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(((r.doc_id is not None, r.doc_id or 0), r.text or "") for r in docs.collect())
+    got = sorted(queries.op4_token_output(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    start = 0
+    for r, ((known, i), t) in zip(got, rows, strict=True):
+        ids = [*plain.encode(t, add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i if known else None, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += r.n_tokens
+    # The same worker's other encoder keeps the text: there the id is the separator.
+    counts = {r.doc_id: r.n_tokens for r in queries.op1_token_counts(spark, str(tmp_path)).collect()}
+    assert (counts[20], counts[21]) == (9, len(plain.encode("after it").ids))
+
+
 def test_pieces_are_the_library(documents):
     table, sp = pieces.PrefixTable(MODEL, cache_chunks=500), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = noise(4000, 2) + [r.text for r in documents.limit(40).collect()] + ["a" * k for k in range(40)] + ["", "=" * 70]
