@@ -59,44 +59,55 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
     return keep
 
 
+def draw_pivots(vectors: DataFrame) -> DataFrame:
+    """(label, parts, pivots) of the labels large enough for two pivots or more; parts of about TILE
+    rows. The pivots are of the dimension of the first one drawn."""
+    sizes = vectors.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= 2 * ROWS_PER_PIVOT)
+    wanted = F.least(F.lit(MAX_PIVOTS), F.floor(F.col("n") / ROWS_PER_PIVOT).cast("int"))
+    # At most one label in 2 * ROWS_PER_PIVOT rows. Of each, about twice the pivots are drawn.
+    large = materialize(sizes.withColumn("wanted", wanted), "large_labels")
+    share = F.least(F.lit(1.0), 2 * F.col("wanted") / F.col("n")) * (1 << 30)
+    drawn = vectors.select("label", "row", "embedding").join(F.broadcast(large), "label").where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < share)
+    found = drawn.groupBy("label", "n", "wanted").agg(F.array_sort(F.collect_list(F.struct("row", "embedding"))).alias("drawn"))
+    like = F.filter("drawn", lambda x: F.size(x["embedding"]) == F.size(F.col("drawn")[0]["embedding"]))
+    return found.select("label", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), F.transform(F.slice(like, 1, F.col("wanted")), lambda x: x["embedding"]).alias("pivots"))
+
+
 def near_links(vectors: DataFrame, cosine: float) -> DataFrame:
     """Of usable vectors (row, label, w: rows that have it, embedding): kind 0, the links of row a
     (n, counted in rows); kind 1, a link a-b."""
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
-    sizes = dict(vectors.groupBy("label").count().collect())
-    wanted = {k: min(MAX_PIVOTS, max(1, n // ROWS_PER_PIVOT)) for k, n in sizes.items()}
-    spark = vectors.sparkSession
-    # At most about twice MAX_PIVOTS vectors a label reach the driver.
-    share = spark.createDataFrame([(k, int((1 << 30) * min(1.0, 2 * w / sizes[k]))) for k, w in wanted.items()] or [(None, 0)], f"label {vectors.schema['label'].dataType.simpleString()}, share long")
-    drawn = vectors.join(F.broadcast(share), "label").where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.col("share")).select("label", "row", "embedding").collect()
-    pivots: dict = {}
-    for r in sorted(drawn, key=lambda r: r["row"]):
-        p = pivots.setdefault(r["label"], [])
-        if len(p) < wanted[r["label"]] and (not p or len(r["embedding"]) == len(p[0])):
-            p.append(list(r["embedding"]))
-    known = {k: _unit(p) for k, p in pivots.items()}
-
-    def assign(batches):
-        for pdf in batches:
-            out = []
-            for (label, d), g in pdf.groupby(["label", pdf["embedding"].map(len)]):
-                x = _unit(list(g["embedding"]))
-                p = known.get(label)
-                if p is None or p.shape[1] != d:
-                    p = np.zeros((1, d))  # one cell: no pivot was drawn, or another dimension
-                dist = np.sqrt(np.maximum(0, 1 + (p * p).sum(1) - 2 * x @ p.T))
-                home = dist.argmin(1)
-                own = dist[np.arange(len(x)), home][:, None]
-                apart = np.sqrt(np.maximum(0, ((p[:, None] - p[None]) ** 2).sum(2)))[home]
-                reach = (dist - own <= 2 * radius) & (dist**2 - own**2 <= 2 * radius * apart + 1e-9)
-                reach[np.arange(len(x)), home] = True
-                at, cell = np.nonzero(reach)
-                out.append(pd.DataFrame({"label": label, "dim": d, "cell": cell, "home": home[at], "row": g["row"].to_numpy()[at], "w": g["w"].to_numpy()[at], "embedding": [g["embedding"].iloc[i] for i in at]}))
-            if out:
-                yield pd.concat(out)
+    pivots = materialize(draw_pivots(vectors), "pivots")
+
+    def assign(key, pdf, drawn):
+        p_all = _unit(list(drawn["pivots"].iloc[0])) if len(drawn) else None
+        out = []
+        for d, g in pdf.groupby(pdf["embedding"].map(len)):
+            x = _unit(list(g["embedding"]))
+            p = p_all if p_all is not None and p_all.shape[1] == d else np.zeros((1, d))  # another dimension: one cell
+            dist = np.sqrt(np.maximum(0, 1 + (p * p).sum(1) - 2 * x @ p.T))
+            home = dist.argmin(1)
+            own = dist[np.arange(len(x)), home][:, None]
+            apart = np.sqrt(np.maximum(0, ((p[:, None] - p[None]) ** 2).sum(2)))[home]
+            reach = (dist - own <= 2 * radius) & (dist**2 - own**2 <= 2 * radius * apart + 1e-9)
+            reach[np.arange(len(x)), home] = True
+            at, cell = np.nonzero(reach)
+            out.append(pd.DataFrame({"label": g["label"].to_numpy()[at], "dim": d, "cell": cell, "home": home[at], "row": g["row"].to_numpy()[at], "w": g["w"].to_numpy()[at], "embedding": [g["embedding"].iloc[i] for i in at]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["label", "dim", "cell", "home", "row", "w", "embedding"])
 
     kind = vectors.schema["label"].dataType.simpleString()
-    placed = materialize(vectors.select("row", "label", "w", "embedding").mapInPandas(assign, f"label {kind}, dim int, cell int, home int, row long, w long, embedding array<double>"), "cells")
+    known = vectors.select("row", "label", "w", "embedding").join(F.broadcast(pivots.select("label", "parts")), "label", "left")
+    # A label without pivots is one cell.
+    one = known.where("parts is null").select(
+        "label", F.size("embedding").alias("dim"), F.lit(0).alias("cell"), F.lit(0).alias("home"), "row", "w", F.col("embedding").cast("array<double>").alias("embedding")
+    )
+    # Parts of a label meet its pivots, so that neither goes through the driver or one task.
+    split = known.where("parts is not null").withColumn("part", F.pmod(F.xxhash64("row", F.lit(11)), F.col("parts")).cast("int")).drop("parts")
+    sent = pivots.select("label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivots")
+    many = split.groupBy("label", "part").cogroup(sent.groupBy("label", "part")).applyInPandas(
+        assign, f"label {kind}, dim int, cell int, home int, row long, w long, embedding array<double>"
+    )
+    placed = materialize(one.union(many), "cells")
     keys = ["label", "dim", "cell"]
     own = F.col("home") == F.col("cell")
     tiles = placed.groupBy(*keys).agg(

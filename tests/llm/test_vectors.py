@@ -77,3 +77,26 @@ def test_metric_join(spark, monkeypatch, tile):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in metric_join.near_components(df, 0.98).collect()}
     assert got == {i: (n, c, c == i) for i, (n, c) in brute(rows, 0.98).items()}
     assert metric_join.near_components(df.limit(0), 0.98).count() == 0
+
+
+def test_metric_join_of_many_labels_stays_off_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(3 * k + j, (np.eye(4)[k % 4] + 0.05 * j * rng.normal(size=4)).tolist(), k) for k in range(150) for j in range(2)]
+    rows += [(1000 + k, rng.normal(size=4).tolist(), 500) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(metric_join, "ROWS_PER_PIVOT", 20)
+    met, collect = [], type(df).collect
+
+    def counted(self):
+        found = collect(self)
+        met.append(len(found))
+        return found
+
+    monkeypatch.setattr(type(df), "collect", counted)
+    pivots = metric_join.draw_pivots(df.withColumnRenamed("vec_id", "row"))
+    out = metric_join.near_components(df, 0.98)
+    monkeypatch.undo()
+    assert max(met, default=0) < 20
+    assert [r.label for r in pivots.collect()] == [500]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out.collect()}
+    assert got == brute(rows, 0.98)
