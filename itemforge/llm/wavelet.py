@@ -234,6 +234,58 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _answers(blocks: DataFrame, columns: list[str], answer, schema: str) -> DataFrame:
+    """answer(wavelet matrix, row) in place of each row's payload, as the column "found"."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [answer(WaveletMatrix(r["payload"]), r) for r in batch.to_pylist()]
+            kept = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int64()))], names=[*columns, "found"])
+
+    return blocks.mapInArrow(run, schema)
+
+
+def shard_counts(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """(shard, block, n_tokens, n, offset, before): the occurrences n of a token in each block, the
+    position of the block in its shard, and the occurrences in the shard before it."""
+    blocks = spark.read.schema(BLOCKS).parquet(path).select("shard", "block", "n_tokens", "payload")
+    found = _answers(blocks, ["shard", "block", "n_tokens"], lambda w, r: [w.count(token)], "shard int, block int, n_tokens long, found array<long>")
+    ahead = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    n = found.select("shard", "block", "n_tokens", F.col("found")[0].alias("n"))
+    return n.select("*", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("offset"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+
+
+def shard_count(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """(shard, n): the occurrences of a token in each whole shard."""
+    return shard_counts(spark, path, token).groupBy("shard").agg(F.sum("n").alias("n"))
+
+
+def shard_locate(spark: SparkSession, path: str, token: int, k: int) -> DataFrame:
+    """(shard, position) of occurrence k (from 0) of a token; shards with fewer have no row."""
+    at = shard_counts(spark, path, token).where((F.col("before") <= k) & (F.col("before") + F.col("n") > k))
+    blocks = spark.read.schema(BLOCKS).parquet(path).select("shard", "block", "payload")
+    rows = blocks.join(at.select("shard", "block", "offset", "before"), ["shard", "block"])
+    found = _answers(rows, ["shard", "offset"], lambda w, r: [w.locate(token, k - r["before"])], "shard int, offset long, found array<long>")
+    return found.select("shard", (F.col("offset") + F.col("found")[0]).alias("position"))
+
+
+def shard_access(positions: DataFrame, path: str) -> DataFrame:
+    """(shard, position, token) of the distinct (shard, position) in positions; those outside the
+    shard have no row."""
+    spark = positions.sparkSession
+    blocks = spark.read.schema(BLOCKS).parquet(path)
+    ahead = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("shard", "block", "n_tokens", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0)).alias("offset"))
+    inside = (F.col("position") >= F.col("offset")) & (F.col("position") < F.col("offset") + F.col("n_tokens"))
+    asked = positions.select("shard", "position").distinct().join(starts, "shard").where(inside)
+    asked = asked.groupBy("shard", "block", "offset").agg(F.collect_list("position").alias("at"))
+    rows = blocks.select("shard", "block", "payload").join(asked, ["shard", "block"])
+    found = _answers(rows, ["shard", "at"], lambda w, r: [w.access(p - r["offset"]) for p in r["at"]], "shard int, at array<long>, found array<long>")
+    both = found.select("shard", F.explode(F.arrays_zip("at", "found")).alias("x"))
+    return both.select("shard", F.col("x.at").alias("position"), F.col("x.found").alias("token"))
+
+
 def token_output(docs: DataFrame, vocabulary: str, end_id: int = 2, shards: int | None = None, special_as_text: bool = True) -> DataFrame:
     """Write the documents' ids as wavelet shards in the shared folder and read them back."""
     spark = docs.sparkSession

@@ -124,6 +124,26 @@ def test_wavelet_small_blocks(spark, documents, tmp_path):
     assert spark.read.parquet(path).count() > 20
 
 
+def test_shards_of_several_blocks(spark, documents, tmp_path):
+    path = str(tmp_path / "w")
+    wavelet.write_shards(documents.limit(60), path, VOCAB, 2, 2, block_tokens=500)
+    shards: dict = {}
+    for r in spark.read.parquet(path).orderBy("shard", "block").collect():
+        shards.setdefault(r.shard, []).append(wavelet.WaveletMatrix(r.payload).all().astype(np.int64))
+    assert all(len(b) > 2 for b in shards.values())
+    ids = {s: np.concatenate(b) for s, b in shards.items()}
+    for token in (2, 11, 60000):
+        where = {s: np.flatnonzero(x == token) for s, x in ids.items()}
+        assert {r.shard: r.n for r in wavelet.shard_count(spark, path, token).collect()} == {s: len(w) for s, w in where.items()}
+        for k in (0, 17, 10**6):
+            got = {r.shard: r.position for r in wavelet.shard_locate(spark, path, token, k).collect()}
+            assert got == {s: w[k] for s, w in where.items() if k < len(w)}
+    asked = [(s, p) for s, x in ids.items() for p in (0, 499, len(x) // 2, len(x) - 1)]
+    rows = spark.createDataFrame([*asked, (0, -1), (0, 10**9)], "shard int, position long")
+    got = {(r.shard, r.position): r.token for r in wavelet.shard_access(rows, path).collect()}
+    assert got == {(s, p): ids[s][p] for s, p in asked}
+
+
 @pytest.mark.parametrize("block_ids", [1, 7, 1 << 18])
 def test_token_counts(odd, library, block_ids):
     few = odd.where("doc_id is null or doc_id <> 6") if block_ids == 1 else odd
