@@ -2,126 +2,171 @@
 
 A text without doubled or exotic white space is cut before every single space and newline. The
 pre-tokenizer's pattern starts a new piece at each of those cuts, so the ids of the text are the
-ids of its chunks put together. Chunks not met before are encoded by the library, many at once, as
-one text. Texts with other white space go to the library as they are, and so do texts that hold an
-added token such as <|endoftext|>, unless those are to be encoded as ordinary text.
+ids of its chunks put together. Each distinct chunk of a batch is looked up once. Chunks not met before are put one after the other and encoded by the
+library as one text; the widths of the ids tell where each chunk ends. Words of Latin letters are
+known to be one piece, so they pass the pattern by. Texts with other white space go to the library
+as they are, and so do texts that hold an added token such as <|endoftext|>, unless those are to be
+encoded as ordinary text.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import compress, repeat
-from operator import is_
+import re
+from functools import reduce
+from itertools import compress, filterfalse, repeat
+from operator import is_, not_
 
 import numpy as np
-
-#: Chunks, and words, held by a worker before it starts anew (about 250 bytes each).
-CACHE_CHUNKS = 600_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of chunks and their ids held by a worker, about ENTRY a chunk included. Beyond, only the
+#: chunks of the texts at hand stay.
+CACHE_BYTES = 128 << 20
+ENTRY = 200
+#: Chunks put together as one text for the library.
+TOGETHER = 4096
+NUL, EMPTY = pa.scalar("\0", pa.large_string()), pa.scalar("", pa.large_string())
+OTHER_SPACE = re.compile(r"[^\S \n]")
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
+#: Letters up to here are the same in every version of Unicode.
+LAST_LETTER = 0x24F
+BEYOND = re.compile(f"[^\0-{chr(LAST_LETTER)}]")
 
 
 class ChunkedEncoder:
-    """encode(texts) gives a uint32 array of ids for each text, equal to the library's own with
-    encode_special_tokens set to `special_as_text` (the library's default is False)."""
+    """encode(texts) gives the ids of the texts as numbers of `dtype`, equal to the library's own with
+    encode_special_tokens set to `special_as_text` (its default is False)."""
 
-    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS, special_as_text: bool = True):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         added = self.tokenizer.get_added_tokens_decoder().values()
         #: Texts of the tokens that the library cuts out before any pre-tokenizing.
         self.added = tuple(t.content for t in added if not (special_as_text and t.special))
-        self.cache_chunks = cache_chunks
+        self.cache_bytes, self.held = cache_bytes, 0
         self.cache: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # ours is larger and shared by all texts
+        self.marks: dict[str, bytes] = {}
+        # For words known to be one piece each: the same model, which only cuts at a mark. The
+        # vocabulary's spelling of bytes is taken from the library.
+        self.pieces = Tokenizer.from_file(path)
+        letters = " " + "".join(filter(str.isalpha, map(chr, range(LAST_LETTER + 1))))
+        spelled = "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letters))
+        self.spelling = dict(zip(letters.encode(), spelled, strict=True))
+        self.pieces.pre_tokenizer = CharDelimiterSplit("\x01")
+        for t in (self.tokenizer, self.pieces):
+            if hasattr(t.model, "_resize_cache"):
+                t.model._resize_cache(0)  # ours is larger and shared by all texts
         # Bytes of text behind each id: every byte is one character in the vocabulary's spelling.
         size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _spelling(chunk: str) -> str | None:
-        """The chunk as it stands in the text; None where the cut rule does not hold."""
-        body = chunk[1:] if chunk[:1] in ("\n", "\0") else chunk
-        if not body or len(body.split()) != 1 or body[0].isspace() or body[-1].isspace():
-            return None
-        return " " + chunk if chunk[0] not in "\n\0" else chunk
-
-    def _learn(self, chunks: set[str]) -> None:
-        cache, words = self.cache, self.words
-        todo, new = [], {}
-        for c in chunks:
-            word = c.rstrip(MARKS)
-            if word.isalpha():
-                # Letters and then ASCII marks are two pieces; many marks follow the same letters.
-                # A word is kept without its space, so that chunk and word can be one string.
-                parts = (c,) if len(word) == len(c) else (word, c[len(word) :])
-                todo.append((c, parts))
-                for x in parts:
-                    if x not in words:
-                        new[x] = None
-                continue
-            s = self._spelling(c)
-            if s is None or c[0] == "\0":
-                cache[c] = None if s is None else self._library([c[1:]])[0].tobytes()
-                continue
-            word = s.rstrip(MARKS)
-            parts = (word, s[len(word) :]) if word[1:].isalpha() and len(word) < len(s) else (s,)
-            todo.append((c, parts))
-            for x in parts:
-                if x not in words:
-                    new[x] = None
-        spelled = {x: " " + x if x.isalpha() else x for x in new}
-        apart = [x for x, y in spelled.items() if y[0] not in " \n"]
-        words.update(zip(apart, (ids.tobytes() for ids in self._library(apart)), strict=True))
-        joined = [x for x, y in spelled.items() if y[0] in " \n"]
-        for at in range(0, len(joined), 4096):
-            part = joined[at : at + 4096]
-            ids = self._library(["".join(map(spelled.__getitem__, part))])[0]
-            ends = np.cumsum([len(spelled[x].encode()) for x in part])
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
-            raw, start = ids.tobytes(), 0
-            for x, cut in zip(part, (4 * cuts).tolist(), strict=True):
-                words[x] = raw[start:cut]
-                start = cut
-        for c, parts in todo:
-            cache[c] = words[parts[0]] if len(parts) == 1 else words[parts[0]] + words[parts[1]]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cache, missing, cut = self.cache, set(), []
-        if len(cache) > self.cache_chunks:
-            cache.clear()
-        if len(self.words) > self.cache_chunks * 3 // 4:
-            self.words.clear()
-        for t in texts:
-            # A NUL in the text would look like the mark of a first chunk.
-            whole = not t or "\0" in t or any(a in t for a in self.added)
-            parts = [] if whole else ("\0" + t.replace("\n", " \n")).split(" ")
-            found = list(map(cache.get, parts))
-            if None in found:
-                missing.update(compress(parts, map(is_, found, repeat(None))))
-            cut.append((parts, found))
-        if missing:
-            self._learn(missing)
-        out: list[np.ndarray | None] = []
-        rest = []
-        for i, (parts, found) in enumerate(cut):
-            if None in found:
-                found = [cache[p] if f is None else f for p, f in zip(parts, found, strict=True)]
-            if not parts or None in found:  # the text couldn't be cut
-                out.append(None)
-                rest.append(i)
-            else:
-                out.append(np.frombuffer(b"".join(found), dtype="<u4"))
-        for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _put(self, part: list[str], space: np.ndarray, skip: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep the ids of each chunk of part, of the ids of all of them one after the other. sizes:
+        bytes of each chunk; space: one before it; skip: ids in front that aren't the chunk's."""
+        cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes + space), side="left") + 1
+        starts = np.concatenate([[0], cuts[:-1]]) + skip
+        raw, unit = ids.tobytes(), self.dtype.itemsize
+        self.cache.update(zip(part, map(raw.__getitem__, map(slice, (starts * unit).tolist(), (cuts * unit).tolist())), strict=True))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters, each with a space before it. Every one is a piece of its own, so they
+        are spelled here and only cut at a mark by the library."""
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            spelled = (" " + "\x01 ".join(part)).encode().decode("latin-1").translate(self.spelling)
+            ids = np.array(self.pieces.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, self.dtype)
+            sizes = np.diff(np.frombuffer(pa.array(part, pa.large_string()).buffers()[1], "<i8", len(part) + 1))
+            self._put(part, np.ones(len(part), bool), np.zeros(len(part), bool), ids, sizes)
+
+    def _learn(self, known: list[str]) -> None:
+        """Chunks stand without their space; a text's first chunk, which has none, begins with NUL.
+        Chunks with or beside other white space, for which the cut rule doesn't hold, become None."""
+        cache, bare = self.cache, ("", "\n", "\0")
+        before = len(cache)
+        joined = " ".join(known)
+        if OTHER_SPACE.search(joined) or not set(bare).isdisjoint(known):
+            bad = {c for c in known if c in bare or OTHER_SPACE.search(c)}
+            cache.update(dict.fromkeys(bad))
+            known = [c for c in known if c not in bad]
+        # Letters and then marks are two pieces, and many marks follow the same letters.
+        words = list(map(str.rstrip, known, repeat(MARKS)))
+        plain = list(map(str.isalpha, words))
+        if BEYOND.search(joined):
+            plain = [p and not BEYOND.search(w) for p, w in zip(plain, words, strict=True)]
+        self._learn_words(list(filterfalse(cache.__contains__, set(compress(words, plain)))))
+        marked = [(c, w, c[len(w) :]) for c, w in compress(zip(known, words, strict=True), plain) if len(c) != len(w)]
+        for k in {k for _, _, k in marked} - self.marks.keys():
+            self.marks[k] = self._library([k])[0].tobytes()
+        cache.update([(c, cache[w] + self.marks[k]) for c, w, k in marked])
+        other = list(compress(known, map(not_, plain)))
+        for at in range(0, len(other), TOGETHER):
+            part = other[at : at + TOGETHER]
+            # A first chunk stands after a newline here, which is a piece of its own and one id.
+            ids = self._library([(" " + " ".join(part)).replace(" \n", "\n").replace(" \0", "\n")])[0]
+            text = pa.array(part, pa.large_string())
+            offsets = np.frombuffer(text.buffers()[1], "<i8", len(part) + 1)
+            head = np.frombuffer(text.buffers()[2], np.uint8)[offsets[:-1]]
+            self._put(part, (head != 0) & (head != 10), head == 0, ids, np.diff(offsets))
+        self.held += len(joined) + ENTRY * (len(cache) - before)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each). Null texts are empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        # A NUL in the text would look like the mark of a first chunk.
+        whole = reduce(pc.or_, (pc.match_substring(texts, x) for x in ("\0", *self.added)))
+        marked = pc.binary_join_element_wise(NUL, pc.replace_substring(pc.if_else(whole, EMPTY, texts), "\n", " \n"), EMPTY)
+        chunks = pc.split_pattern(marked, " ")
+        first = chunks.offsets.to_numpy()[:-1] - chunks.offsets[0].as_py()
+        coded = chunks.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        # No chunk holds a space, so one string of all of them is cut by Python much faster.
+        distinct = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
+        found = list(map(self.cache.get, distinct))
+        if self.held > self.cache_bytes:
+            self.cache = {c: f for c, f in zip(distinct, found, strict=True) if f is not None}
+            self.held = sum(map(len, self.cache)) + (ENTRY + 12) * len(self.cache)
+        if None in found:
+            self._learn(list(filterfalse(self.cache.__contains__, compress(distinct, map(is_, found, repeat(None))))))
+            found = [self.cache[c] if f is None else f for c, f in zip(distinct, found, strict=True)]
+        bad = None in found
+        if bad:  # chunks that can't be cut: their texts go to the library whole
+            bad_chunk = np.fromiter(map(is_, found, repeat(None)), bool, len(found))
+            found = [f or b"" for f in found]
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        each = size[codes]
+        ids = flat[np.repeat(start[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        sizes = np.add.reduceat(each, first)
+        if bad:
+            rest = np.flatnonzero(np.logical_or.reduceat(bad_chunk[codes], first))
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for k, x in zip(rest.tolist(), self._library(texts.take(pa.array(rest)).to_pylist()), strict=True):
+                parts[k] = x
+            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, sizes
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """The ids with the id end after those of each text."""
+    out = np.empty(len(ids) + len(sizes), ids.dtype)
+    own = np.ones(len(out), bool)
+    own[np.cumsum(sizes + 1) - 1] = False
+    out[own], out[~own] = ids, end
+    return out
 
 
 _encoders: dict[tuple[str, bool], ChunkedEncoder] = {}

@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from itemforge.llm.bpe_cache import encoder
-from itemforge.llm.common import materialize, scratch_path, text_or_empty
+from itemforge.llm.bpe_cache import encoder, with_ends
+from itemforge.llm.common import materialize, scratch_path, text_or_empty, text_slices
 
 BLOCK_IDS = 1 << 18
+TEXT_SLICE = 8 << 20  # bytes of text encoded at once
 FLAT = "kind string, file int, block int, n long, payload binary"
 
 
@@ -100,7 +101,6 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, separator: int, bloc
     'docs'), partitioned by kind."""
     size = np.dtype(dtype).itemsize
     step = block_ids * size
-    end = np.array([separator], dtype).tobytes()
 
     def row(kind, file, block, n, payload):
         return pa.RecordBatch.from_arrays(
@@ -117,11 +117,8 @@ def write_flat(docs: DataFrame, path: str, vocabulary: str, separator: int, bloc
         if max(separator, enc.tokenizer.get_vocab_size() - 1) >> 8 * size:
             raise ValueError(f"ids of this vocabulary don't fit {dtype}")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for ids in enc.encode(part.column("text").to_pylist()):
-                    flat += ids.astype(dtype).tobytes()
-                    flat += end
+            for part in text_slices(batch, "text", rows=1 << 14, size=TEXT_SLICE):
+                flat += with_ends(*enc.encode(part.column("text")), separator).astype(dtype).tobytes()
                 names = part.column("doc_id").to_numpy(zero_copy_only=False) if not part.column("doc_id").null_count else None
                 known = np.array([d is not None for d in part.column("doc_id").to_pylist()], "u1")
                 values = part.column("doc_id").fill_null(0).to_numpy() if names is None else names

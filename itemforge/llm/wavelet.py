@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from itemforge.llm.bpe_cache import encoder
-from itemforge.llm.common import scratch_path, text_or_empty
+from itemforge.llm.bpe_cache import encoder, with_ends
+from itemforge.llm.common import scratch_path, text_or_empty, text_slices
 
 HEAD = struct.Struct("<4sIQQQ")
 STEP = 512  # bits between two stored ranks
 BLOCK_TOKENS = 1 << 20
+TEXT_SLICE = 8 << 20  # bytes of text encoded at once
+SHARD_BYTES = 256 << 20  # of text
 BLOCKS = "shard int, block int, n_docs long, n_tokens long, payload binary"
 
 
@@ -134,13 +136,12 @@ class WaveletMatrix:
         return out
 
 
-def pack(doc_ids: list, docs: list[np.ndarray], levels: int) -> tuple[int, bytes]:
-    sizes = np.array([len(d) for d in docs], np.int64)
-    ids = np.concatenate(docs).astype(np.uint16 if levels <= 16 else np.uint32)
+def pack(doc_ids: list, ids: np.ndarray, sizes: np.ndarray, levels: int) -> tuple[int, bytes]:
+    """Number of ids, and the payload of documents that lie one after the other in ids."""
     n_null = sum(d is None for d in doc_ids)
-    head = HEAD.pack(b"WVM1", levels, len(docs), len(ids), n_null)
+    head = HEAD.pack(b"WVM1", levels, len(sizes), len(ids), n_null)
     directory = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.cumsum(sizes).astype("<i8").tobytes()
-    return len(ids), b"".join([head, directory, *build(ids, levels)])
+    return len(ids), b"".join([head, directory, *build(ids.astype(np.uint16 if levels <= 16 else np.uint32), levels)])
 
 
 def write_shards(
@@ -149,8 +150,6 @@ def write_shards(
 ) -> None:
     """Encode (doc_id, text) in ascending doc_id order and write the blocks to path. Without
     special_as_text, an added token's text becomes its id, as in the library's default call."""
-    end = np.array([end_id], "<u4")
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -159,26 +158,32 @@ def write_shards(
         levels = max(enc.tokenizer.get_vocab_size() - 1, end_id).bit_length()
         ids: list = []
         held: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         size = 0
 
         def flush():
-            nonlocal ids, held, size, block
-            n, payload = pack(ids, held, levels)
+            nonlocal ids, held, sizes, size, block
+            n, payload = pack(ids, np.concatenate(held), np.concatenate(sizes), levels)
             row = pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())],
                 names=["shard", "block", "n_docs", "n_tokens", "payload"],
             )
-            ids, held, size, block = [], [], 0, block + 1
+            ids, held, sizes, size, block = [], [], [], 0, block + 1
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column("text").to_pylist()
-                for doc_id, x in zip(part.column("doc_id").to_pylist(), enc.encode(texts), strict=True):
-                    ids.append(doc_id)
-                    held.append(np.concatenate([x, end]))
-                    size += len(x) + 1
+            for part in text_slices(batch, "text", rows=1 << 14, size=TEXT_SLICE):
+                x, each = enc.encode(part.column("text"))
+                x, each, known = with_ends(x, each, end_id), each + 1, part.column("doc_id").to_pylist()
+                upto, at, done = np.cumsum(each), 0, 0
+                while at < len(known):
+                    # Documents up to the one that fills the block.
+                    to = min(int(np.searchsorted(upto, done + block_tokens - size)) + 1, len(known))
+                    ids += known[at:to]
+                    held.append(x[done : upto[to - 1]])
+                    sizes.append(each[at:to])
+                    size += int(upto[to - 1]) - done
+                    at, done = to, int(upto[to - 1])
                     if size >= block_tokens:
                         yield flush()
         if ids:
@@ -287,9 +292,12 @@ def shard_access(positions: DataFrame, path: str) -> DataFrame:
 
 
 def token_output(docs: DataFrame, vocabulary: str, end_id: int = 2, shards: int | None = None, special_as_text: bool = True) -> DataFrame:
-    """Write the documents' ids as wavelet shards in the shared folder and read them back."""
+    """Write the documents' ids as wavelet shards in the shared folder and read them back. Without a
+    number of shards, there are as many as the session's shuffle partitions, or more for more text."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     path = scratch_path(spark, "wavelet")
     write_shards(docs, path, vocabulary, shards, end_id, special_as_text=special_as_text)
     return read_documents(spark, path)
