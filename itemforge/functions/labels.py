@@ -23,6 +23,11 @@ CHAPTERS = [
     ("semiconductor-electronics", "Semiconductor Electronics", "💻"),
 ]
 DEFAULT_ICON = "📚"
+# What a chapter file's name holds besides the chapter.
+FILE_PREFIX = "class-12-physics-"
+FILE_SUFFIXES = [
+    "-pyq-1779702121", "-pyq-1779702122", "-pyq-1779702123", "-pyq-1779702124", "-pyq-1779702125", "-pyq-1779702126", "-pyq-1779702127",
+]
 # Colours by marks, by year and by chapter position.
 MARKS_COLOURS = {1: "blue", 2: "green", 3: "purple", 4: "amber", 5: "rose"}
 YEAR_COLOURS = ["sky", "violet", "emerald", "orange", "pink"]
@@ -99,11 +104,19 @@ def year_range(low: Column, high: Column) -> Column:
     return F.coalesce(F.concat(low.cast("string"), F.lit("–"), high.cast("string")), F.lit(""))
 
 
+def title_case(c: Column) -> Column:
+    """Every run of cased letters with a capital first, as after digits and apostrophes, too."""
+    runs = F.regexp_extract_all(c, F.lit(r"[\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))), "")
+
+
 def chapter_of_file(stem: Column) -> Column:
-    """The first chapter whose key is in the name, keys in alphabetical order; else the name itself."""
-    prefix, suffix = "class-12-physics-", r"-[a-z]{3}-\d{10}"
-    plain = F.initcap(F.replace(F.regexp_replace(F.replace(stem, F.lit(prefix), F.lit("")), suffix, ""), F.lit("-"), F.lit(" ")))
-    out = plain
+    """The first chapter whose key is in the name, keys in alphabetical order; else the bare name in
+    title case."""
+    bare = stem
+    for part in (FILE_PREFIX, *FILE_SUFFIXES):
+        bare = F.replace(bare, F.lit(part), F.lit(""))
+    out = title_case(F.replace(bare, F.lit("-"), F.lit(" ")))
     for key, name, _ in sorted(CHAPTERS, reverse=True):
         out = F.when(F.contains(stem, F.lit(key)), name).otherwise(out)
     return out

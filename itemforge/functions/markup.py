@@ -1,12 +1,12 @@
-"""Plain notation to delimited math markup. The order of the steps is part of their meaning: each
-step may make new math blocks, so each tokenises again."""
+"""Plain notation to delimited math markup. The order of the steps and their patterns are fixed
+values: each step may make new math blocks, so each tokenises again."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from itemforge.functions.text import control_clean, map_segments, rx, template
+from itemforge.functions.text import control_clean, map_segments, rx, template, where_found
 
 # Element symbols, two letters before one.
 ELEMENTS = (
@@ -143,13 +143,20 @@ def fuse(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("$$"), F.lit("")), F.lit("$ $"), F.lit(" "))
 
 
+# What has to occur in a text for a step to change anything in it.
+NUCLEAR_AT = r"\d\s+\d{1,2}\s+[A-Z]"
+SYMBOL_AT = "[" + "".join([*GREEK, *SIGNS]) + "√]"
+SUBSCRIPT_AT = r"\b(?:[XV][LCR]|[VIEvBbi]0|[VIEvi]m|[CLRilrn][1-5])\b"
+POWER_AT = r"\\times|\b10-\d|\\pi"
+
+
 def markup(c: Column, faithful: bool = True) -> Column:
-    """All steps in order. Null and empty texts pass through."""
-    c = nuclear(control_clean(c))
-    for step in (commands_for_symbols, roots, subscripts, powers_of_ten, wrap_commands):
-        c = map_segments(c, step)
-    c = empty_roots(omega_powers(pi_fractions(denominators(c))))
-    return fuse(inner_subscripts(c, faithful))
+    """All steps in order. Null and empty texts pass through; a step is left out of texts in which
+    nothing can set it off."""
+    c = where_found(control_clean(c), NUCLEAR_AT, nuclear)
+    for trigger, step in ((SYMBOL_AT, commands_for_symbols), (ROOT, roots), (SUBSCRIPT_AT, subscripts), (POWER_AT, powers_of_ten), (r"\\", wrap_commands)):
+        c = where_found(c, trigger, lambda x, step=step: map_segments(x, step))
+    return where_found(c, r"\$", lambda x: fuse(inner_subscripts(empty_roots(omega_powers(pi_fractions(denominators(x)))), faithful)))
 
 
 def audit(c: Column) -> list[Column]:

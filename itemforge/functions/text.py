@@ -34,11 +34,15 @@ def collapse(c: Column) -> Column:
     return strip(rx(c, r"\s+", " "))
 
 
+# Running head and foot of the pages, and a page number on its own.
+PAGE_HEAD = r"Collegedunia \| Class 12 Physics\s*\nChapter[^\n]*\n"
+PAGE_FOOT = r"Previous Year Questions • Free download at collegedunia\.com\s*\nPage \d+"
+PAGE_NUMBER = r"\nPage \d+\s*\n"
+
+
 def clean_pages(c: Column) -> Column:
     """Whole text of a file: running heads, foots and page numbers go, blank lines collapse."""
-    c = rx(c, r"\S+ \| Class 12 Physics\s*\nChapter[^\n]*\n", "")
-    c = rx(c, r"Previous Year Questions • Free download at \S+?\s*\nPage \d+", "")
-    c = rx(c, r"\nPage \d+\s*\n", "\n")
+    c = rx(rx(rx(c, PAGE_HEAD, ""), PAGE_FOOT, ""), PAGE_NUMBER, "\n")
     return strip(rx(c, r"\n{3,}", "\n\n"))
 
 
@@ -76,14 +80,21 @@ MATH = r"\$[^$]+\$"
 
 
 def segments(c: Column) -> Column:
-    """The text cut into $...$ blocks and what lies between; nothing is lost."""
-    return F.regexp_extract_all(c, F.lit(f"{MATH}|(?:(?!{MATH})[\\s\\S])+"), F.lit(0))
+    """The text cut into $...$ blocks and what lies between; nothing is lost. Only a dollar sign can
+    begin a block, so only there is looked ahead."""
+    return F.regexp_extract_all(c, F.lit(MATH + r"|(?:[^$]++|\$(?![^$]+\$))++"), F.lit(0))
 
 
 def is_math(segment: Column) -> Column:
     return F.startswith(segment, F.lit("$")) & F.endswith(segment, F.lit("$")) & (F.length(segment) > 2)
 
 
+def where_found(c: Column, trigger: str, fn: Callable[[Column], Column]) -> Column:
+    """fn(c) where the trigger occurs, c elsewhere. The text is the one element of an array, so that
+    it is made once however often it is named."""
+    return F.transform(F.array(c), lambda x: F.when(F.rlike(x, F.lit(U + trigger)), fn(x)).otherwise(x))[0]
+
+
 def map_segments(c: Column, fn: Callable[[Column], Column], math: bool = False) -> Column:
     """Apply fn to the segments outside math blocks (or, with math, to the blocks)."""
 

@@ -36,7 +36,7 @@ def test_text_functions(spark):
     assert column(spark, ["A, B/C"], tx.slug) == ["a-b-c"]
     assert column(spark, ["  a  \n b \t", None], tx.collapse) == ["a b", None]
     assert column(spark, ["50% off", "50 off"], lambda c: tx.contains_ci(c, "50% O")) == [True, False]
-    page = "Somewhere | Class 12 Physics \nChapter 3\nBody\n\n\n\nMore\nPage 7\nEnd"
+    page = "Collegedunia | Class 12 Physics \nChapter 3\nBody\n\n\n\nMore\nPage 7\nEnd"
     assert column(spark, [page], tx.clean_pages) == ["Body\n\nMore\nEnd"]
 
 
@@ -45,8 +45,8 @@ def test_labels(spark):
     assert column(spark, [100, 51, 50, 0], lab.progress_band, "long") == ["green", "blue", "amber", "gray"]
     pairs = spark.createDataFrame([(29, 200), (1, 8), (0, 0)], "a long, b long")
     assert [r[0] for r in pairs.select(lab.percent(F.col("a"), F.col("b"))).collect()] == [14, 13, 0]
-    files = ["class-12-physics-atoms-abc-1779702121", "class-12-physics-new-topic-abc-1779702122"]
-    assert column(spark, files, lab.chapter_of_file) == ["Atoms", "New Topic"]
+    files = ["class-12-physics-atoms-pyq-1779702121", "class-12-physics-new-topic-pyq-1779702122", "class-12-physics-o'hare-3d-pyq-1779702129"]
+    assert column(spark, files, lab.chapter_of_file) == ["Atoms", "New Topic", "O'Hare 3D Pyq 1779702129"]
     assert column(spark, ["Atoms", "Other"], lab.chapter_icon) == ["🔬", "📚"]
 
 
