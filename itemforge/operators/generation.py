@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.functions.text import strip
+from itemforge.sources.bank import numbered
 
 BATCH = 8
 REPLY = "array<struct<id:string,answer:string>>"
@@ -14,11 +15,15 @@ REPLY = "array<struct<id:string,answer:string>>"
 def batches(df: DataFrame, order: str, size: int = BATCH, group: str | None = None) -> DataFrame:
     """Number rows into batches of size in stored order, within each group or over all rows.
 
-    Over all rows, order has to be a gapless position from 0 (sources.bank.numbered makes one)."""
+    Over all rows, order has to be a gapless position from 0 (sources.bank.numbered makes one).
+    Within groups, all rows are numbered by group and order, and a group's first number is taken
+    off, so that no task holds a large group."""
     if group is None:
         return df.withColumn("batch", F.floor(F.col(order) / size).cast("long"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("batch", F.floor((rank - 1) / size).cast("long"))
+    rows = numbered(df, F.col(group), F.col(order), name="batch")
+    first = rows.groupBy(F.col(group).alias("own_group")).agg(F.min("batch").alias("first_of_group"))
+    both = rows.join(first, F.col(group).eqNullSafe(F.col("own_group")))
+    return both.withColumn("batch", F.floor((F.col("batch") - F.col("first_of_group")) / size).cast("long")).drop("own_group", "first_of_group")
 
 
 def prompts(batched: DataFrame, instructions: str, order: str = "ord") -> DataFrame:

@@ -16,9 +16,11 @@ def last_wins(df: DataFrame, keys: list[str], value: str, order: list[str]) -> D
 def match_answers(questions: DataFrame, solved: DataFrame) -> DataFrame:
     """Answers by (year, first 80 characters of the normalised text). The last file in name order
     wins; pairs without an answer don't take part; an item keeps its answer where nothing matches."""
-    pairs = solved.where(F.coalesce("answer", F.lit("")) != "").withColumn("key", match_key(F.col("question")))
+    # The key is never null, so no filter is inferred that would make it twice. NUL is in no key.
+    key = F.coalesce(match_key(F.col("question")), F.lit("\0"))
+    pairs = solved.where((F.coalesce("answer", F.lit("")) != "") & F.col("question").isNotNull()).withColumn("key", key)
     found = last_wins(pairs, ["year", "key"], "answer", ["file", "pair_ord"]).withColumnRenamed("answer", "found")
-    keyed = questions.withColumn("key", match_key(F.col("question")))
+    keyed = questions.withColumn("key", key)
     joined = keyed.join(found, ["year", "key"], "left")
     return joined.withColumn("answer", F.coalesce("found", "answer")).select(*questions.columns)
 

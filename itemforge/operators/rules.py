@@ -53,14 +53,17 @@ MAX_BROADCAST_RULES = 100_000
 
 
 def tag_by_table(questions: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
-    """(key, removed_reason) with rules held in a table: the stated rules against all items, in
-    blocks of counted size, each broadcast to one pass over the items."""
+    """(key, removed_reason) with rules held in a table. Rules of a chapter meet its items by an
+    equi-join; the stated rules without a chapter meet all items, in blocks of counted size, each
+    broadcast to one pass over the items."""
     left = questions.select(key, F.col("chapter").alias("c"), F.lower("question").alias("t"))
-    applies = (F.col("chapter").isNull() | (F.col("chapter") == F.col("c"))) & F.contains(F.col("t"), F.col("keyword"))
-    blocks = max(1, -(-rules.count() // MAX_BROADCAST_RULES))
-    block = F.pmod(F.xxhash64("rule_ord", "kw_ord"), F.lit(blocks))
-    hits = reduce(DataFrame.union, (left.join(F.broadcast(rules.where(block == k)), applies) for k in range(blocks)))
-    first = hits.groupBy(key).agg(F.min_by("label", F.struct("rule_ord", "kw_ord")).alias("removed_reason"))
+    found = F.contains(F.col("t"), F.col("keyword"))
+    hits = [left.join(rules.where("chapter is not null"), (F.col("chapter") == F.col("c")) & found)]
+    general = rules.where("chapter is null")
+    blocks = -(-general.count() // MAX_BROADCAST_RULES)
+    block = F.pmod(F.xxhash64("rule_ord", "kw_ord"), F.lit(max(1, blocks)))
+    hits += [left.join(F.broadcast(general.where(block == k)), found) for k in range(blocks)]
+    first = reduce(DataFrame.union, hits).groupBy(key).agg(F.min_by("label", F.struct("rule_ord", "kw_ord")).alias("removed_reason"))
     return questions.select(key).join(first, key, "left")
 
 

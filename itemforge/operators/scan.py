@@ -19,13 +19,31 @@ def _found(c: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
+def running(df: DataFrame, file: str, n: str, value: Column, name: str) -> DataFrame:
+    """With the running sum of value over a file's lines: block numbers, where value marks the breaks."""
+    so_far = Window.partitionBy(file).orderBy(n).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(name, F.sum(value.cast("long")).over(so_far))
+
+
+def carried(df: DataFrame, file: str, n: str, value: Column, start: Column, name: str) -> DataFrame:
+    """With the last value that isn't null up to each line of a file, or start before there is one."""
+    so_far = Window.partitionBy(file).orderBy(n).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(so_far), start))
+
+
+def joined_blocks(df: DataFrame, keys: list[str], n: str, text: Column, *more: Column) -> DataFrame:
+    """One row a block, with its lines in order as body."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(n).alias("n"), text.alias("t")))), lambda x: x["t"])
+    return df.groupBy(*keys).agg(F.array_join(lines, "\n").alias("body"), *more)
+
+
 def chapter_questions(docs: DataFrame, intended: bool = False) -> DataFrame:
     """Questions of chapter texts (file, chapter, text).
 
     Lines fall into blocks that begin at Qn. A block is a question if its first line has text after
     the mark and is no marks header. Marks carry forward from headers outside question blocks
     (faithful) or from any header (intended, which also leaves header lines out of bodies). Ids
-    number the kept questions of a chapter.
+    number the kept questions of a chapter, file after file.
     """
     lines = text_lines(docs.select("file", clean_pages(F.col("text")).alias("text")))
     line = strip(F.col("line"))
@@ -34,22 +52,23 @@ def chapter_questions(docs: DataFrame, intended: bool = False) -> DataFrame:
     lines = lines.withColumn("body0", _found(F.col("line"), U + r"^Q\d+\.\s+(.*)"))
     # A start without a body text ("Q1. " is stripped) is only a break.
     lines = lines.withColumn("start", F.col("line").rlike(U + r"^Q\d+\.\s+") & F.col("hdr").isNull())
-    so_far = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = lines.withColumn("blk", F.sum(F.col("brk").cast("int")).over(so_far))
-    block = Window.partitionBy("file", "blk")
-    first = F.min_by("start", "n").over(block)
+    lines = running(lines, "file", "n", F.col("brk"), "blk")
+    first = F.min_by("start", "n").over(Window.partitionBy("file", "blk"))
     lines = lines.withColumn("is_q", (F.col("blk") > 0) & F.coalesce(first, F.lit(False)))
     seen = F.col("hdr") if intended else F.when(~F.col("is_q"), F.col("hdr"))
-    lines = lines.withColumn("marks", F.coalesce(F.last(seen, ignorenulls=True).over(so_far), F.lit(1)))
+    lines = carried(lines, "file", "n", seen, F.lit(1), "marks")
     text = F.when(F.col("start"), F.coalesce("body0", F.lit(""))).otherwise(F.col("line"))
     body = lines.where("is_q" if not intended else F.col("is_q") & F.col("hdr").isNull())
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", text.alias("t")))), lambda x: x["t"]), "\n")
-    blocks = body.groupBy("file", "blk").agg(strip(joined).alias("full"), F.min_by("marks", "n").alias("marks"))
+    blocks = joined_blocks(body, ["file", "blk"], "n", text, F.min_by("marks", "n").alias("marks")).withColumn("full", strip(F.col("body")))
     year = _found(F.col("full"), U + YEAR_TAG).cast("int")
     asked = blocks.select("file", "blk", "marks", year_or_zero(year).alias("year"), collapse(rx(F.col("full"), YEAR_TAG, "")).alias("question"))
     asked = asked.where(F.length("question") > 15).join(docs.select("file", "chapter"), "file")
-    rank = F.row_number().over(Window.partitionBy("chapter").orderBy("file", "blk"))
-    return asked.select(
+    # Ranks within a file, and the counts of the chapter's files before it: one row a file.
+    sizes = asked.groupBy("chapter", "file").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("chapter").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.col("offset") + F.row_number().over(Window.partitionBy("file").orderBy("blk"))
+    return asked.join(offset, "file").select(
         "file", "blk", F.concat(id_prefix(F.col("chapter")), F.lit("-"), rank.cast("string")).alias("id"), "chapter", "marks", "year", "question",
         F.lit(None).cast("string").alias("answer"), F.lit(False).alias("bookmarked"), F.lit(False).alias("solved"),
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemforge import schemas
+from itemforge.scratch import materialize
 
 # Solved papers by file name, with their year.
 SOLVED_PAPERS = {
@@ -33,6 +36,11 @@ def document_text(pages: DataFrame) -> DataFrame:
     return pages.groupBy("file").agg(F.concat(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n"), F.lit("\n")).alias("text"))
 
 
+def append(*tables: DataFrame) -> DataFrame:
+    """The rows of all tables (union all), as lists from several files are put together."""
+    return reduce(DataFrame.unionByName, tables)
+
+
 def text_lines(docs: DataFrame, key: str = "file", text: str = "text") -> DataFrame:
     """(file, n, line): every line, empty ones too, numbered from 0."""
     return docs.select(F.col(key), F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
@@ -56,19 +64,38 @@ def preferred(spark: SparkSession, raw: str, cooked: str) -> str:
     return raw if exists(spark, raw) else cooked
 
 
+#: Questions that still go into one exchange document, which is one row.
+MAX_DOCUMENT_ROWS = 100_000
+
+
 def write_bank(questions: DataFrame, chapters: DataFrame, path: str) -> None:
-    """One root document for exchange (a bank is small). Large stages write Parquet tables instead."""
+    """One root document for exchange. Larger banks are refused: write_bank_lines takes them."""
+    total = questions.count()
+    if total > MAX_DOCUMENT_ROWS:
+        raise ValueError(f"{total} questions are too many for one document; use write_bank_lines")
+
     def listed(df: DataFrame, name: str) -> DataFrame:
         fields = F.struct("ord", F.struct(*(c for c in df.columns if c != "ord")).alias("row"))
-        return df.agg(F.transform(F.array_sort(F.collect_list(fields)), lambda x: x["row"]).alias(name), F.count("*").alias(f"n_{name}"))
+        return df.agg(F.transform(F.array_sort(F.collect_list(fields)), lambda x: x["row"]).alias(name)).withColumn("one", F.lit(1))
 
     # A struct with a map can't be sorted; only its order can, so maps travel as entries.
     safe = chapters.withColumn("marks_dist", F.to_json("marks_dist"))
-    root = listed(questions, "questions").crossJoin(listed(safe, "chapters"))
-    matched = questions.agg(F.count_if(F.coalesce("answer", F.lit("")) != "").alias("matched_answers"))
+    matched = questions.agg(F.count_if(F.coalesce("answer", F.lit("")) != "").alias("matched_answers")).withColumn("one", F.lit(1))
+    root = listed(questions, "questions").join(listed(safe, "chapters"), "one").join(matched, "one")
     parsed = F.transform("chapters", lambda c: c.withField("marks_dist", F.from_json(c["marks_dist"], "map<string,bigint>")))
-    whole = root.crossJoin(matched).select(parsed.alias("chapters"), "questions", F.col("n_questions").alias("total"), "matched_answers")
-    whole.coalesce(1).write.mode("overwrite").json(path)
+    root.select(parsed.alias("chapters"), "questions", F.lit(total).alias("total"), "matched_answers").coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_bank_lines(questions: DataFrame, chapters: DataFrame, path: str) -> None:
+    """A bank of any size as JSON lines with their stored order, one folder a table, and the totals."""
+    questions.write.mode("overwrite").json(f"{path}/questions")
+    chapters.write.mode("overwrite").json(f"{path}/chapters")
+    matched = F.count_if(F.coalesce("answer", F.lit("")) != "").alias("matched_answers")
+    questions.agg(F.count("*").alias("total"), matched).write.mode("overwrite").json(f"{path}/totals")
+
+
+def read_bank_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema(schemas.QUESTION).json(f"{path}/questions"), spark.read.schema(schemas.CHAPTER).json(f"{path}/chapters")
 
 
 def stored_set(table: DataFrame, key: str) -> DataFrame:
@@ -86,11 +113,17 @@ def set_value(ids: DataFrame) -> DataFrame:
     return ids.agg(F.to_json(F.array_sort(F.collect_set("id"))).alias("value"))
 
 
-def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """Stored order as a column, without one task for all rows: counts a partition, then offsets."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))
-    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("__p", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__base"))
-    return ranged.join(F.broadcast(base), "__p").withColumn("ord", F.col("__base") + F.col("__i") - 1).drop("__p", "__i", "__base")
+def numbered(df: DataFrame, *order: Column, name: str = "ord") -> DataFrame:
+    """Positions from 0 in the given order, without one task for all rows: a range partitioning,
+    written once, then each partition's count is added to the positions in the later ones."""
+    at = "at"
+    while at in df.columns:
+        at += "_"
+    part, inside = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
+    ranged = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    base = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rows = ranged.withColumn(name, inside) if name not in df.columns else ranged.drop(name).withColumn(name, inside)
+    out = rows.alias("r").join(F.broadcast(base.alias("b")), F.shiftright(F.col(f"r.{at}"), 33) == F.col("b.part"))  # one row a partition
+    kept = [c for c in rows.columns if c not in (name, at)]
+    return out.select(*(F.col(f"r.`{c}`") for c in kept), (F.col("b.base") + F.col(f"r.{name}")).alias(name))
