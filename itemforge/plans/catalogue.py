@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, each with its SQL counterpart where there is one.
 
 documents stand for items (lang for chapter, text for question), labels.quality for answers, orders
-for years and marks, events for toggles, conversations for line blocks. Operators whose patterns the
-tables don't exercise get inline rows.
+for years and marks, events for toggles, conversations for line blocks. Queries of texts whose
+patterns the tables don't hold are in catalogue_texts.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itemforge.functions import labels as lab
-from itemforge.functions import markup as mk
 from itemforge.functions import text as tx
 from itemforge.operators import generation, match, rules, scan, search, state, summary
 from itemforge.plans.bank import ItemBank
@@ -240,12 +239,8 @@ def bookmarks_semi(spark, sf):
     "SELECT conv_id, CAST(blk AS BIGINT) AS blk, string_agg(text, chr(10) ORDER BY turn) AS body FROM b WHERE blk > 0 GROUP BY conv_id, blk"
 )
 def block_scan(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    b = t(spark, sf, "conversations").withColumn("blk", F.sum((F.col("role") == "user").cast("long")).over(w)).where("blk > 0")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
-    return b.groupBy("conv_id", "blk").agg(F.array_join(ordered, "\n").alias("body"))
+    blocks = scan.running(t(spark, sf, "conversations"), "conv_id", "turn", F.col("role") == "user", "blk").where("blk > 0")
+    return scan.joined_blocks(blocks, ["conv_id", "blk"], "turn", F.col("text"))
 
 
 @query(
@@ -253,11 +248,8 @@ def block_scan(spark, sf):
     "OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), -1) AS asked FROM conversations"
 )
 def carry_forward(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w)
-    return t(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(last, F.lit(-1)).alias("asked"))
+    asked = F.when(F.col("role") == "user", F.col("turn"))
+    return scan.carried(t(spark, sf, "conversations"), "conv_id", "turn", asked, F.lit(-1), "asked").select("conv_id", "turn", "asked")
 
 
 @query("SELECT doc_id AS ord, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS batch FROM documents")
@@ -280,21 +272,11 @@ def first_number(spark, sf):
     return items(spark, sf).select("ord", tx.year_or_zero(F.nullif(F.regexp_extract("question", r"(\d{4})", 1), F.lit("")).cast("int")).alias("year"))
 
 
-@query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
-def json_field(spark, sf):
-    return t(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
-
-
 @query("SELECT p_partkey, replace(replace(replace(lower(p_name), ' ', '-'), ',', ''), '/', '-') AS slug FROM part")
 def slug(spark, sf):
     return t(spark, sf, "part").select("p_partkey", tx.slug(F.col("p_name")).alias("slug"))
 
 
-@query("SELECT doc_id AS ord, lower(text) AS question FROM documents")
-def lower_text(spark, sf):
-    return items(spark, sf).select("ord", F.lower("question").alias("question"))
-
-
 @query("SELECT doc_id AS ord, coalesce(length(a) > 0 AND NOT starts_with(a, 'Refer to the official CBSE'), false) AS has_answer FROM (SELECT d.doc_id, CASE WHEN quality = 0 THEN 'Refer to the official CBSE paper' ELSE CAST(quality AS VARCHAR) END AS a FROM documents d LEFT JOIN labels USING (doc_id))")
 def has_answer(spark, sf):
     q = answered(spark, sf).withColumn("answer", F.when(F.col("answer") == "0", "Refer to the official CBSE paper").otherwise(F.col("answer")))
@@ -317,26 +299,12 @@ def card_labels(spark, sf):
     )
 
 
-@query(
-    "SELECT count(*) FILTER ((length(text) - length(replace(text, '$', ''))) % 2 <> 0) AS odd_dollar, "
-    "count(*) FILTER (contains(text, '$\\sqrt{}$')) AS empty_root, count(*) FILTER (regexp_matches(text, '\\$\\\\pi\\$ [0-9]')) AS pi_digit, "
-    "count(*) FILTER (regexp_matches(text, '\\$\\\\omega\\$[0-9]')) AS omega_digit, count(*) FILTER (regexp_matches(text, '\\$[^$]+\\$ [0-9]([\\s,).]|$)')) AS denominator FROM documents"
-)
-def audit_counts(spark, sf):
-    return items(spark, sf).agg(*mk.audit(F.col("question")))
-
-
 @query("SELECT count(*) FILTER (trim(regexp_replace(text, '\\s+', ' ', 'g')) <> text) AS modified FROM documents")
 def changed_rows(spark, sf):
     q = items(spark, sf).select("ord", "question")
     return summary.changed_rows(q, q.withColumn("question", tx.collapse(F.col("question"))), "ord", ["question"])
 
 
-@query("SELECT event_type, count(*) AS n, count(*) % 2 = 1 AS on_ FROM events GROUP BY 1")
-def toggle_counts(spark, sf):
-    return t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), (F.count("*") % 2 == 1).alias("on_"))
-
-
 def bank_of(spark: SparkSession, sf: str) -> ItemBank:
     q = items(spark, sf).withColumns({"year": F.lit(0), "marks": (F.col("n_chars") % 5 + 1).cast("int"), "answer": F.lit(None).cast("string")})
     return ItemBank.of(q)
@@ -355,58 +323,6 @@ def bank_summary(spark, sf):
     return bank_of(spark, sf).summary().select("name", "count", "year_range", "has_1", "has_2", "has_3", "has_5")
 
 
-MARKUP_ROWS = ["235 92 U", "1 √ LC", "V0 √ 2", "XL", "3 × 108 m/s", "π 3", "2π 3", "α β", "αβ", "ω0", "∑", "30°", "", None]
-
-
-@query()
-def markup_rows(spark, sf):
-    rows = spark.createDataFrame([(k, v) for k, v in enumerate(MARKUP_ROWS)], "ord int, raw string")
-    return rows.select("ord", mk.markup(F.col("raw")).alias("text"), mk.markup(F.col("raw"), faithful=False).alias("intended"))
-
-
-@query()
-def markup_documents(spark, sf):
-    """The whole markup pass over every document."""
-    return items(spark, sf).select("ord", mk.markup(F.col("question")).alias("question"))
-
-
-ANSWERS = ["Option (b) is correct. Because x", "(c) Some text", "Intro\nStep 1: a\n2) c", "Body text. Note: units", "Note: units", "Explanation: because"]
-
-
-@query()
-def answer_segments(spark, sf):
-    rows = spark.createDataFrame([(k, v) for k, v in enumerate(ANSWERS)], "ord int, answer string")
-    return rows.select("ord", F.posexplode(scan.answer_segments(F.col("answer"))).alias("pos", "s")).select("ord", "pos", "s.*")
-
-
-CHAPTER_TEXT = (
-    "1-Mark Questions\nQ1. What is flux? [2019]\nmore\n2-Mark Questions\nQ2. Define capacitance fully [2020 • Delhi]\nQ3.\n"
-    "3-Mark Questions\nQ4. Short [2021]\nQ5. Explain total internal reflection"
-)
-PAPER_TEXT = (
-    "1. State Gauss law now\n7. still the first question\nAns. Flux is\ncharge over epsilon\n2. Define ohm precisely\n"
-    "3. Third question text\nAns. yes\n99. stops the answer\nignored"
-)
-
-
-@query()
-def chapter_scan(spark, sf):
-    docs = spark.createDataFrame([("a.pdf", "Atoms", CHAPTER_TEXT)], "file string, chapter string, text string")
-    return scan.chapter_questions(docs).select("id", "chapter", "marks", "year", "question")
-
-
-@query()
-def solved_scan(spark, sf):
-    docs = spark.createDataFrame([("p.pdf", 2020, PAPER_TEXT)], "file string, year int, text string")
-    return scan.solved_pairs(docs)
-
-
-@query("SELECT doc_id AS ord, 'ID: ' || doc_id || chr(10) || 'Chapter: ' || lang || chr(10) || 'Q: ' || text || chr(10) AS prompt FROM documents WHERE doc_id % 8 = 0 AND 1 = 0")
-def empty_prompts(spark, sf):
-    q = search.matching(items(spark, sf))
-    return generation.prompts(generation.batches(q, "ord"), "Answer each.").select(F.col("batch").alias("ord"), "prompt")
-
-
 @query(
     "SELECT doc_id // 8 AS batch, 'Answer each.' || chr(10) || chr(10) || string_agg('ID: ' || doc_id || chr(10) || 'Chapter: ' || lang || chr(10) || 'Q: ' || text || chr(10), chr(10) ORDER BY doc_id) AS prompt FROM documents GROUP BY 1"
 )

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
-from itemforge.plans import catalogue
+from itemforge.plans import catalogue, catalogue_texts
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,5 +27,6 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 
 def test_entry(spark):
-    assert entry_point.entry(spark).count() >= 0
+    assert entry_point.entry(spark).columns == ["ord", "chapter", "n_chars"]
+    assert catalogue_texts.markup_documents.__name__ in catalogue.QUERIES
     assert set(catalogue.QUERIES) <= set(entry_point.queries())

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from itemforge.operators import generation, match, rules, scan, search, state, summary
-from itemforge.plans import catalogue
 from itemforge.plans.bank import ItemBank
 from itemforge.plans.pipeline import build, extract
 from itemforge.sources import bank
@@ -29,8 +28,20 @@ def few(spark):
     )
 
 
-def test_chapter_scan(spark, sf):
-    got = [(r.id, r.marks, r.year, r.question) for r in catalogue.QUERIES["chapter_scan"](spark, sf).orderBy("id").collect()]
+CHAPTER_TEXT = (
+    "1-Mark Questions\nQ1. What is flux? [2019]\nmore\n2-Mark Questions\nQ2. Define capacitance fully [2020 • Delhi]\nQ3.\n"
+    "3-Mark Questions\nQ4. Short [2021]\nQ5. Explain total internal reflection"
+)
+PAPER_TEXT = (
+    "1. State Gauss law now\n7. still the first question\nAns. Flux is\ncharge over epsilon\n2. Define ohm precisely\n"
+    "3. Third question text\nAns. yes\n99. stops the answer\nignored"
+)
+ANSWERS = ["Option (b) is correct. Because x", "(c) Some text", "Intro\nStep 1: a\n2) c", "Body text. Note: units", "Note: units", "Explanation: because"]
+
+
+def test_chapter_scan(spark):
+    docs = spark.createDataFrame([("a.pdf", "Atoms", CHAPTER_TEXT)], "file string, chapter string, text string")
+    got = [(r.id, r.marks, r.year, r.question) for r in scan.chapter_questions(docs).orderBy("id").collect()]
     assert got == [
         ("atoms-1", 1, 2019, "What is flux? more 2-Mark Questions"),
         ("atoms-2", 1, 2020, "Define capacitance fully"),
@@ -69,8 +80,9 @@ def test_chapter_scan_random(spark):
     assert got == {f"{k:03}": s for k, t in enumerate(texts) if (s := plain_scan(t))}
 
 
-def test_solved_scan(spark, sf):
-    got = [(r.q_num, r.question, r.answer) for r in catalogue.QUERIES["solved_scan"](spark, sf).orderBy("pair_ord").collect()]
+def test_solved_scan(spark):
+    docs = spark.createDataFrame([("p.pdf", 2020, PAPER_TEXT)], "file string, year int, text string")
+    got = [(r.q_num, r.question, r.answer) for r in scan.solved_pairs(docs).orderBy("pair_ord").collect()]
     assert got == [
         (1, "State Gauss law now 7. still the first question", "Flux is charge over epsilon"),
         (2, "Define ohm precisely", None),
@@ -78,9 +90,10 @@ def test_solved_scan(spark, sf):
     ]
 
 
-def test_answer_segments(spark, sf):
+def test_answer_segments(spark):
     got = {}
-    for r in catalogue.QUERIES["answer_segments"](spark, sf).orderBy("ord", "pos").collect():
+    rows = spark.createDataFrame([*enumerate(ANSWERS)], "ord int, answer string")
+    for r in rows.select("ord", F.posexplode(scan.answer_segments(F.col("answer"))).alias("pos", "s")).select("ord", "pos", "s.*").orderBy("ord", "pos").collect():
         got.setdefault(r.ord, []).append((r.type, r.label, r.content))
     assert list(got.values()) == [
         [("option", "B", "Option (B) is correct"), ("plain", None, "Because x")],
@@ -157,11 +170,13 @@ def test_toggle_stream_equals_batch(spark, sf, tmp_path):
     events.repartition(3).write.parquet(source)
     stream = toggles.toggled_stream(toggles.toggle_stream(spark, source, events.schema), keys)
     want = {tuple(r) for r in state.toggled(events, keys).collect()}
-    q = toggles.keep_current(stream, keys, "current_sets", str(tmp_path / "c1"))
-    q.awaitTermination()
-    assert {tuple(r) for r in spark.table("current_sets").where("on").select(*keys).collect()} == want
+    stream = toggles.toggled_stream(toggles.toggle_stream(spark, source, events.schema, files=1), keys)
     q = toggles.to_table(stream, str(tmp_path / "t"), str(tmp_path / "c2"))
     q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "t")).select("batch").distinct().count() == 3
+    assert {tuple(r) for r in toggles.current_from_table(spark, str(tmp_path / "t"), keys).collect()} == want
+    toggles.compact(spark, str(tmp_path / "t"), keys)
+    assert spark.read.parquet(str(tmp_path / "t")).select("batch").distinct().count() == 2
     assert {tuple(r) for r in toggles.current_from_table(spark, str(tmp_path / "t"), keys).collect()} == want
 
 
@@ -174,6 +189,10 @@ def test_bank_round_trip(spark, few, tmp_path):
     q, c = bank.read_bank(spark, path)
     assert sorted(map(tuple, q.select(*few.columns).collect())) == sorted(map(tuple, few.collect()))
     assert {r.name: r.marks_dist for r in c.collect()} == {r.name: r.marks_dist for r in chapters.collect()}
+    bank.write_bank_lines(full, chapters, path + "-lines")
+    q, c = bank.read_bank_lines(spark, path + "-lines")
+    assert sorted(map(tuple, q.select(*few.columns).collect())) == sorted(map(tuple, few.collect()))
+    assert {r.name: r.marks_dist for r in c.collect()} == {r.name: r.marks_dist for r in chapters.collect()}
     assert bank.preferred(spark, str(tmp_path / "none"), path) == path
 
 
@@ -189,6 +208,12 @@ def test_numbered_and_batches(spark):
     rows = sorted(map(tuple, df.select("v", "ord").collect()))
     assert [o for _, o in rows] == list(range(100))
     assert generation.batches(df, "ord").where("batch = 12").count() == 4
+    grouped = spark.range(90).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.lit("x").alias("ord"), F.lit("y").alias("at"))
+    got = {}
+    for r in generation.batches(grouped, "id", group="g").collect():
+        got.setdefault((r.g, r.batch), []).append(r.id)
+        assert (r.ord, r["at"]) == ("x", "y")
+    assert {k: len(v) for k, v in got.items()} == {(g, b): 8 if b < 3 else 6 for g in (None, 1, 2) for b in range(4)}
 
 
 def test_reply(spark):
@@ -198,7 +223,7 @@ def test_reply(spark):
 
 
 def test_build(spark):
-    pages = spark.createDataFrame([("class-12-physics-atoms-x.pdf", 1, catalogue.CHAPTER_TEXT)], "file string, page_no int, text string")
+    pages = spark.createDataFrame([("class-12-physics-atoms-x.pdf", 1, CHAPTER_TEXT)], "file string, page_no int, text string")
     papers = spark.createDataFrame([("Solved Paper 2020.pdf", 1, "1. Define capacitance fully\nAns. V0 √ 2")], "file string, page_no int, text string")
     listed = spark.createDataFrame([("Solved Paper 2020.pdf", 2020)], "file string, year int")
     assert {r.id: r.answer for r in extract(pages, papers, listed).collect()} == {"atoms-1": None, "atoms-2": "V0 √ 2", "atoms-3": None}
