@@ -7,7 +7,7 @@ import functools
 import numpy as np
 
 ALPHA, UPPER, DIGIT, SPACE = 1, 2, 4, 8
-TABLE = 0x30000  # later code points have no class
+TABLE = 0x40000  # no later code point is a letter, a digit or white space
 
 
 @functools.cache

@@ -1,11 +1,7 @@
-"""Helpers shared by the training-data operators: shared scratch tables, table reading, graph components."""
+"""Helpers shared by the training-data operators: table reading, slices of batches, graph components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,40 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itemforge.scratch import drop, materialize, scratch_path, shared_dir
+
+__all__ = ["connected_components", "drop", "materialize", "scratch_path", "shared_dir", "table", "text_or_empty", "text_slices"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data folder, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset
-    (local tests) a folder of our own is made and registered."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        # A session without the setting is a local one: the driver's disk is the executors' disk.
-        found = getattr(spark, "_itemforge_shared", None)
-        if not found:
-            own = tempfile.mkdtemp(prefix="itemforge-")
-            atexit.register(shutil.rmtree, own, ignore_errors=True)
-            found = spark._itemforge_shared = "file://" + own
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again. The files are
-    shared and committed, so later stages survive the loss of any executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -74,7 +46,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges: (a long, b long), in either direction, repeats allowed. Returns (node, component), one
     row per node. Alternating large-star and small-star steps: each round is two shuffles of at
     most as many rows as there are edges, and hub nodes are pre-reduced by a partial min. Each
-    round ends in a written table, so lineage stays short. Empty input gives no rows.
+    round ends in a written table, so lineage stays short; the last round's is dropped. Empty input
+    gives no rows.
     """
     edges = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc"
@@ -96,6 +69,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         nxt = materialize(nxt, "cc")
         # Converged when the edge set is a set of stars: nothing changed in this round.
         after = _digest(nxt)
+        drop(edges)
         edges = nxt
         if before == after:
             break

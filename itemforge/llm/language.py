@@ -10,7 +10,8 @@ about MAX_TRAIN rows at most are used; what reaches the driver is one count tabl
 
 A null text, or one without letters, is `und` with score 0 and no spans. Null languages aren't
 learned from. With nothing to learn from, every text is `und`. Repeated rows stay apart; ties go to
-the language first in alphabetical order; other columns are carried along.
+the language first in alphabetical order; other columns are carried along, but for those named
+lang_pred, score and lang_spans, which are replaced. Very long texts are labelled whole.
 """
 
 from __future__ import annotations

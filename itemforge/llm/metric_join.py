@@ -67,7 +67,7 @@ def draw_pivots(vectors: DataFrame) -> DataFrame:
     # At most one label in 2 * ROWS_PER_PIVOT rows. Of each, about twice the pivots are drawn.
     large = materialize(sizes.withColumn("wanted", wanted), "large_labels")
     share = F.least(F.lit(1.0), 2 * F.col("wanted") / F.col("n")) * (1 << 30)
-    drawn = vectors.select("label", "row", "embedding").join(F.broadcast(large), "label").where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < share)
+    drawn = vectors.select("label", "row", "embedding").join(large, "label").where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < share)
     found = drawn.groupBy("label", "n", "wanted").agg(F.array_sort(F.collect_list(F.struct("row", "embedding"))).alias("drawn"))
     like = F.filter("drawn", lambda x: F.size(x["embedding"]) == F.size(F.col("drawn")[0]["embedding"]))
     return found.select("label", F.ceil(F.col("n") / TILE).cast("int").alias("parts"), F.transform(F.slice(like, 1, F.col("wanted")), lambda x: x["embedding"]).alias("pivots"))
@@ -96,7 +96,7 @@ def near_links(vectors: DataFrame, cosine: float) -> DataFrame:
         return pd.concat(out) if out else pd.DataFrame(columns=["label", "dim", "cell", "home", "row", "w", "embedding"])
 
     kind = vectors.schema["label"].dataType.simpleString()
-    known = vectors.select("row", "label", "w", "embedding").join(F.broadcast(pivots.select("label", "parts")), "label", "left")
+    known = vectors.select("row", "label", "w", "embedding").join(pivots.select("label", "parts"), "label", "left")
     # A label without pivots is one cell.
     one = known.where("parts is null").select(
         "label", F.size("embedding").alias("dim"), F.lit(0).alias("cell"), F.lit(0).alias("home"), "row", "w", F.col("embedding").cast("array<double>").alias("embedding")

@@ -10,7 +10,8 @@ Pieces never hold a space mark after another character, nor a newline, so texts
 the ids of a chunk are kept and used again. Characters without a piece are spelled as bytes.
 
 Null and empty texts have no ids and decode to an empty text. Repeated rows stay apart; an empty
-table gives an empty result; columns other than those named are carried along unread.
+table gives an empty result; columns other than those named are carried along unread, and input
+columns with the results' names are replaced. Very long texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -25,14 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from itemforge.llm.common import text_slices
+
 MARK = "▁"
-CACHE_CHUNKS = 800_000
+#: Bytes of chunks and their ids held by a worker before it starts anew, ENTRY a chunk included.
+CACHE_BYTES = 192 << 20
+ENTRY = 220
 SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
 class PrefixTable:
-    def __init__(self, model: str, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, model: str, cache_bytes: int = CACHE_BYTES):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -59,7 +64,7 @@ class PrefixTable:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
-        self.cache_chunks = cache_chunks
+        self.cache_bytes, self.held = cache_bytes, 0
         # For decoding: the bytes of every id, one after the other.
         raw = []
         for i, p in enumerate(proto.pieces):
@@ -155,11 +160,12 @@ class PrefixTable:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cache, out = self.cache, []
-        if len(cache) > self.cache_chunks:
-            cache.clear()
-        if len(self.pairs) > 4 * self.cache_chunks:
+        if len(self.pairs) * 100 > self.cache_bytes:
             self.pairs.clear()
         for t in texts:
+            if self.held > self.cache_bytes:
+                cache.clear()
+                self.held = 0
             if not t:
                 out.append(b"")
                 continue
@@ -177,7 +183,8 @@ class PrefixTable:
                             s = p[2:]
                         else:
                             s = p if p[:1] in ("\n", MARK) else MARK + p
-                        cache[p] = self._ids(s) if s[0] != "\n" or len(s) == 1 else self._ids("\n") + self._ids(s[1:])
+                        x = cache[p] = self._ids(s) if s[0] != "\n" or len(s) == 1 else self._ids("\n") + self._ids(s[1:])
+                        self.held += len(p) + len(x) + ENTRY
                 out.append(b"".join(map(cache.__getitem__, parts)))
         return out
 
@@ -248,8 +255,7 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", deco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = prefix_table(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in text_slices(batch, batch.num_columns - 1):
                 raw = t.encode([x or "" for x in part.column(part.num_columns - 1).to_pylist()])
                 ends = np.cumsum([len(r) // 4 for r in raw], dtype=np.int64)
                 flat = np.frombuffer(b"".join(raw), "<i4")

@@ -11,13 +11,13 @@
 
 Only DataFrame and SQL functions touch rows. Null ids and texts are hashed like values; rows that
 are equal in all columns are interchangeable; an empty table gives no rows. A column of the input
-named like a result column is replaced.
+named like a result column is replaced; no other name matters. Very long texts are rows like others.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itemforge.llm.common import materialize
@@ -44,51 +44,64 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarra
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
-    if good == 0 or take == 0:
-        return 0
-    if bad == 0:
-        return take
+    """One hypergeometric number: how many of `take` drawn rows are among the `good` ones."""
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, take))
-    # For populations past numpy's bound: the normal limit, kept within the possible counts.
-    n = good + bad
-    mean = take * good / n
-    sd = (mean * (bad / n) * ((n - take) / (n - 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, sd)), take - bad, 0), good, take))
+    return by_inversion(rng, good, bad, take)
+
+
+def by_inversion(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """The same law at any size. Chances relative to the mode's follow from the ratios of
+    neighbours; beyond 50 deviations they are far below what a double can show."""
+    low, high, n = max(0, take - bad), min(good, take), good + bad
+    mode = min(max((good + 1) * (take + 1) // (n + 2), low), high)
+    width = int(50 * (take * (good / n) * (bad / n) + 1) ** 0.5) + 50
+    up = np.arange(mode, min(high, mode + width), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - width), -1, dtype=np.float64)
+    more = np.cumprod((good - up) * (take - up) / ((up + 1) * (bad - take + up + 1)))
+    less = np.cumprod(down * (bad - take + down) / ((good - down + 1) * (take - down + 1)))
+    upto = np.cumsum(np.concatenate([less[::-1], [1.0], more]))
+    return mode - len(less) + int(np.searchsorted(upto, rng.random() * upto[-1], side="right"))
 
 
 def shard(df: DataFrame, shards: int = 16, seed: int = 20, partitions: int | None = None) -> DataFrame:
     """df with shard (0 to shards-1, counts at most one apart) and slot (gapless from 0 in each)."""
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = df.select(*(F.col(f"`{c}`") for c in names))
-    cols = [F.col(f"`{c}`") for c in names]
+    # The row travels as one struct, so that no name of its columns can meet one of ours.
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *(c.alias(f"c{k}") for k, c in enumerate(_hashable(df, names))))
+    keys = [c for c in rows.columns if c != "row"]
     # Two independent random keys of the row's content. Equal rows tie, which is harmless.
-    rows = rows.withColumn("__a", F.xxhash64(F.lit(seed), *cols)).withColumn("__b", F.xxhash64(F.lit(~seed), F.col("__a"), F.hash(*cols)))
+    rows = rows.withColumn("a", F.xxhash64(F.lit(seed), *keys)).withColumn("b", F.xxhash64(F.lit(~seed), F.col("a"), F.hash(*keys)))
     if partitions is None:
         partitions = max(LEAST_PARTITIONS, -(-rows.count() // ROWS_PER_PARTITION))
-    rows = rows.withColumn("__p", F.pmod(F.xxhash64(F.lit(seed + 1), "__a", "__b"), F.lit(partitions)).cast("int"))
-    counts = dict(rows.groupBy("__p").count().collect())  # one number a partition
+    rows = rows.withColumn("p", F.pmod(F.xxhash64(F.lit(seed + 1), "a", "b"), F.lit(partitions)).cast("int"))
+    counts = dict(rows.groupBy("p").count().collect())  # one number a partition
     order = sorted(counts)
     matrix = communication_matrix([counts[p] for p in order], shards, seed)
     upto = np.cumsum(matrix, axis=1)
     spark = df.sparkSession
-    cuts = spark.createDataFrame([(p, u.tolist()) for p, u in zip(order, upto, strict=True)], "__p int, __upto array<bigint>")
-    local = rows.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy("__a", "__b")))
+    cuts = spark.createDataFrame([(p, u.tolist()) for p, u in zip(order, upto, strict=True)], "p int, upto array<bigint>")
+    local = rows.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("a", "b", *keys)))
     # The first shard whose running count reaches the row's local rank.
-    sent = local.join(cuts, "__p").withColumn("shard", F.size(F.filter("__upto", lambda u: u < F.col("__i"))))
-    sent = sent.withColumn("__g", F.pmod(F.shiftrightunsigned("__b", 20), F.lit(_buckets(partitions, shards))).cast("int"))
-    sent = materialize(sent.select(*cols, "__b", "shard", "__g"), "shard")
-    sizes = sent.groupBy("shard", "__g").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("shard", "__g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    ranked = sent.withColumn("__j", F.row_number().over(Window.partitionBy("shard", "__g").orderBy("__b", *_orderable(df, names))))
-    return ranked.join(base, ["shard", "__g"]).select(*cols, "shard", (F.col("__base") + F.col("__j") - 1).cast("long").alias("slot"))
+    sent = local.join(cuts, "p").withColumn("shard", F.size(F.filter("upto", lambda u: u < F.col("i"))))
+    sent = sent.withColumn("g", F.pmod(F.shiftrightunsigned("b", 20), F.lit(_buckets(partitions, shards))).cast("int"))
+    # Rows that share b are equal or tie by the local rank, which is written here once.
+    sent = materialize(sent.select("row", "b", "p", "i", "shard", "g"), "shard")
+    sizes = sent.groupBy("shard", "g").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select("shard", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = sent.withColumn("j", F.row_number().over(Window.partitionBy("shard", "g").orderBy("b", "p", "i")))
+    return ranked.join(base, ["shard", "g"]).select(*(F.col("row")[c].alias(c) for c in names), "shard", (F.col("base") + F.col("j") - 1).cast("long").alias("slot"))
 
 
 def _buckets(partitions: int, shards: int) -> int:
     return max(16, -(-partitions // shards))
 
 
-def _orderable(df: DataFrame, names: list[str]) -> list:
-    """Columns that break ties of the random key the same way in every run."""
-    return [F.col(f"`{f.name}`") for f in df.schema.fields if f.name in names and f.dataType.typeName() not in ("map", "variant")]
+def _hashable(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns, those that hold maps or variants as JSON: Spark neither hashes nor orders them."""
+    odd = {f.name for f in df.schema.fields if any(x in f.dataType.simpleString() for x in ("map<", "variant"))}
+    return [F.to_json(F.struct(F.col(f"`{c}`"))) if c in odd else F.col(f"`{c}`") for c in names]

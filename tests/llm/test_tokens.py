@@ -70,7 +70,7 @@ def test_token_output_query_is_the_default_library(spark, odd, tmp_path):
 
 
 def test_pieces_are_the_library(documents):
-    table, sp = pieces.PrefixTable(MODEL, cache_chunks=500), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    table, sp = pieces.PrefixTable(MODEL, cache_bytes=100_000), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = noise(4000, 2) + [r.text for r in documents.limit(40).collect()] + ["a" * k for k in range(40)] + ["", "=" * 70]
     ids = [np.frombuffer(x, "<i4").tolist() for x in table.encode(texts)]
     assert ids == sp.encode(texts)

@@ -1,10 +1,12 @@
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from itemforge.llm import metric_join, sharding
+from itemforge.llm import metric_join, queries, sharding
 from itemforge.llm.common import connected_components
 
 
@@ -36,6 +38,40 @@ def test_shard_is_repeatable_and_uniform(spark):
     assert abs(np.corrcoef(np.arange(4000), slots)[0, 1]) < 0.06
 
 
+def test_shard_query_by_brute_force(spark, sf, documents):
+    rows = {r.doc_id: r for r in queries.op5_sharding(spark, sf).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in documents.select("doc_id", "text").collect()}
+    assert {i: (r["size"], r.text_crc32) for i, r in rows.items()} == {i: (len(t) + 1, zlib.crc32(t)) for i, t in texts.items()}
+    assert {(r.law, r.grown_shard) for r in rows.values()} == {("rows", None)}
+    slots = {}
+    for r in rows.values():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) == set(range(16)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    sizes = [len(x) for x in slots.values()]
+    assert sum(sizes) == len(texts) and max(sizes) - min(sizes) <= 1
+
+
+def test_shard_keeps_any_column(spark):
+    df = spark.createDataFrame([(k, "keep-me", {"a": k}) for k in range(50)], "id long, v string, m map<string,long>")
+    df = df.select("id", "m", *(F.concat("v", F.col("id").cast("string")).alias(n) for n in ("__a", "__b", "__p", "__i", "__g", "a", "b", "p", "i", "g", "c0", "row", "upto", "base", "n", "j")))
+    rows = sharding.shard(df, 4).collect()
+    assert sorted(r.id for r in rows) == list(range(50))
+    assert all(r[n] == f"keep-me{r.id}" for r in rows for n in df.columns[2:]) and all(r.m == {"a": r.id} for r in rows)
+
+
+def test_draws_beyond_the_library_bound():
+    rng = np.random.default_rng(4)
+    good, bad, take = 3_000_000_000, 5_000_000_000, 400
+    x = np.array([sharding._draw(rng, good, bad, take) for _ in range(4000)])
+    mean, var = take * 0.375, take * 0.375 * 0.625
+    assert abs(x.mean() - mean) < 5 * (var / 4000) ** 0.5 and abs(x.var() / var - 1) < 0.12
+    # The same inversion on a small population, against the exact law.
+    small = np.array([sharding.by_inversion(rng, 7, 9, 6) for _ in range(6000)])
+    law = [math.comb(7, k) * math.comb(9, 6 - k) / math.comb(16, 6) for k in range(7)]
+    assert np.allclose(np.bincount(small, minlength=7) / 6000, law, atol=0.03)
+    assert sharding.communication_matrix([2_000_000_000, 3_000_000_001], 3, 1).sum() == 5_000_000_001
+
+
 def test_communication_matrix():
     m = sharding.communication_matrix([10, 0, 25, 6], 4, 3)
     assert m.sum(1).tolist() == [10, 0, 25, 6] and m.sum(0).tolist() == [11, 10, 10, 10] and (m >= 0).all()
