@@ -14,9 +14,10 @@ compared in tasks of their own; within a task only links that join two component
 bucket of n members costs n rows, and more only where comparisons are really open; nothing is capped.
 
 Null and empty texts, and texts of white space, have an empty set and link with nothing; a text
-with fewer than k words has its whole sequence as one shingle. Rows with a null id take no part and
-get component null, kept false; ids should be unique. An empty table gives no rows; extra columns
-are ignored.
+with fewer than k words has its whole sequence as one shingle. Rows with a null id take part in all
+of this: they get the smallest id of their component, null if it has none, and kept false. Rows that
+share an id but not a text are compared each for itself; equal rows are one. Very long texts have
+their whole sets. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm import codepoints as cp
-from itemforge.llm.common import connected_components, materialize, text_slices
+from itemforge.llm.common import connected_components, drop, materialize, text_slices
 
 SAMPLES = 125
 SKETCH_BITS = 512
@@ -125,13 +126,14 @@ def _signatures(k: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("row"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([d[0] for d in digests], pa.int64()),
                         pa.array([d[1] for d in digests], pa.int64()),
                         pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), bands).cast(pa.list_(pa.int64())),
                         pa.FixedSizeListArray.from_arrays(pa.array(odd.ravel()), SKETCH_BITS // 64).cast(pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "d1", "d2", "bands", "sketch"],
+                    names=["doc_id", "row", "n", "d1", "d2", "bands", "sketch"],
                 )
 
     return run
@@ -143,7 +145,7 @@ def _set_rows(k: int):
             for part in text_slices(batch, "text"):
                 sets = shingle_sets(part.column("text").to_pylist(), k)
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["rep", "fp"])
 
     return run
 
@@ -184,17 +186,31 @@ def _tile_links(percent: int, different: int):
     return run
 
 
+def row_key():
+    """One number for a row's id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs (doc_id, text)."""
+    return near_groups(docs, k, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """near_components with each row's key (row) and its component's row to keep: chosen (doc_id,
+    row), the one with the smallest id, null ids last; null without shingles."""
     bands, rows = banding(percent / 100)
     different = most_different(percent / 100)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n long, d1 long, d2 long, bands array<bigint>, sketch array<bigint>"
-    sig = materialize(docs.mapInArrow(_signatures(k, bands, rows), schema), "signatures")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", row_key())
+    schema = "doc_id long, row long, n long, d1 long, d2 long, bands array<bigint>, sketch array<bigint>"
+    signed = docs.mapInArrow(_signatures(k, bands, rows), schema)
+    sig = materialize(signed.withColumn("at", F.monotonically_increasing_id()), "signatures")
     same = ["d1", "d2", "n"]
-    classes = sig.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    cls = sig.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "n", "bands", "sketch")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")).alias("best")
+    # A class is known by a number given once, when its table is written.
+    classes = materialize(sig.where("n > 0").groupBy(*same).agg(best).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    lead = classes.select("rep", F.col("best.doc_id").alias("lead_id"), F.col("best.row").alias("lead_row"), F.col("best.at").alias("at"))
+    cls = sig.join(lead.select("rep", "at"), "at").select("rep", "n", "bands", "sketch")
     keyed = cls.select("rep", "n", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
     members = materialize(keyed.join(hubs, "key").select("key", "hub", "c", "rep", "n"), "members")
@@ -202,7 +218,10 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # Full sets of the classes that share a bucket, and of no others.
     wanted = members.select("rep").distinct()
     facts = cls.join(wanted, "rep").select("rep", "n", "sketch")
-    sets = docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_set_rows(k), "rep long, fp array<bigint>")
+    leads = lead.join(wanted, "rep").select("rep", "lead_id", "lead_row")
+    # Rows equal to the one that leads its class come with it.
+    texts = docs.join(leads, (F.col("row") == F.col("lead_row")) & F.col("doc_id").eqNullSafe(F.col("lead_id"))).select("rep", "text")
+    sets = texts.mapInArrow(_set_rows(k), "rep long, fp array<bigint>").dropDuplicates(["rep"])
     facts = materialize(sets.join(facts, "rep"), "sets")
 
     # 1. Each member against its bucket's hub.
@@ -226,7 +245,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     ).where("lo <> hi")
     # Buckets of other bands with the same members are the same work.
     once = spread.groupBy("sum", "c").agg(F.min("key").alias("key")).select("key")
-    labelled = materialize(labelled.join(once, "key"), "open")
+    labelled = opened = materialize(labelled.join(once, "key"), "open")
     # Only pairs across components are open. Classes outside a bucket's largest component (side 0)
     # meet all of its classes (side 1), in tiles; pairs within the largest one never do.
     # Tiles are cut by classes and by shingles, so that long documents don't make heavy ones.
@@ -258,8 +277,10 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         stars = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
         parts = connected_components(stars.union(more))
 
-    found = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", *same).join(found, same, "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    labelled = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "best", F.coalesce("component", "rep").alias("component"))
+    chosen = labelled.groupBy("component").agg(F.min("best").alias("chosen"))
+    found = materialize(labelled.join(chosen, "component").select(*same, "chosen"), "found")
+    drop(members, facts, likely, links, opened, largest, more)
+    component = F.when(F.col("n") > 0, F.col("chosen.doc_id")).otherwise(F.col("doc_id")).alias("component_id")
+    out = sig.select("doc_id", "row", *same).join(found, same, "left").select("doc_id", F.col("n").alias("n_shingles"), component, "row", "chosen")
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))

@@ -64,6 +64,17 @@ def test_near_components_odd(odd):
     assert near_dup.near_components(odd.limit(0)).count() == 0
 
 
+def test_near_components_of_rows_without_own_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a), (3, b), (None, a), (None, a + " end"), (None, c), (None, c), (2, b), (7, a), (7, a), (8, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dup.near_components(df, 3, 85).collect())
+    want = [(3, 38, 3, True), (3, 38, 2, False), (None, 38, 3, False), (None, 39, 3, False), (None, 38, None, False), (None, 38, None, False), (2, 38, 2, True), (7, 38, 3, False), (7, 38, 3, False), (8, 0, 8, True), (None, 0, None, False)]
+    assert got == sorted((str(i), n, str(c), k) for i, n, c, k in want)
+    stay = corpus_pipeline.near_dedup(spark, df.withColumn("row", F.monotonically_increasing_id()), "").collect()
+    assert sorted((str(r.doc_id), str(r.text)[:2]) for r in stay) == sorted([("3", "a0"), ("2", "b0"), ("None", "c0"), ("8", "No"), ("None", "No")])
+
+
 def test_near_components_query(spark, sf, documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op9_minhash_dedup(spark, sf).collect()}
@@ -109,13 +120,13 @@ def brute_hits(docs, items, width):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("limit", [positional_index.BROADCAST_TERMS, 0])
+@pytest.mark.parametrize("limit", [positional_index.BROADCAST_BYTES, 0])
 def test_decontaminate(spark, monkeypatch, limit):
-    monkeypatch.setattr(positional_index, "BROADCAST_TERMS", limit)
+    monkeypatch.setattr(positional_index, "BROADCAST_BYTES", limit)
     rng = random.Random(9)
     vocabulary = ["a", "b", "É", "é", "The", "the", "c1"]
     docs = [(k, "-".join(rng.choice(vocabulary) for _ in range(rng.randrange(40)))) for k in range(120)]
-    docs += [(500, None), (501, ""), (502, "... --"), (503, "the " * 3000)]
+    docs += [(500, None), (501, ""), (502, "... --"), (503, "the " * 3000), (None, "x the the the the the y"), (None, "x the y"), (None, None), (7, "the the the the the"), (7, "c1")]
     items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 7)))) for k in range(25)] + [(90, None), (91, "!"), (92, "zzz a b c"), (3, "the the the the the")]
     d = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, words string")
     b = spark.createDataFrame(items, "item_id long, text string")
@@ -127,6 +138,10 @@ def test_decontaminate(spark, monkeypatch, limit):
 
 def test_decontaminate_odd(spark, odd):
     b = spark.createDataFrame([(1, "Second line of text")], "item_id long, text string")
+    leaky = odd.unionByName(odd.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted(r.n_hit for r in positional_index.decontaminate(leaky, b).where("doc_id is null").collect()) == [0, 4]
+    kept = positional_index.decontaminate(leaky, b)
+    assert kept.count() == leaky.count()
     got = {(r.doc_id, r.n_hit) for r in positional_index.decontaminate(odd, b).collect()}
     assert got == {(1, 4), (2, 0), (3, 0), (4, 0), (5, 4), (6, 0), (7, 0), (8, 0), (None, 0)}
 
@@ -179,3 +194,19 @@ def test_pipeline_odd_rows(spark, odd, sf):
         docs = stage(spark, docs, sf)
         assert docs.columns == odd.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).where(F.col("doc_id").isNull()).count() == 1
+    few = odd.where("doc_id in (1, 5)")  # three rows with one text, two of them equal
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, few, sf).collect()] == [1]
+    assert corpus_pipeline.near_dedup(spark, few.where("doc_id = 5"), sf).count() == 1
+
+
+def test_pipeline_empty(spark, documents, sf):
+    docs = documents.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0
+
+
+def test_decontaminate_stage_goes_by_text(spark, sf):
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    docs = spark.createDataFrame([(1, leak), (1, "a clean text"), (None, "so " + leak), (None, "clean, too")], "doc_id long, text string")
+    assert sorted(r.text for r in corpus_pipeline.decontaminate(spark, docs, sf).collect()) == ["a clean text", "clean, too"]
