@@ -1,25 +1,29 @@
 """A training-data pipeline over the documents table: five stages, each one of the operators.
 
 1. quality: the line-level random field, fitted on the labelled documents; rejected ones go.
-2. near_dedup: 5-word shingles, similarity 0.8; the smallest id of each group of copies stays.
-3. decontaminate: documents that hold a 10-word window of a benchmark item go.
+2. near_dedup: 5-word shingles, similarity 0.8; of each group of copies one row stays, that with the
+   smallest id, null ids last. Rows that share an id but not a text are judged each for itself; of
+   rows equal in id and text one stays.
+3. decontaminate: rows whose text holds a 10-word window of a benchmark item go, and no others.
 4. secrets: every secret value becomes [REDACTED]; all documents stay.
 5. encode: SentencePiece ids of every text, and the text that they decode to.
 
 All stages but the last return the columns of documents; n_chars follows a changed text. Null texts
-are kept as they are by stages 2 to 4 and have no ids.
+are kept as they are by stages 2 to 4 and have no ids. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemforge.llm.common import materialize, table
-from itemforge.llm.near_dup import near_components
+from itemforge.llm.near_dup import near_groups
+from itemforge.llm.near_dup import row_key as dup_key
 from itemforge.llm.pieces import encode as piece_encode
 from itemforge.llm.positional_index import decontaminate as find_leaks
+from itemforge.llm.positional_index import row_key as leak_key
 from itemforge.llm.quality import score, train
 from itemforge.llm.secrets import find_secrets
 
@@ -30,15 +34,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where("predicted = 1").select(*(F.col(f"`__{c}`").alias(c) for c in docs.columns))
 
 
+def _keyed(docs: DataFrame, *keys) -> DataFrame:
+    """doc (the row as it is) and keys made of its id and text."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), *keys)
+
+
+def _plain(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*(F.col("doc")[c].alias(c) for c in names))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null id are never copies, so they stay."""
-    dropped = near_components(docs, k=5, percent=80).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    groups = materialize(near_groups(docs.select("doc_id", "text"), k=5, percent=80).where("n_shingles > 0").select("doc_id", "row", "chosen"), "groups")
+    is_chosen = F.col("doc_id").eqNullSafe(F.col("chosen.doc_id")) & (F.col("row") == F.col("chosen.row"))
+    dropped = groups.where(~is_chosen).select("row", F.lit(True).alias("goes")).distinct()
+    repeated = groups.where(is_chosen).groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row", F.lit(False).alias("goes"))
+    marks = materialize(dropped.union(repeated), "marks")
+    known = _keyed(docs, dup_key().alias("row")).join(marks, "row", "left")
+    rows = known.where("goes is null").select("doc")
+    if not marks.where("not goes").isEmpty():
+        first = F.row_number().over(Window.partitionBy("row").orderBy(F.to_json("doc")))
+        rows = rows.union(known.where("not goes").withColumn("k", first).where("k = 1").select("doc"))
+    return _plain(rows, docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    leaks = find_leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("h1", "h2").distinct()
+    return _plain(_keyed(docs, *leak_key()).join(leaks, ["h1", "h2"], "left_anti"), docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
