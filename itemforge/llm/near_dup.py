@@ -278,9 +278,11 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         parts = connected_components(stars.union(more))
 
     labelled = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*same, "best", F.coalesce("component", "rep").alias("component"))
-    chosen = labelled.groupBy("component").agg(F.min("best").alias("chosen"))
+    # Both written first, so that the join's sides are plain scans and a hot component's task can be split.
+    labelled = materialize(labelled, "labelled")
+    chosen = materialize(labelled.groupBy("component").agg(F.min("best").alias("chosen")), "chosen")
     found = materialize(labelled.join(chosen, "component").select(*same, "chosen"), "found")
-    drop(members, facts, likely, links, opened, largest, more)
+    drop(members, facts, likely, links, opened, largest, more, labelled, chosen)
     component = F.when(F.col("n") > 0, F.col("chosen.doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     out = sig.select("doc_id", "row", *same).join(found, same, "left").select("doc_id", F.col("n").alias("n_shingles"), component, "row", "chosen")
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False)))
