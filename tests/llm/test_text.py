@@ -31,6 +31,15 @@ def test_language_odd_rows(documents, odd):
     assert language.identify(odd.limit(0), model).count() == 0
 
 
+def test_every_letter_has_its_class(spark, documents):
+    from itemforge.llm import codepoints
+
+    assert max(k for k in range(0x110000) if chr(k).isalpha() or chr(k).isdigit() or chr(k).isspace()) < codepoints.TABLE
+    df = spark.createDataFrame([(1, chr(0x30000) * 5)], "doc_id long, text string")
+    row = language.identify(df, language.train(documents)).first()
+    assert row.lang_pred != "und" and row.score > 0
+
+
 def test_language_spans(spark, documents):
     model = language.train(documents)
     texts = {r.lang: r.text for r in documents.where("length(text) between 300 and 900").dropDuplicates(["lang"]).collect()}
@@ -158,3 +167,24 @@ def test_quality_odd_rows(spark, odd, documents, sf):
     none = quality.train(documents, labels.limit(0))
     assert {r.score for r in quality.score(odd, none).collect()} == {0.5}
     assert quality.score(odd.limit(0), model).count() == 0
+
+
+def test_secret_query_spans(spark, tmp_path):
+    """Kinds, counts and joined spans of the query against the scan of each text on its own, over
+    planted keys of several alphabets and noise."""
+    rng = random.Random(6)
+    alphabets = [string.digits, "0123456789ABCDEF", string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, string.ascii_letters + string.digits]
+    keys = ["an ordinary text with the key " + "".join(rng.choice(a) for _ in range(40)) + " in it" for a in alphabets for _ in range(20)]
+    texts = dict(enumerate([*keys, *noisy_secrets(200, 8), None, "", "plain words only, and some_longer_identifier_of_code in them"]))
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.n_random, r.base_sha256, r.spans) for r in queries.op3_secret_scan(spark, str(tmp_path)).collect()}
+    for i, text in texts.items():
+        found = secrets.scan_one(text)
+        base = base_spans(text or "")
+        assert ",".join(f"{k}:{s}:{e}" for k, s, e, _ in found if k != "random") == base
+        counts = tuple(sum(x[0] == k for x in found) for k in secrets.KINDS)
+        assert got[i] == (*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{s}:{e}" for k, s, e, _ in found))
+    # Decimal keys are hex spans already; the method finds the others.
+    assert all(got[i][2:4] == (1, 0) for i in range(20))
+    assert sum(got[i][2:4] == (0, 1) for i in range(20, len(keys))) >= 0.95 * (len(keys) - 20)
+    assert got[len(texts) - 1][:4] == (0, 0, 0, 0)
