@@ -30,7 +30,7 @@ from itemforge.llm.common import text_slices
 
 MARK = "▁"
 #: Bytes of chunks and their ids held by a worker before it starts anew, ENTRY a chunk included.
-CACHE_BYTES = 192 << 20
+CACHE_BYTES = 64 << 20
 ENTRY = 220
 SEGMENT = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
