@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from itemforge.llm.common import held
+
 #: Bytes of chunks and their ids held by a worker, about ENTRY a chunk included. Beyond, only the
 #: chunks of the texts at hand stay.
 CACHE_BYTES = 128 << 20
@@ -169,12 +171,6 @@ def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-_encoders: dict[tuple[str, bool], ChunkedEncoder] = {}
-
-
 def encoder(path: str, special_as_text: bool = True) -> ChunkedEncoder:
     """One encoder for each Python worker, vocabulary and treatment of added tokens."""
-    key = path, special_as_text
-    if key not in _encoders:
-        _encoders[key] = ChunkedEncoder(path, special_as_text=special_as_text)
-    return _encoders[key]
+    return held(("chunks", path, special_as_text), lambda: ChunkedEncoder(path, special_as_text=special_as_text))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,24 @@ from pyspark.sql import functions as F
 
 from itemforge.scratch import drop, materialize, scratch_path, shared_dir
 
-__all__ = ["connected_components", "drop", "materialize", "scratch_path", "shared_dir", "table", "text_or_empty", "text_slices"]
+__all__ = ["connected_components", "drop", "held", "materialize", "release", "scratch_path", "shared_dir", "table", "text_or_empty", "text_slices"]
+
+
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, build: Callable[[], Any]) -> Any:
+    """The one large object, such as an encoder with its cache, that a Python worker keeps between
+    tasks. Workers outlive a stage, so asking for another one drops the one before."""
+    if key not in _held:
+        release()
+        _held[key] = build()
+    return _held[key]
+
+
+def release() -> None:
+    """Drop what held keeps; called by operators that need no such object."""
+    _held.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +42,7 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def text_slices(batch: pa.RecordBatch, text: str | int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, text: str | int, rows: int = 512, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in parts of at most rows rows and, longer single texts apart, size bytes of text."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0

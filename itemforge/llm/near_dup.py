@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm import codepoints as cp
-from itemforge.llm.common import connected_components, drop, materialize, text_slices
+from itemforge.llm.common import connected_components, drop, materialize, release, text_slices
 
 SAMPLES = 125
 SKETCH_BITS = 512
@@ -112,6 +112,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _signatures(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         mark = np.arange(bands, dtype=np.uint64) * _STEP[-2]
         for batch in batches:
             for part in text_slices(batch, "text"):

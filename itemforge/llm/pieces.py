@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itemforge.llm.common import text_slices
+from itemforge.llm.common import held, text_slices
 
 MARK = "▁"
 #: Bytes of chunks and their ids held by a worker before it starts anew, ENTRY a chunk included.
@@ -235,14 +235,9 @@ def _bad_bytes(raw: bytes) -> Iterator[bytes]:
         at += n
 
 
-_tables: dict[str, PrefixTable] = {}
-
-
 def prefix_table(model: str) -> PrefixTable:
     """One table for each Python worker and model."""
-    if model not in _tables:
-        _tables[model] = PrefixTable(model)
-    return _tables[model]
+    return held(("prefix table", model), lambda: PrefixTable(model))
 
 
 def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from itemforge.llm import codepoints as cp
-from itemforge.llm.common import text_slices
+from itemforge.llm.common import release, text_slices
 
 MAX_TRAIN = 6_000
 MAX_TRAIN_LINES = 60_000
@@ -215,6 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN, max_lin
     rows = rows.where(chosen < int(share * min(1.0, max_lines / lines) * (1 << 20)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 features, _, counts = line_features(part.column("text").to_pylist())
@@ -243,6 +244,7 @@ def score(df: DataFrame, model: Crf, text: str = "text", lines: bool = False) ->
     at_text = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in text_slices(batch, at_text):
                 s, p, counts = score_texts(model, [x or "" for x in part.column(at_text).to_pylist()])
