@@ -172,3 +172,15 @@ def test_scan_flat_files(spark, tmp_path):
     for size in (1, 3, 64, 1000):
         found = separators.scan_blocks(separators.flat_blocks(spark, str(tmp_path / "*.bin"), size), 0)
         assert sorted((r.file.rsplit("/", 1)[1][:-4], r.ordinal, r.n_tokens, r.ended) for r in found.collect()) == sorted(want)
+
+
+def test_held_one_at_a_time():
+    from itemforge.llm import common
+
+    common.release()
+    built = []
+    for key in ("a", "a", "b", "a"):
+        assert common.held(key, lambda key=key: built.append(key) or [key]) == [key]
+    assert built == ["a", "b", "a"] and len(common._held) == 1
+    common.release()
+    assert not common._held
