@@ -104,6 +104,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemforge.llm.resample import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, buckets=10_000, longest=1, seed=2024)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -156,6 +162,40 @@ FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+#: crc32 by its table of 256 values, made here by the rule, over the bytes of each distinct word.
+OP11_SQL = f"""
+WITH crc AS (
+  SELECT list(list_reduce([CAST(i AS BIGINT), 1, 1, 1, 1, 1, 1, 1, 1], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), d AS (SELECT doc_id, {OP10_WORDS} AS w FROM documents),
+words AS (SELECT unnest(w) AS word FROM d), target AS (SELECT unnest({OP10_WORDS}) AS word FROM benchmark),
+vocabulary AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM words UNION ALL SELECT word FROM target)),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(h) + 1, 2), lambda k: CAST('0x' || h[k : k + 1] AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM vocabulary, crc
+),
+s AS (SELECT bucket, count(*) AS n FROM words JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM target JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s, (SELECT coalesce(sum(n), 0) FROM t) AS t),
+gains AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (totals.s + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (totals.t + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), totals
+),
+weights AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight
+  FROM (SELECT doc_id, unnest(w) AS word FROM d) JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+),
+scored AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || d.doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (doc_id)
+),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= 10 * n // 100 THEN k END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force."""
-    return {"op6_embedding_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL, "op10_decontamination": OP10_SQL}
+    return {"op6_embedding_dedup": OP6_SQL, "op9_minhash_dedup": OP9_SQL, "op10_decontamination": OP10_SQL, "op11_importance_resampling": OP11_SQL}
