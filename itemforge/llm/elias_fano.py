@@ -14,6 +14,9 @@ import pyarrow as pa
 _HEAD = 4  # numbers of 64 bits in front: values, low bits, words of high bits, first value
 MAX_LOW = 56  # a packed value is read with one load of 8 bytes
 _PART = 1 << 16
+_PAIRS, _FOURS, _EIGHTS, _EACH, _TOPS = (np.uint64(int.from_bytes(bytes([x]) * 8)) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
+#: Position of the k-th one of a byte, at 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.int64)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -40,6 +43,17 @@ def pack(values: np.ndarray) -> bytes:
     return head.tobytes() + np.packbits(high, bitorder="little").tobytes() + packed
 
 
+def starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by a sort, which for numbers is faster than numpy's hashing."""
+    ordered = np.sort(values)
+    return ordered[starts(ordered)]
+
+
 class EliasFano:
     def __init__(self, buffer, at: int = 0):
         """Maps what pack() made, from byte `at` of a buffer."""
@@ -67,13 +81,13 @@ class EliasFano:
         word = np.searchsorted(upto, k, side="right") - 1
         left = (k - upto[word]).astype(np.uint64)
         bits = ~self.high[word] if zeros else self.high[word].copy()
-        out = word * 64
-        for width in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.uint64)
-            up = left >= below
-            left -= np.where(up, below, 0).astype(np.uint64)
-            bits = np.where(up, bits >> np.uint64(width), bits)
-            out += np.where(up, width, 0)
+        # Ones up to each byte of a word, in that byte; then the byte that holds the one asked for.
+        upto = bits - ((bits >> np.uint64(1)) & _PAIRS)
+        upto = (upto & _FOURS) + ((upto >> np.uint64(2)) & _FOURS)
+        upto = ((upto + (upto >> np.uint64(4))) & _EIGHTS) * _EACH
+        byte = np.bitwise_count(((left * _EACH | _TOPS) - upto) & _TOPS).astype(np.uint64) << np.uint64(3)
+        left -= (upto << np.uint64(8)) >> byte & np.uint64(255)
+        out = word * 64 + byte.astype(np.int64) + _IN_BYTE[((bits >> byte) & np.uint64(255)).astype(np.int64) << 3 | left.astype(np.int64)]
         return out
 
     def _lows(self, i: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itemforge.llm.common import materialize, release, text_slices
-from itemforge.llm.elias_fano import EliasFano, loose, pack, squeeze
+from itemforge.llm.elias_fano import EliasFano, distinct, loose, pack, squeeze, starts
 
 #: Text of a block, single longer texts apart; distinct words or n-grams that a shard gets about.
 BLOCK_BYTES = 8 << 20
@@ -55,11 +55,11 @@ SHARD_KEYS = 1 << 19
 #: Prior weights of the lower order: in bigrams, in trigrams.
 K2, K3 = 300.0, 20.0
 CHILD_BITS = 18
-#: One of so many keys of a block goes into the sample for the shards' borders; borders use so many at most.
+#: One of so many n-grams of a block goes into the sample for the shards' borders; borders use so many at most.
 SAMPLE_STEP, SAMPLE = 1 << 12, 1 << 16
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 EXACT, STEPS = 1 << 15, 1000.0
-BLOCK = "block bigint, doc_ids array<bigint>, learn array<boolean>, sizes binary, words binary, codes binary, n_words bigint, n_keys bigint, n_learn bigint, sample array<bigint>"
+BLOCK = "block bigint, doc_ids array<bigint>, learn array<boolean>, sizes binary, words binary, codes binary, n_words bigint, n_tokens bigint, n_learn bigint, sample array<bigint>"
 WORDS, NGRAMS = 1, 3
 
 
@@ -104,12 +104,12 @@ def text_blocks(docs: DataFrame) -> DataFrame:
             hashes = np.concatenate([[END], np.fromiter(map(xxhash.xxh3_64_intdigest, list(known)[1:]), np.uint64, len(known) - 1)])
             words, place = np.unique(hashes, return_inverse=True)
             codes = place[codes].astype(np.uint32)
-            keys = np.unique(ngram_keys(words[codes], sizes))
+            sample = distinct(ngram_keys(words[codes], sizes)[SAMPLE_STEP // 2 :: SAMPLE_STEP])
             learn = pa.concat_arrays(learn)
             n_learn = int(sizes[learn.to_numpy(zero_copy_only=False)].sum())
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays(ids), learn, pa.array(keys[SAMPLE_STEP // 2 :: SAMPLE_STEP].view(np.int64)))]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (pa.concat_arrays(ids), learn, pa.array(sample.view(np.int64)))]
             raw = [pa.array([x], pa.binary()) for x in (sizes.astype("<i8").tobytes(), pack(words), squeeze(codes))]
-            figures = [pa.array([x], pa.int64()) for x in ((part << 32) + next(made), len(words), len(keys), n_learn)]
+            figures = [pa.array([x], pa.int64()) for x in ((part << 32) + next(made), len(words), len(codes), n_learn)]
             columns = [figures[0], *lists[:2], *raw, *figures[1:], lists[2]]
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BLOCK.split(", ")])
 
@@ -127,7 +127,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
                     yield block(held[0], *held[1:])
                     held, size = new(), 0
                 words = [[*(t or "").encode().lower().split(), None] for t in texts]
-                held[1].append(np.fromiter((held[0][x] for w in words for x in w), np.uint32, sum(map(len, words))))
+                held[1].append(np.fromiter(map(held[0].__getitem__, chain.from_iterable(words)), np.uint32, sum(map(len, words))))
                 held[2].append(np.fromiter(map(len, words), np.int64, len(words)))
                 held[3].append(some.column("doc_id"))
                 held[4].append(some.column("learn"))
@@ -140,25 +140,33 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """A block's tokens, and what it asks of the shards."""
+    """A block's tokens, and what it asks of the shards. Its n-grams are kept in order of their keys:
+    token `order[k]` ends the k-th."""
 
-    def __init__(self, row: dict, borders: np.ndarray):
+    def __init__(self, row: dict):
         self.sizes = np.frombuffer(row["sizes"], "<i8")
         self.words, self.codes = EliasFano(row["words"]).all(), loose(row["codes"])
         self.learn = np.repeat(np.array(row["learn"], bool), self.sizes)
-        self.keys = ngram_keys(self.words[self.codes], self.sizes)
-        asked = np.unique(self.keys)
+
+    def sort(self, borders: np.ndarray) -> None:
+        keys = ngram_keys(self.words[self.codes], self.sizes)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        asked = self.keys[starts(self.keys)]
         # A bigram that a border cuts is asked for on both sides.
         shift = np.uint64(CHILD_BITS)
         heads = borders >> shift << shift
         at = np.searchsorted(asked, heads)
         has = (at < len(asked)) & (asked[np.minimum(at, len(asked) - 1)] >> shift == heads >> shift)
-        self.asked = np.union1d(asked, np.concatenate([borders[has], heads[has]])) if has.any() else asked
+        self.asked = distinct(np.concatenate([asked, borders[has], heads[has]])) if has.any() else asked
 
     def requests(self, level: int, borders: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
         """(shard, keys, training counts) for every shard that the block has keys of."""
-        keys = self.words if level == WORDS else self.asked
-        mine = self.codes[self.learn] if level == WORDS else np.searchsorted(keys, self.keys[self.learn])
+        if level == WORDS:
+            keys, mine = self.words, self.codes[self.learn]
+        else:
+            self.sort(borders)
+            keys, mine = self.asked, np.searchsorted(self.asked, self.keys[self.learn[self.order]])
         counts = np.bincount(mine, minlength=len(keys))
         cuts = np.concatenate([[0], np.searchsorted(keys, borders), [len(keys)]])
         for shard in np.flatnonzero(np.diff(cuts)).tolist():
@@ -181,7 +189,9 @@ class TrieLevel:
     @staticmethod
     def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
         """keys: distinct and sorted; counts: above 0."""
-        bigrams, first = np.unique(keys >> np.uint64(CHILD_BITS), return_index=True)
+        bigrams = keys >> np.uint64(CHILD_BITS)
+        first = starts(bigrams)
+        bigrams = bigrams[first]
         stop = np.append(first[1:], len(keys)).astype(np.int64)
         child = (keys & np.uint64((1 << CHILD_BITS) - 1)).astype(np.int64)
         # Children count on from the last one of the bigram before.
@@ -193,7 +203,10 @@ class TrieLevel:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes of the trigrams, codes of their distinct bigrams in order); 0 if unseen. keys: sorted."""
-        asked, of = np.unique(keys >> np.uint64(CHILD_BITS), return_inverse=True)
+        asked = keys >> np.uint64(CHILD_BITS)
+        first = starts(asked)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(asked))))
+        asked = asked[first]
         if not self.bigrams.n:
             return np.zeros(len(keys), np.uint16), np.zeros(len(asked), np.uint16)
         at = self.bigrams.successor(asked)
@@ -216,7 +229,7 @@ def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     keys, n = keys[n > 0], n[n > 0].astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    first = starts(keys)
     return keys[first], np.add.reduceat(n, first) if len(first) else n, asked
 
 
@@ -226,7 +239,7 @@ def _requests(blocks: DataFrame, level: int, borders: np.ndarray) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                found = list(Block(row, borders if level == NGRAMS else borders[:0]).requests(level, borders))
+                found = list(Block(row).requests(level, borders))
                 shard, keys, counts = zip(*found, strict=True)
                 columns = [pa.array(shard, pa.int32()), pa.array([row["block"]] * len(shard), pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "keys", "counts"])
@@ -257,7 +270,8 @@ SCORES = "doc_id bigint, learn boolean, n_tokens bigint, n_known bigint, train_t
 
 
 def _score(row: dict, answers: list[dict], borders: np.ndarray, word_shards: np.ndarray, n: int, v: int, k2: float, k3: float) -> pa.Table:
-    b = Block(row, borders)
+    b = Block(row)
+    b.sort(borders)
     answers.sort(key=lambda a: (a["level"], a["shard"]))
     cuts = np.searchsorted(b.words, word_shards)
     counts = np.concatenate([np.frombuffer(pa.decompress(a["answer"], 8 * size, codec="zstd"), "<i8") for a, size in zip(
@@ -269,22 +283,23 @@ def _score(row: dict, answers: list[dict], borders: np.ndarray, word_shards: np.
         got = loose(a["answer"])
         trigrams.append(got[: len(keys)])
         bigrams.append(decoded(got[len(keys) :]))
-        names.append(np.unique(keys >> np.uint64(CHILD_BITS)))
+        names.append(distinct(keys >> np.uint64(CHILD_BITS)))
     names, bigrams = np.concatenate(names), np.concatenate(bigrams)
-    first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+    first = starts(names)
     names, bigrams = names[first], np.add.reduceat(bigrams, first)
-    c3 = decoded(np.concatenate(trigrams))[np.searchsorted(b.asked, b.keys)]
-    c2 = bigrams[np.searchsorted(names, b.keys >> np.uint64(CHILD_BITS))]
+    c3, c2 = np.empty(len(b.keys)), np.empty(len(b.keys))
+    c3[b.order] = decoded(np.concatenate(trigrams))[np.searchsorted(b.asked, b.keys)]
+    c2[b.order] = bigrams[np.searchsorted(names, b.keys >> np.uint64(CHILD_BITS))]
     c1 = counts[b.codes]
-    starts = np.cumsum(b.sizes) - b.sizes
+    heads = np.cumsum(b.sizes) - b.sizes
     ends = float(counts[np.searchsorted(b.words, END)])
     # Occurrences of the context: the token before; the bigram before.
     cv, cuv = np.append(0.0, c1[:-1]), np.append(0.0, c2[:-1])
-    cv[starts] = cuv[starts] = ends
+    cv[heads] = cuv[heads] = ends
     p1 = (c1 + 1.0) / (n + v + 1.0)
     p2 = (c2 + k2 * p1) / (cv + k2)
     p3 = (c3 + k3 * p2) / (cuv + k3)
-    figures = [np.add.reduceat(x, starts) for x in ((c1 > 0).astype(np.int64), np.log10(p1), np.log10(p3))]
+    figures = [np.add.reduceat(x, heads) for x in ((c1 > 0).astype(np.int64), np.log10(p1), np.log10(p3))]
     ids, learn = pa.array(row["doc_ids"], pa.int64()), pa.array(row["learn"], pa.bool_())
     columns = [ids, learn, pa.array(b.sizes), pa.array(figures[0]), pa.array([n] * len(ids), pa.int64()), pa.array(figures[1]), pa.array(figures[2])]
     return pa.table(columns, names=[c.split()[0] for c in SCORES.split(", ")])
@@ -312,7 +327,7 @@ def score_corpus(docs: DataFrame, k2: float = K2, k3: float = K3, shard_keys: in
     """(doc_id, learn, n_tokens, n_known, train_tokens, base_score, score) of every row of docs (doc_id,
     text, learn); the model learns from the rows marked learn. Scores are log10 probabilities."""
     blocks = materialize(text_blocks(docs), "blocks")
-    total = blocks.agg(F.sum("n_words"), F.sum("n_keys"), F.sum("n_learn")).first()
+    total = blocks.agg(F.sum("n_words"), F.sum("n_tokens"), F.sum("n_learn")).first()
     per = SHARD_KEYS if shard_keys is None else shard_keys
     word_borders = _even(max(1, -(-(total[0] or 0) // per)))
     borders = _borders(blocks, max(1, -(-(total[1] or 0) // per)))
@@ -332,7 +347,7 @@ def trie_shards(docs: DataFrame, shard_keys: int | None = None) -> DataFrame:
     """(shard, first_key, payload): the n-gram levels learnt from docs (doc_id, text, learn), each
     payload a buffer for TrieLevel.map."""
     blocks = materialize(text_blocks(docs), "blocks")
-    total = blocks.agg(F.sum("n_keys")).first()[0] or 0
+    total = blocks.agg(F.sum("n_tokens")).first()[0] or 0
     borders = _borders(blocks, max(1, -(-total // (SHARD_KEYS if shard_keys is None else shard_keys))))
 
     def build(table: pa.Table) -> pa.Table:
