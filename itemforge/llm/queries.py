@@ -119,6 +119,15 @@ def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(docs).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from itemforge.llm.alignment import FIGURES, alignments
+
+    docs = table(spark, sf_dir, "documents")
+    found = alignments(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256")
+    return found.select("doc_id", *FIGURES, digest)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
