@@ -40,10 +40,15 @@ PAGE_FOOT = r"Previous Year Questions • Free download at collegedunia\.com\s*\
 PAGE_NUMBER = r"\nPage \d+\s*\n"
 
 
-def clean_pages(c: Column) -> Column:
-    """Whole text of a file: running heads, foots and page numbers go, blank lines collapse."""
+def clean_inside(c: Column) -> Column:
+    """Running heads, foots and page numbers go, blank lines collapse."""
     c = rx(rx(rx(c, PAGE_HEAD, ""), PAGE_FOOT, ""), PAGE_NUMBER, "\n")
-    return strip(rx(c, r"\n{3,}", "\n\n"))
+    return rx(c, r"\n{3,}", "\n\n")
+
+
+def clean_pages(c: Column) -> Column:
+    """Whole text of a file, cleaned and stripped."""
+    return strip(clean_inside(c))
 
 
 def normalize(c: Column) -> Column:

@@ -236,12 +236,18 @@ def clean_pages(spark, sf):
     return bank.document_text(chapter_pages(spark, sf)).select("file", tx.clean_pages(F.col("text")).alias("text"))
 
 
+@query(f"WITH {DOCS_SQL} SELECT file, CAST(n - 1 AS BIGINT) AS n, line FROM (SELECT file, {CLEAN_SQL} AS text FROM docs) d, unnest(string_split(d.text, chr(10))) WITH ORDINALITY u(line, n)")
+def clean_lines(spark, sf):
+    """Lines of cleaned files, from parts stitched over page borders: no row holds a file."""
+    return scan.part_lines(scan.clean_parts(chapter_pages(spark, sf)))
+
+
 CHAPTER_SQL = "['Atoms', 'Wave Optics', 'Nuclei'][CAST(file AS BIGINT) % 3 + 1]"
 
 
-def chapter_docs(spark, sf):
+def chapter_parts(spark, sf):
     name = F.get(F.array(*map(F.lit, ["Atoms", "Wave Optics", "Nuclei"])), (F.col("file").cast("long") % 3).cast("int"))
-    return bank.document_text(chapter_pages(spark, sf)).withColumn("chapter", name)
+    return scan.clean_parts(chapter_pages(spark, sf).withColumn("chapter", name), "chapter")
 
 
 @query(
@@ -260,7 +266,7 @@ SELECT file, replace(lower(chapter), ' ', '-') || '-' || row_number() OVER (PART
 """
 )
 def chapter_scan(spark, sf):
-    return scan.chapter_questions(chapter_docs(spark, sf)).select("file", "id", "chapter", "marks", "year", "question")
+    return scan.chapter_questions_of(chapter_parts(spark, sf)).select("file", "id", "chapter", "marks", "year", "question")
 
 
 PAPER_SQL = (
@@ -294,8 +300,8 @@ SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS INT)
 )
 def solved_scan(spark, sf):
     c = t(spark, sf, "conversations").withColumn("x", F.expr(PAPER_SQL.replace("chr(10)", "char(10)").replace("turn // 2", "turn div 2")))
-    docs = bank.document_text(c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("page_no"), F.col("x").alias("text")))
-    return scan.solved_pairs(docs.withColumn("year", F.lit(2020))).select("file", "pair_ord", "q_num", "question", "answer")
+    parts = c.select(F.col("conv_id").cast("string").alias("file"), F.lit(2020).alias("year"), F.col("turn").cast("long").alias("part"), F.col("x").alias("text"))
+    return scan.solved_pairs_of(parts).select("file", "pair_ord", "q_num", "question", "answer")
 
 
 ANSWER_SQL = (

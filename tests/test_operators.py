@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from itemforge.functions import text as tx
 from itemforge.operators import generation, match, rules, scan, search, state, summary
 from itemforge.plans.bank import ItemBank
 from itemforge.plans.pipeline import build, extract
@@ -90,6 +91,108 @@ def test_solved_scan(spark):
     ]
 
 
+NUMBERED, ANSWERED = re.compile(r"^\s*(\d+)\.\s+(.*)"), re.compile(r"^\s*Ans\.\s*(.*)")
+
+
+def plain_pairs(lines):
+    """A solved paper read line by line."""
+    out, number, asked, answer = [], 0, [], None
+
+    def close():
+        question = " ".join(" ".join(asked).split())
+        if len(question) > 10:
+            out.append((number, question, " ".join(" ".join(answer or []).split()) or None))
+
+    for line in lines:
+        m, a, token = NUMBERED.match(line), ANSWERED.match(line), line.split()[:1]
+        if number and answer is None:
+            if a:
+                answer = [a[1]]
+                continue
+            if not (m and int(m[1]) == number + 1):
+                asked.append(line.strip())
+                continue
+            close()
+        elif number:
+            if not m and not (token and re.match(r"^\d+\.$", token[0])):
+                answer.append(line.strip())
+                continue
+            close()
+        number, asked, answer = 0, [], None
+        if m and 1 <= int(m[1]) <= 35:
+            number, asked = int(m[1]), [m[2]]
+    if number:
+        close()
+    return out
+
+
+PAPER_LINES = [
+    "1. first question text", "2. second question text", "  3. third one, rather long", "Ans. an answer", "Ans.", " Ans.  another ", "4.", "12. far", "40. out of range", "word word", "", "\x1c", "\u0662. by other digits",
+    "99999999999. huge", "35. the last question", "36. too far", "0. zero is none", "5.\x1dseparated by a mark", "\u00a01.\u00a0blanks of another kind", "\r", "007. spelled with zeros",
+]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 512])
+def test_solved_scan_random_at_every_part_size(spark, size):
+    rng = random.Random(size)
+    texts = ["\n".join(rng.choice(PAPER_LINES) for _ in range(rng.randrange(40))) for _ in range(120)] + [None, ""]
+    docs = spark.createDataFrame([(f"{k:03}", 2000 + k, t) for k, t in enumerate(texts)], "file string, year int, text string")
+    got = {}
+    for r in scan.solved_pairs_of(scan.text_parts(docs, "year", lines=size)).orderBy("file", "pair_ord").collect():
+        assert r.year == 2000 + int(r.file) and r.pair_ord == len(got.setdefault(r.file, []))
+        got[r.file].append((r.q_num, r.question, r.answer))
+    assert got == {f"{k:03}": s for k, t in enumerate(texts) if (s := plain_pairs((t or "").split("\n")))}
+
+
+def test_solved_scan_of_a_long_file_in_many_parts(spark):
+    # 200,000 lines in 400 parts, in which most questions and answers cross part borders.
+    pages = spark.range(0, 400, 1, 8).select(
+        F.lit("p").alias("file"), F.lit(2020).alias("year"), F.col("id").alias("part"),
+        F.expr("array_join(transform(sequence(0, 499), k -> CASE (id * 500 + k) % 700 WHEN 3 THEN '1. a question to be asked' WHEN 350 THEN 'Ans. so' ELSE concat('w', k) END), char(10))").alias("text"),
+    )
+    text = "\n".join(r.text for r in pages.orderBy("part").collect())
+    read = scan.solved_pairs_of(pages)
+    got = [(r.q_num, r.question, r.answer) for r in read.orderBy("pair_ord").collect()]
+    assert got == plain_pairs(text.split("\n")) and len(got) > 1
+
+
+@pytest.mark.parametrize("intended", [False, True])
+def test_chapter_scan_at_every_part_size(spark, intended):
+    rng = random.Random(6)
+    lines = ["Q1. a long enough question", "Q2.", "Q3. short", "2-Mark Questions", "text line here", "", "Q4. 3-Mark Questions", "  more words follow", "[2021] year of it"]
+    texts = ["\n".join(["x", *(rng.choice(lines) for _ in range(rng.randrange(1, 30))), "y"]) for _ in range(60)]
+    docs = spark.createDataFrame([(f"{k:03}", f"C{k % 7}", t) for k, t in enumerate(texts)], "file string, chapter string, text string")
+    names = ["file", "id", "chapter", "marks", "year", "question"]
+    whole, *others = (sorted(map(tuple, scan.chapter_questions_of(scan.text_parts(docs, "chapter", lines=n), intended).select(*names).collect())) for n in (512, 1, 5))
+    assert len(whole) > 50 and all(o == whole for o in others)
+
+
+PAGE_LINES = [
+    "Collegedunia | Class 12 Physics", "Chapter 3", "Previous Year Questions • Free download at collegedunia.com", "Page 4", "", "  ", "plain words", "more", "text", "x Collegedunia | Class 12 Physics ",
+    "Page", "Pa", "ge 5", "plain", "words again",
+]
+
+
+def test_page_parts_are_the_cleaned_text(spark):
+    rng = random.Random(9)
+    files = [["\n".join(rng.choice(PAGE_LINES) for _ in range(rng.randrange(1, 14))) for _ in range(rng.randrange(1, 6))] for _ in range(250)]
+    files += [["", ""], ["\n\n"], ["a"], ["\n\na\nb\nc\nd\n\n", "\n\n\n"]]
+    rows = [(f"{k:03}", n, t) for k, pages in enumerate(files) for n, t in enumerate(pages)]
+    pages = spark.createDataFrame([*rows, ("000", 99, None)], "file string, page_no int, text string")
+    want = {r.file: r.t for r in bank.document_text(pages).select("file", tx.clean_pages(F.col("text")).alias("t")).collect()}
+    parts = scan.clean_parts(pages)
+    got = {}
+    for r in parts.orderBy("file", "part").collect():
+        got.setdefault(r.file, []).append(r.text)
+    assert {f: "\n".join(t) for f, t in got.items()} == want
+    assert parts.groupBy("file").count().agg(F.max("count")).first()[0] > 3
+    lines = {}
+    for r in scan.part_lines(parts).orderBy("file", "n").collect():
+        assert r.n == len(lines.setdefault(r.file, []))
+        lines[r.file].append(r.line)
+    assert {f: "\n".join(t) for f, t in lines.items()} == want
+
+
 def test_answer_segments(spark):
     got = {}
     rows = spark.createDataFrame([*enumerate(ANSWERS)], "ord int, answer string")
