@@ -30,18 +30,19 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemforge.llm.bpe_cache import ChunkedEncoder
-from itemforge.llm.common import held, materialize, release, text_slices
-from itemforge.llm.elias_fano import loose, squeeze
+from itemforge.llm.common import drop, held, materialize, release, text_slices
+from itemforge.llm.elias_fano import EliasFano, loose, pack, squeeze
 from itemforge.llm.pieces import MARK, SEGMENT, PrefixTable
 
 #: Text of a block, single longer texts apart; distinct chunks that a shard gets about.
@@ -52,7 +53,7 @@ BROADCAST_PAIRS = 1 << 20
 #: Bytes of a bucket of the range join.
 BUCKET = 16
 CUT = re.compile(r"(?<!\s)(?=[ \n])")
-BLOCK = "block bigint, doc_ids array<bigint>, sizes binary, codes binary, chunks array<string>, counts binary"
+BLOCK = "block bigint, doc_ids array<bigint>, sizes binary, codes binary, chunks array<string>, hashes binary, counts binary"
 UNIT = "unit bigint, chunk string, n bigint, a array<struct<id:int,size:int>>, b array<struct<id:int,size:int>>"
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -74,12 +75,18 @@ def chunk_blocks(docs: DataFrame) -> DataFrame:
         part, made = TaskContext.get().partitionId(), count()
 
         def block(known, codes, sizes, ids):
-            codes = np.concatenate(codes)
+            chunks = list(known)
+            hashes = np.fromiter(map(zlib.crc32, map(str.encode, chunks)), np.uint32, len(chunks))
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order))
+            codes = place[np.concatenate(codes)]
             ids = pa.concat_arrays(ids)
             columns = [pa.array([(part << 32) + next(made)]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
             columns += [pa.array([x], pa.binary()) for x in (np.concatenate(sizes).astype("<i8").tobytes(), squeeze(codes))]
-            columns += [pa.array([list(known)], pa.list_(pa.string())), pa.array([squeeze(np.bincount(codes, minlength=len(known)))], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "sizes", "codes", "chunks", "counts"])
+            columns += [pa.array([[chunks[k] for k in order]], pa.list_(pa.string()))]
+            columns += [pa.array([x], pa.binary()) for x in (pack(hashes[order]), squeeze(np.bincount(codes, minlength=len(chunks))))]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "sizes", "codes", "chunks", "hashes", "counts"])
 
         def new():
             return defaultdict(count().__next__), [], [], []
@@ -121,32 +128,29 @@ class Tokenizers:
         return [(ids.astype(np.int32), self.a.width[ids], sizes), (own, self.b.size[own], each)]
 
 
-def _shard_of(chunks: list[str], shards: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(c.encode()) for c in chunks), np.int64, len(chunks)) % shards
+def _cuts(hashes: bytes, shards: int) -> np.ndarray:
+    """Where each shard's range of 32-bit hashes begins in a block's chunks, and their number."""
+    borders = np.array([(k << 32) // shards for k in range(shards)], np.uint64)
+    found = EliasFano(hashes).all()
+    return np.append(np.searchsorted(found, borders), len(found))
 
 
 def _parts(blocks: DataFrame, shards: int) -> DataFrame:
     """(shard, block, chunks, counts): the distinct chunks of each block by the shard of their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            for row in batch.to_pylist():
-                order, of = _by_shard(row["chunks"], shards)
-                counts, cuts = loose(row["counts"])[order], np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
-                spans = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if a < b]
-                text = pa.array(row["chunks"]).take(pa.array(order))
-                columns = [pa.array([int(of[a]) for a, _ in spans], pa.int32()), pa.array([row["block"]] * len(spans), pa.int64())]
-                columns += [pa.array([text.slice(a, b - a).to_pylist() for a, b in spans], pa.list_(pa.string())), pa.array([squeeze(counts[a:b]) for a, b in spans], pa.binary())]
+            for k in range(batch.num_rows):
+                chunks, counts = batch.column("chunks")[k].values, loose(batch.column("counts")[k].as_py())
+                cuts = _cuts(batch.column("hashes")[k].as_py(), shards)
+                own = np.flatnonzero(np.diff(cuts))
+                ends = np.append(cuts[own], cuts[-1])
+                columns = [pa.array(own, pa.int32()), pa.array([batch.column("block")[k].as_py()] * len(own), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks)]
+                columns.append(pa.array([squeeze(counts[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "chunks", "counts"])
 
-    return blocks.select("block", "chunks", "counts").mapInArrow(run, "shard int, block bigint, chunks array<string>, counts binary")
-
-
-def _by_shard(chunks: list[str], shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The chunks' order by shard, in which both sides of the exchange list them, and the shards."""
-    of = _shard_of(chunks, shards)
-    order = np.argsort(of, kind="stable")
-    return order, of[order]
+    return blocks.select("block", "chunks", "hashes", "counts").mapInArrow(run, "shard int, block bigint, chunks array<string>, counts binary")
 
 
 def chunk_units(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -186,6 +190,18 @@ def grouped(tokens: DataFrame, others: DataFrame) -> DataFrame:
     return tokens.join(ends, ["unit", "end"], "left").select("*", F.coalesce(F.sum(cut.cast("int")).over(before), F.lit(0)).alias("grp"))
 
 
+@contextmanager
+def in_place(spark: SparkSession) -> Iterator[None]:
+    """Joins on a unit and more keep rows dealt by unit where they are, in plans that run inside."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def align(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(A's tokens, B's tokens, links) of units (unit, a, b): tokens as (unit, pos, id, begin, end, cut,
     grp), links as (unit, a, b), the ids of tokens that share bytes, one row for each pair of tokens."""
@@ -216,63 +232,66 @@ def group_strings(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("unit").agg(F.count("*").alias("n_groups"), text.alias("groups"))
 
 
-def pair_counts(links: DataFrame, units: DataFrame) -> DataFrame:
-    """(a, b, n, is_best): links of each id pair in the whole corpus, and whether no other A id has more
-    with that B id."""
-    n = links.join(units.select("unit", "n"), "unit").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return n.withColumn("is_best", F.col("n") == F.max("n").over(Window.partitionBy("b")))
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """(pair, n, is_best) of aligned (n, links): links of each id pair in the whole corpus, and whether no
+    other A id has more with that B id. A pair is A's id and B's in the halves of a long."""
+    n = aligned.select("n", F.explode("links").alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    return n.withColumn("is_best", F.col("n") == F.max("n").over(Window.partitionBy(F.col("pair").cast("int"))))
 
 
 def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row of docs (doc_id, text)."""
+    spark = docs.sparkSession
     blocks = materialize(chunk_blocks(docs), "blocks")
     total = blocks.agg(F.sum(F.size("chunks"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_CHUNKS))
     units = materialize(chunk_units(_parts(blocks, shards), a_path, b_path), "units")
-    a, b, links = align(units)
-    links = materialize(links, "links")
-    strings = group_strings(a, b)
-    pairs = materialize(pair_counts(links, units), "pairs")
+    with in_place(spark):
+        a, b, links = align(units)
+        pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
+        lists = links.groupBy("unit").agg(F.collect_list(pair).alias("links"))
+        sized = units.select("unit", "chunk", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
+        aligned = materialize(sized.join(group_strings(a, b), "unit").join(lists, "unit"), "aligned")
+    drop(units)
+    pairs = materialize(pair_counts(aligned), "pairs")
     known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    linked = links.join(known, ["a", "b"]).groupBy("unit")
-    linked = linked.agg(F.count("*").alias("n_links"), F.count_if("is_best").alias("n_best"), F.sum("n").alias("count_sum"))
-    sized = units.select("unit", "chunk", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.shiftright("unit", 32).cast("int").alias("shard"))
-    results = sized.join(strings, "unit").join(linked, "unit").select("shard", "chunk", *FIGURES, "groups")
+    dealt = aligned.repartition("unit")
+    linked = dealt.select("unit", F.explode("links").alias("pair")).join(known.withColumnRenamed("n", "m"), "pair").groupBy("unit")
+    linked = linked.agg(F.count("*").alias("n_links"), F.count_if("is_best").alias("n_best"), F.sum("m").alias("count_sum"))
+    results = dealt.join(linked, "unit").select(F.shiftright("unit", 32).cast("int").alias("shard"), "chunk", *FIGURES, "groups")
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         place = {c: k for k, c in enumerate(known.column("chunk").to_pylist())}
-        figures = np.stack([known.column(c).to_numpy() for c in FIGURES], axis=1)
+        figures = np.stack([known.column(c).to_numpy() for c in FIGURES])
         groups = known.column("groups").to_pylist()
         out = []
         for row in asked.column("chunks").to_pylist():
             at = [place[c] for c in row]
-            out.append(pa.compress(figures[at].T.astype("<i8").tobytes() + "\n".join(map(groups.__getitem__, at)).encode(), codec="zstd", asbytes=True))
-        sizes = [48 * len(r) + sum(len(groups[place[c]]) + 1 for c in r) - 1 for r in asked.column("chunks").to_pylist()]
-        return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names=["block", "shard", "answer", "size"])
+            raw = figures[:, at].astype("<i8").tobytes() + "\n".join(map(groups.__getitem__, at)).encode()
+            out.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
+        return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "answer"])
 
     asked = _parts(blocks, shards).groupBy("shard").cogroup(results.groupBy("shard"))
-    answers = asked.applyInArrow(answer, "block bigint, shard int, answer binary, size bigint")
+    answers = asked.applyInArrow(answer, "block bigint, shard int, answer binary")
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         sizes = np.frombuffer(row["sizes"], "<i8")
-        codes = loose(row["codes"])
-        order, of = _by_shard(row["chunks"], shards)
-        figures, groups = np.zeros((6, len(order)), np.int64), np.empty(len(order), object)
+        codes, cuts = loose(row["codes"]), _cuts(row["hashes"], shards)
+        figures, groups = np.zeros((6, cuts[-1]), np.int64), np.empty(cuts[-1], object)
         for r in answers.to_pylist():
-            mine = order[slice(*np.searchsorted(of, [r["shard"], r["shard"] + 1]))]
-            raw = pa.decompress(r["answer"], r["size"], codec="zstd", asbytes=True)
-            figures[:, mine] = np.frombuffer(raw, "<i8", 6 * len(mine)).reshape(6, -1)
-            groups[mine] = raw[48 * len(mine) :].decode().split("\n")
+            a, b = cuts[r["shard"] : r["shard"] + 2]
+            raw = pa.decompress(r["answer"][8:], int.from_bytes(r["answer"][:8], "little"), codec="zstd", asbytes=True)
+            figures[:, a:b] = np.frombuffer(raw, "<i8", 6 * (b - a)).reshape(6, -1)
+            groups[a:b] = raw[48 * (b - a) :].decode().split("\n")
         ends = np.cumsum(sizes)
         totals = np.zeros((6, len(sizes)), np.int64)
         has = sizes > 0
-        if has.any():
-            totals[:, has] = np.add.reduceat(figures[:, codes], (ends - sizes)[has], axis=1)
+        for k in range(6 if has.any() else 0):
+            totals[k, has] = np.add.reduceat(figures[k][codes], (ends - sizes)[has])
         strings = [";".join(groups[codes[e - s : e]]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
         columns = [pa.array(row["doc_ids"], pa.int64()), *map(pa.array, totals), pa.array(strings, pa.string())]
         return pa.table(columns, names=["doc_id", *FIGURES, "groups"])
 
-    own = blocks.select("block", "doc_ids", "sizes", "codes", "chunks")
+    own = blocks.select("block", "doc_ids", "sizes", "codes", "hashes")
     return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, RESULT)
-
