@@ -236,7 +236,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, n, is_best) of aligned (n, links): links of each id pair in the whole corpus, and whether no
     other A id has more with that B id. A pair is A's id and B's in the halves of a long."""
     n = aligned.select("n", F.explode("links").alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
-    return n.withColumn("is_best", F.col("n") == F.max("n").over(Window.partitionBy(F.col("pair").cast("int"))))
+    return n.withColumn("is_best", F.col("n") == F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(0xFFFFFFFF))))
 
 
 def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
