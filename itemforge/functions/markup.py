@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from itemforge.functions.text import control_clean, map_segments, rx, template, where_found
+from itemforge.functions.text import control_clean, map_segments, map_spans, rx, template, where_found
 
 # Element symbols, two letters before one.
 ELEMENTS = (
@@ -145,20 +145,49 @@ def fuse(c: Column) -> Column:
 
 # What has to occur in a text for a step to change anything in it.
 NUCLEAR_AT = r"\d\s+\d{1,2}\s+[A-Z]"
-SYMBOL_AT = "[" + "".join([*GREEK, *SIGNS]) + "√]"
+SYMBOLS = "".join([*GREEK, *SIGNS]) + "√"
+SYMBOL_AT = f"[{SYMBOLS}]"
 SUBSCRIPT_AT = r"\b(?:[XV][LCR]|[VIEvBbi]0|[VIEvi]m|[CLRilrn][1-5])\b"
 POWER_AT = r"\\times|\b10-\d|\\pi"
-
-
-def markup(c: Column, faithful: bool = True) -> Column:
-    """All steps in order. Null and empty texts pass through; a step is left out of texts in which
-    nothing can set it off."""
-    c = where_found(control_clean(c), NUCLEAR_AT, nuclear)
+ANY_AT = "|".join([NUCLEAR_AT, SYMBOL_AT, ROOT, SUBSCRIPT_AT, POWER_AT, r"[\\$]"])
+
+# Neighbourhoods. A word is hot if it holds a character that some pattern names (HOT) or is a letter pair
+# that is a subscript. No pattern reaches over white space with other characters on both sides, and only
+# hot words, the word before one that begins hot, and the word after one that ends hot, become
+# blocks, which fuse over a space. So a neighbourhood is hot words with those, and with neighbours that
+# could be blocks. Braces may hold anything: from one on the text stays together. Dollars in the text
+# pair over any distance: then all from the first hot word on stays together.
+HOT = rf"\p{{Nd}}_\\${{}}^{SYMBOLS}"
+WORD = rf"[^\s{HOT}]"
+PAIR = r"(?:[XV][LCR]|[VIEvi]m)"
+TO_WORD = rf"(?:[^\s{{]*+\{{(?s:.)*+|\S++)"
+IS_HOT = rf"(?={WORD}*+[{HOT}]|{WORD}*?\b{PAIR}\b)"
+BEGIN = rf"(?<!\S)(?:{WORD}++\s++(?=[{HOT}]))?{IS_HOT}"
+NEIGHBOURHOOD = rf"{BEGIN}{TO_WORD}(?:(?<=[{HOT}])\s++{TO_WORD}|\s++(?={WORD}*+[{HOT}]|{WORD}++\s++[{HOT}]|{WORD}*?\b{PAIR}\b){TO_WORD})*+"
+FROM_FIRST = rf"{BEGIN}(?s:.)++"
+
+
+def markup_whole(c: Column, faithful: bool = True) -> Column:
+    """All steps in order over a clean text; a step is left out of texts in which nothing can set it off."""
+    c = where_found(c, NUCLEAR_AT, nuclear)
     for trigger, step in ((SYMBOL_AT, commands_for_symbols), (ROOT, roots), (SUBSCRIPT_AT, subscripts), (POWER_AT, powers_of_ten), (r"\\", wrap_commands)):
         c = where_found(c, trigger, lambda x, step=step: map_segments(x, step))
     return where_found(c, r"\$", lambda x: fuse(inner_subscripts(empty_roots(omega_powers(pi_fractions(denominators(x)))), faithful)))
 
 
+def markup(c: Column, faithful: bool = True) -> Column:
+    """All steps in order. Null and empty texts pass through. The text is cut once into neighbourhoods
+    in which a step can find something; only these are rewritten, each on its own."""
+
+    def some(x: Column) -> Column:
+        return where_found(x, ANY_AT, lambda s: markup_whole(s, faithful))
+
+    def both(x: Column) -> Column:
+        return F.when(F.contains(x, F.lit("$")), map_spans(x, FROM_FIRST, some)).otherwise(map_spans(x, NEIGHBOURHOOD, some))
+
+    return F.transform(F.array(control_clean(c)), both)[0]
+
+
 def audit(c: Column) -> list[Column]:
     """Counts of malformed markup, as aggregates."""
     return [

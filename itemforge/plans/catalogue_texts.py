@@ -1,8 +1,9 @@
 """Registered queries of scanners, markup, sources and sinks, with their SQL counterparts.
 
 The tables hold few of the patterns that these look for, so each text of documents or conversations
-gets a piece that does (SNIPPETS, page heads, answer forms), and characters beyond ASCII become e,
-as word borders in SQL know ASCII alone. Texts stay whole.
+gets a piece that does (SNIPPETS, page heads, answer forms). Texts stay whole and as they are. Word
+borders in SQL know ASCII alone, so around a step that has some, its SQL puts an underscore on both
+sides of each letter, mark and digit beyond ASCII, and takes them away again (edged).
 """
 
 from __future__ import annotations
@@ -30,15 +31,13 @@ def q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-ASCII = r"regexp_replace(text, '[^\x00-\x7F]', 'e', 'g')"
-MARKED_SQL = f"SELECT doc_id AS ord, {ASCII} || ' ' || [{', '.join(map(q, SNIPPETS))}][doc_id % {len(SNIPPETS)} + 1] AS x FROM documents"
+MARKED_SQL = f"SELECT doc_id AS ord, text || ' ' || [{', '.join(map(q, SNIPPETS))}][doc_id % {len(SNIPPETS)} + 1] AS x FROM documents"
 
 
 def marked(spark, sf):
     """(ord, x): every document's text with one of the snippets."""
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "e")
     piece = F.get(F.array(*map(F.lit, SNIPPETS)), (F.col("doc_id") % len(SNIPPETS)).cast("int"))
-    return t(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.concat(plain, F.lit(" "), piece).alias("x"))
+    return t(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.concat("text", F.lit(" "), piece).alias("x"))
 
 
 def each(x: str, pattern: str, to: str) -> str:
@@ -61,6 +60,14 @@ def literal(x: str, pairs) -> str:
     return x
 
 
+BEYOND = r"([^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}\p{No}])"
+
+
+def edged(x: str, rules) -> str:
+    """The rules, with word borders that know letters beyond ASCII."""
+    return each(every(each(x, BEYOND, "_<1>_"), rules), f"_{BEYOND}_", "<1>")
+
+
 TOKENS = r"regexp_extract_all(x, '\$[^$]+\$|[^$]+|\$')"
 IS_MATH = "length(s) > 2 AND starts_with(s, '$')"
 
@@ -79,17 +86,17 @@ TO_ROOT = r"$\frac{<1>}{\sqrt{<2>}}$"
 STOP, END = r"([\s,)(.\n]|$)", r"([\s,)(.;:]|$)"  # in place of a look ahead
 STEPS = {
     "clean": lambda: every("x", [(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), ("  +", " ")]),
-    "nuclear": lambda: each("x", r"\b(\d{1,3})\s+(\d{1,2})\s+(" + "|".join(mk.ELEMENTS) + r")\b", r"${}^{<1>}_{<2>}\text{<3>}$"),
+    "nuclear": lambda: edged("x", [(r"\b(\d{1,3})\s+(\d{1,2})\s+(" + "|".join(mk.ELEMENTS) + r")\b", r"${}^{<1>}_{<2>}\text{<3>}$")]),
     "symbols": lambda: outside(lambda s: literal(s, [("√", ROOT), *((k, "\\" + v) for k, v in mk.GREEK.items()), *mk.SIGNS.items()])),
     "roots": lambda: outside(lambda s: literal(every(s, [
         (rf"{FREE}{NUM}\s+{ROOT}\s+{NUM}", r"<1>$\frac{<2>}{\sqrt{<3>}}$"), (rf"{FREE}{NUM}\s+{ROOT}\s+{NAME}", r"<1>$\frac{<2>}{\sqrt{<3>}}$"),
-        (rf"([A-Za-z]\w*)\s+{ROOT}\s+{NUM}", TO_ROOT), (rf"{ROOT}\s*{NUM}", r"$\sqrt{<1>}$"), (rf"{ROOT}\s*{NAME}", r"$\sqrt{<1>}$"),
+        (rf"([A-Za-z][\w\p{{L}}\p{{M}}\p{{Nd}}]*)\s+{ROOT}\s+{NUM}", TO_ROOT), (rf"{ROOT}\s*{NUM}", r"$\sqrt{<1>}$"), (rf"{ROOT}\s*{NAME}", r"$\sqrt{<1>}$"),
     ]), [(ROOT, r"$\sqrt{\cdot}$")])),
-    "subscripts": lambda: outside(lambda s: every(s, [
+    "subscripts": lambda: outside(lambda s: edged(s, [
         (r"\bX([LCR])\b", "$X_{<1>}$"), (r"\bV([LCR])\b", "$V_{<1>}$"), (r"\b([VIEvBbi])0\b", "$<1>_0$"), (r"\b([VIEvi])m\b", "$<1>_m$"),
         (r"\b([CLRilrn])([12345])\b", "$<1>_<2>$"),
     ])),
-    "powers": lambda: outside(lambda s: every(s, [
+    "powers": lambda: outside(lambda s: edged(s, [
         (rf"{NUM}\s*\\times\s*10\s*\^?\s*\{{?(-?\d+)\}}?", r"$<1> \times 10^{<2>}$"), (r"\b10-(\d+)\b", "$10^{-<1>}$"),
         (r"10\^?\{?(\d+)\}?\s+(\d*)\\pi", r"$\frac{10^{<1>}}{<2>\pi}$"),
     ])),
@@ -103,7 +110,7 @@ STEPS = {
     "empty_roots": lambda: every("x", [
         (rf"(\d+) \$\\sqrt\{{?\}}?\$\s*{NAME}".replace(r"\{?", r"\{", 1), TO_ROOT), (rf"\$\\sqrt\{{\}}?\$ {NAME}", r"$\sqrt{<1>}$"), (r"\$\\sqrt\{\}\$", r"$\sqrt{\cdot}$"),
     ]),
-    "inner": lambda: inside(lambda s: every(s, [(r"([A-Za-z])0\b", "<1>_0"), (r"([A-Za-z])m\b", "<1>_m")])),
+    "inner": lambda: inside(lambda s: edged(s, [(r"([A-Za-z])0\b", "<1>_0"), (r"([A-Za-z])m\b", "<1>_m")])),
     "fuse": lambda: literal("x", [("$$", ""), ("$ $", " ")]),
 }
 
