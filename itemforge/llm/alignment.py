@@ -1,10 +1,11 @@
 """Cross-tokenizer alignment (operator 13): groups and links between two tokenizers' tokens of a text.
 
 align() is relational: posexplode gives one row a token, a window over each unit sums token sizes to byte
-ends, an equi-join on unit and end finds the cuts (ends that both tokenizers share), running counts of cuts
-are the group ids, and a range join inside each group gives the links, one for each pair of tokens
-whose bytes overlap. The range join meets on byte buckets of BUCKET bytes, so a group of many tokens
-doesn't become all pairs. Everything is dealt by unit once, and stays there through windows and joins.
+ends, an equi-join on unit and end finds the cuts (ends that both tokenizers share), and running counts of
+cuts are the group ids. The range join for the links, one for each pair of tokens whose bytes overlap, is a
+running window over both sides' begins: the bytes that two tokens share begin where the later one does,
+so that token meets the last one of the other side. So a group of many tokens gives as many links as
+it has and never all pairs. Rows are dealt by unit once, and stay there through windows and the join.
 
 The query's units are chunks: a text, with a space before it, is cut before each space or newline that
 follows another character than white space. There both tokenizers end a token, so cuts fall on all
@@ -46,12 +47,12 @@ from itemforge.llm.elias_fano import EliasFano, loose, pack, squeeze
 from itemforge.llm.pieces import MARK, SEGMENT, PrefixTable
 
 #: Text of a block, single longer texts apart; distinct chunks that a shard gets about.
-BLOCK_BYTES = 16 << 20
-SHARD_CHUNKS = 1 << 17
+BLOCK_BYTES = 6 << 20
+SHARD_CHUNKS = 1 << 16
 #: Pairs of ids with their counts that may be broadcast, some 50 bytes each.
 BROADCAST_PAIRS = 1 << 20
-#: Bytes of a bucket of the range join.
-BUCKET = 16
+#: What stands at a byte of a unit, in this order.
+CUT_HERE, A_BEGINS, B_BEGINS = range(3)
 CUT = re.compile(r"(?<!\s)(?=[ \n])")
 BLOCK = "block bigint, doc_ids array<bigint>, sizes binary, codes binary, chunks array<string>, hashes binary, counts binary"
 UNIT = "unit bigint, chunk string, n bigint, a array<struct<id:int,size:int>>, b array<struct<id:int,size:int>>"
@@ -182,14 +183,6 @@ def tokens_of(units: DataFrame, side: str) -> DataFrame:
     return rows.withColumn("end", end).select("unit", "pos", "id", (F.col("end") - F.col("size")).alias("begin"), "end")
 
 
-def grouped(tokens: DataFrame, others: DataFrame) -> DataFrame:
-    """tokens with cut, whether a token of the others ends there, too, and grp, the cuts before."""
-    ends = others.select("unit", "end", F.lit(True).alias("cut"))
-    before = Window.partitionBy("unit").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    cut = F.coalesce("cut", F.lit(False))
-    return tokens.join(ends, ["unit", "end"], "left").select("*", F.coalesce(F.sum(cut.cast("int")).over(before), F.lit(0)).alias("grp"))
-
-
 @contextmanager
 def in_place(spark: SparkSession) -> Iterator[None]:
     """Joins on a unit and more keep rows dealt by unit where they are, in plans that run inside."""
@@ -202,34 +195,30 @@ def in_place(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def align(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(A's tokens, B's tokens, links) of units (unit, a, b): tokens as (unit, pos, id, begin, end, cut,
-    grp), links as (unit, a, b), the ids of tokens that share bytes, one row for each pair of tokens."""
+def align(units: DataFrame) -> DataFrame:
+    """(unit, n_groups, groups, links) of units (unit, a, b) with tokens: groups in order as a1,a2|b1;a3|b2,
+    and one link for each A and B token that share bytes, A's id and B's in the halves of a long."""
     units = units.select("unit", "a", "b").repartition("unit")
     a, b = tokens_of(units, "a"), tokens_of(units, "b")
-    a, b = grouped(a, b), grouped(b, a)
-
-    def spread(tokens: DataFrame, name: str) -> DataFrame:
-        over = F.sequence(F.floor(F.col("begin") / BUCKET), F.floor((F.col("end") - 1) / BUCKET))
-        return tokens.select("unit", "grp", F.explode(over).alias("bucket"), F.col("id").alias(name), F.col("begin").alias(f"{name}_begin"), F.col("end").alias(f"{name}_end"))
-
-    met = spread(a, "a").join(spread(b, "b"), ["unit", "grp", "bucket"])
-    met = met.where("a_begin < b_end and b_begin < a_end")
-    # Tokens that meet in several buckets are linked in that where they first do.
-    links = met.where(F.floor(F.greatest("a_begin", "b_begin") / BUCKET) == F.col("bucket")).select("unit", "a", "b")
-    return a, b, links
-
-
-def group_strings(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(unit, n_groups, groups): groups in order as a1,a2|b1;a3|b2."""
-
-    def listed(tokens: DataFrame, name: str) -> DataFrame:
-        ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"].cast("string")), ",")
-        return tokens.groupBy("unit", "grp").agg(ids.alias(name))
-
-    both = listed(a, "a_ids").join(listed(b, "b_ids"), ["unit", "grp"]).select("unit", "grp", F.concat_ws("|", "a_ids", "b_ids").alias("g"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "g"))), lambda x: x["g"]), ";")
-    return both.groupBy("unit").agg(F.count("*").alias("n_groups"), text.alias("groups"))
+    cuts = a.select("unit", "end").join(b.select("unit", "end"), ["unit", "end"])
+    none = F.lit(None).cast("int")
+    rows = cuts.select("unit", F.col("end").alias("at"), F.lit(CUT_HERE).alias("kind"), none.alias("a"), none.alias("b"))
+    rows = rows.union(a.select("unit", "begin", F.lit(A_BEGINS), "id", none)).union(b.select("unit", "begin", F.lit(B_BEGINS), none, "id"))
+    so_far = Window.partitionBy("unit").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_cut = F.col("kind") == CUT_HERE
+    rows = rows.select(
+        "unit", "at", "kind", F.coalesce("a", "b").alias("id"), F.count_if(is_cut).over(so_far).alias("grp"), F.coalesce(F.max(F.when(is_cut, F.col("at"))).over(so_far), F.lit(0)).alias("group_at"),
+        F.last("a", ignorenulls=True).over(so_far).alias("a"), F.last("b", ignorenulls=True).over(so_far).alias("b"),
+    ).where(~is_cut)
+    # Bytes that two tokens share begin where the later one begins: that one meets the last of the other
+    # side. Where both begin, B's comes second.
+    heads = F.col("at") == F.col("group_at")
+    pair = F.when((F.col("kind") == B_BEGINS) | ~heads, F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")))
+    mark = F.when(~heads, ",").when(F.col("kind") == B_BEGINS, "|").when(F.col("grp") > 0, ";").otherwise("")
+    token = F.struct("grp", "kind", "at", F.concat(mark, F.col("id").cast("string")).alias("text"), pair.alias("pair"))
+    found = rows.groupBy("unit").agg(F.array_sort(F.collect_list(token)).alias("tokens"), (F.max("grp") + 1).alias("n_groups"))
+    pairs = F.filter(F.transform("tokens", lambda t: t["pair"]), lambda x: x.isNotNull())
+    return found.select("unit", "n_groups", F.array_join(F.transform("tokens", lambda t: t["text"]), "").alias("groups"), pairs.alias("links"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -247,11 +236,8 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     shards = max(1, -(-total // SHARD_CHUNKS))
     units = materialize(chunk_units(_parts(blocks, shards), a_path, b_path), "units")
     with in_place(spark):
-        a, b, links = align(units)
-        pair = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
-        lists = links.groupBy("unit").agg(F.collect_list(pair).alias("links"))
         sized = units.select("unit", "chunk", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-        aligned = materialize(sized.join(group_strings(a, b), "unit").join(lists, "unit"), "aligned")
+        aligned = materialize(sized.join(align(units), "unit"), "aligned")
     drop(units)
     pairs = materialize(pair_counts(aligned), "pairs")
     known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
