@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itemforge.scratch import materialize
+
 # Fixed values: (chapter, keywords, label), tried in this order.
 RULES = [
     (
@@ -49,22 +49,53 @@ def rule_table(spark, rules=RULES) -> DataFrame:
     return spark.createDataFrame(rows, "rule_ord int, chapter string, kw_ord int, keyword string, label string")
 
 
-MAX_BROADCAST_RULES = 100_000
+GRAM = 4
+#: One of so many items tells how frequent grams are; that decides on speed alone.
+GRAM_SAMPLE = 1024
+BROADCAST_BYTES = 32 << 20
+
+
+def _grams(text: Column, size: int) -> Column:
+    """All runs of so many characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) if size else F.array(F.lit(""))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is measured to be small."""
+    size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))) + 64)).first()[0] or 0
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
+
+
+def signatures(rules: DataFrame, texts: DataFrame) -> DataFrame:
+    """(keyword, gram): of each keyword's runs of GRAM characters, that which the fewest of texts (t) hold;
+    a shorter keyword is its own."""
+    grams = F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(F.array_distinct(_grams(F.col("keyword"), GRAM)))
+    own = rules.select("keyword").distinct().select("keyword", F.explode(grams).alias("gram"))
+    some = texts.where(F.pmod(F.xxhash64("t"), F.lit(GRAM_SAMPLE)) == 0)
+    seen = some.select(F.explode(F.array_distinct(_grams(F.col("t"), GRAM))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return own.join(seen, "gram", "left").groupBy("keyword").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
 
 
 def tag_by_table(questions: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
-    """(key, removed_reason) with rules held in a table. Rules of a chapter meet its items by an
-    equi-join; the stated rules without a chapter meet all items, in blocks of counted size, each
-    broadcast to one pass over the items."""
-    left = questions.select(key, F.col("chapter").alias("c"), F.lower("question").alias("t"))
-    found = F.contains(F.col("t"), F.col("keyword"))
-    hits = [left.join(rules.where("chapter is not null"), (F.col("chapter") == F.col("c")) & found)]
-    general = rules.where("chapter is null")
-    blocks = -(-general.count() // MAX_BROADCAST_RULES)
-    block = F.pmod(F.xxhash64("rule_ord", "kw_ord"), F.lit(max(1, blocks)))
-    hits += [left.join(F.broadcast(general.where(block == k)), found) for k in range(blocks)]
-    first = reduce(DataFrame.union, hits).groupBy(key).agg(F.min_by("label", F.struct("rule_ord", "kw_ord")).alias("removed_reason"))
-    return questions.select(key).join(first, key, "left")
+    """(key, removed_reason) with rules held in a table (rule_ord, chapter or null, kw_ord, keyword, label).
+
+    Keywords and items meet by an equi-join on a gram that the keyword holds and that few items do; then
+    what is left is looked for in the item's own text. Items are known by two hashes of chapter and
+    text, so each row has its own label, whatever ids it shares. The rules of an item are tried in order.
+    """
+    named = rules.where("keyword is not null").select("rule_ord", "kw_ord", "keyword", "label", F.col("chapter").alias("of"))
+    row = [F.xxhash64("c", "t").alias("h1"), F.xxhash64(F.lit(1), "t", "c").alias("h2")]
+    items = questions.select(F.col(key), F.col("chapter").alias("c"), F.lower("question").alias("t"))
+    known = materialize(named.join(signatures(named, items), "keyword"), "signatures")
+    sizes = sorted(r["n"] for r in known.select(F.length("gram").alias("n")).distinct().collect())  # GRAM + 1 at most
+    if not sizes:
+        return questions.select(key, F.lit(None).cast("string").alias("removed_reason"))
+    held = F.array_distinct(F.concat(*(_grams(F.col("t"), n) for n in sizes)))
+    met = items.where("t is not null").select("c", *row, F.explode(held).alias("gram")).join(_small(known), "gram").where("of is null or of = c")
+    tried = F.array_sort(F.collect_set(F.struct("rule_ord", "kw_ord", "keyword", "label"))).alias("tried")
+    found = materialize(met.groupBy("h1", "h2").agg(tried), "candidates")
+    first = F.filter("tried", lambda r: F.contains(F.col("t"), r["keyword"]))
+    return items.select(key, "t", *row).join(_small(found), ["h1", "h2"], "left").select(key, F.get(first, F.lit(0))["label"].alias("removed_reason"))
 
 
 def missing_answers(questions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from itemforge.functions import text as tx
-from itemforge.operators import generation, match, rules, scan, search, state, summary
+from itemforge.operators import generation, match, rules, scan, search, state, stored, summary
 from itemforge.plans.bank import ItemBank
 from itemforge.plans.pipeline import build, extract
 from itemforge.sources import bank
@@ -217,11 +217,13 @@ def test_rules(spark, few):
     assert [r.removed_reason for r in rules.reason_counts(tagged).collect()] == ["Potentiometer", "Carbon Resistors & Colour Code"]
 
 
-def test_rules_in_blocks(spark, few, monkeypatch):
-    monkeypatch.setattr(rules, "MAX_BROADCAST_RULES", 1)
-    own = [("Current Electricity", ["potentiometer"], "P"), (None, ["flux"], "F")]
+@pytest.mark.parametrize("size", [0, 1 << 25])
+def test_rules_by_shuffle_and_by_broadcast(spark, few, monkeypatch, size):
+    monkeypatch.setattr(rules, "BROADCAST_BYTES", size)
+    own = [("Current Electricity", ["potentiometer"], "P"), (None, ["flux", "?"], "F")]
     got = {tuple(r) for r in rules.tag_by_table(few, rules.rule_table(spark, own)).collect()}
     assert got == {("a-1", "F"), ("a-2", None), ("c-1", "P"), ("c-2", "P")}
+    assert {r.removed_reason for r in rules.tag_by_table(few, rules.rule_table(spark, own).limit(0)).collect()} == {None}
 
 
 def test_match_last_file_wins(spark):
@@ -347,3 +349,71 @@ def test_bank_object(spark, few, tmp_path):
     assert {r.name: r.solved for r in b.progress(marked).collect()} == {"Current Electricity": 1, "Atoms": 1}
     b.register(spark)
     assert spark.sql("SELECT count(*) AS n FROM questions JOIN chapters ON chapter = name").first().n == 4
+
+
+def rows_read(df):
+    """Rows that the Parquet scans of df passed on, after it ran."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.length()))
+
+
+@pytest.fixture
+def plain_plans(spark):
+    """Plans whose scans can be asked for their figures after they ran."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.parquet.enableVectorizedReader", "true")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.fixture(scope="module")
+def shelf(spark, tmp_path_factory):
+    """40,000 items, of which one holds a word that no other does."""
+    text = F.when(F.col("id") == 31_234, "The Zyzzyva $5 (rare)").when(F.col("id") % 1000 == 7, F.lit("Émile's OHM  law")).otherwise(F.concat(F.lit("an item about flux number "), "id"))
+    rows = spark.range(0, 80_000, 2, 8).select((F.col("id") / 2).cast("long").alias("id")).select(F.col("id").alias("ord"), F.lit("c").alias("chapter"), text.alias("question"), F.lit(2020).alias("year"), F.lit(1).alias("marks"))
+    rows = rows.where("id % 5 <> 3 or id = 31234 or id > 39000")
+    return stored.StoredItems.build(rows, str(tmp_path_factory.mktemp("shelf") / "items")), rows.cache()
+
+
+@pytest.mark.parametrize("needle", ["zyzzyva", " ZYZZYVA $5 ", "émile's ohm  l", "ohm  law", "flux", "x n", "ab", "", "nowhere", "number 123"])
+def test_stored_search_is_the_plain_search(shelf, monkeypatch, needle):
+    table, rows = shelf
+    for limit in (1000, 3):
+        monkeypatch.setattr(stored, "MAX_BLOCKS", limit)
+        for kind in ("search", "chapter_page"):
+            got = getattr(table, kind)(chapter="c", text=needle, number=3).collect()
+            assert got == getattr(search, kind)(rows, chapter="c", text=needle, number=3).collect()
+
+
+def test_stored_search_reads_few_rows(shelf, plain_plans):
+    table, rows = shelf
+    found = table.search(text="zyzzyva")
+    assert [r.ord for r in found.collect()] == [31_234]
+    assert 0 < rows_read(found) <= 4 * stored.BLOCK_ROWS < rows.count() / 20
+
+
+def test_stored_pages_by_seeking(shelf, plain_plans):
+    table, rows = shelf
+    want = [r.ord for r in rows.orderBy("ord").collect()]
+    for at in (0, 1, 1000, 31_000, len(want) - 20, len(want)):
+        page = table.after(want[at - 1] if at else None, 50)
+        assert [r.ord for r in page.collect()] == want[at : at + 50]
+        assert rows_read(page) <= 4 * stored.BLOCK_ROWS
+    assert [r.ord for r in table.after(12, 700).collect()] == [k for k in want if k > 12][:700]
+
+
+def test_many_rules_without_a_chapter(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(100_000)]
+    words[5:9] = ["é", "", "ab\ncd", "日本"]
+    table = spark.createDataFrame([(k, None if k % 3 else ("x", "y")[k % 2], 0, w if k != 6 else None, f"L{k}") for k, w in enumerate(words)], "rule_ord int, chapter string, kw_ord int, keyword string, label string")
+    texts = ["".join(rng.choice("abcdefghij \n") for _ in range(rng.randrange(60))) for _ in range(60)] + ["É", "ABCDEFGH", None, "", "日本語", "xyz"]
+    rows = [(k % 50, rng.choice(["x", "y", None]), t) for k, t in enumerate(texts)]
+    few = spark.createDataFrame(rows, "id int, chapter string, question string")
+    got = rules.tag_by_table(few, table)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+
+    def label(c, t):
+        return next((f"L{k}" for k, w in enumerate(words) if k != 6 and (k % 3 or c == ("x", "y")[k % 2]) and w in t.lower()), None) if t is not None else None
+
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((i, label(c, t))) for i, c, t in rows)
