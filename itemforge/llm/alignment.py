@@ -27,12 +27,13 @@ doc_id and text are read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from itemforge.llm.bpe_cache import ChunkedEncoder
 from itemforge.llm.common import drop, held, materialize, release, text_slices
 from itemforge.llm.elias_fano import EliasFano, loose, pack, squeeze
 from itemforge.llm.pieces import MARK, SEGMENT, PrefixTable
@@ -55,7 +56,7 @@ BROADCAST_PAIRS = 1 << 20
 CUT_HERE, A_BEGINS, B_BEGINS = range(3)
 CUT = re.compile(r"(?<!\s)(?=[ \n])")
 BLOCK = "block bigint, doc_ids array<bigint>, sizes binary, codes binary, chunks array<string>, hashes binary, counts binary"
-UNIT = "unit bigint, chunk string, n bigint, a array<struct<id:int,size:int>>, b array<struct<id:int,size:int>>"
+UNIT = "unit bigint, chunk string, n bigint, a array<int>, a_size array<int>, b array<int>, b_size array<int>"
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -116,17 +117,22 @@ class Tokenizers:
     """Both tokenizers, for chunks."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = ChunkedEncoder(a_path, cache_bytes=8 << 20), PrefixTable(b_path, cache_bytes=8 << 20)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.a, self.b = Tokenizer.from_file(a_path), PrefixTable(b_path, cache_bytes=8 << 20)
+        self.a.encode_special_tokens = True
+        # A's vocabulary spells each byte as one character.
+        self.width = np.array([len(self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())], np.int64)
 
     def encode(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For A and for B: ids, the bytes of each, and ids a chunk."""
-        ids, sizes = self.a.encode(pa.array(chunks, pa.large_string()))
+        found = [e.ids for at in range(0, len(chunks), 4096) for e in self.a.encode_batch_fast(chunks[at : at + 4096], add_special_tokens=False)]
+        ids, sizes = np.array(list(chain.from_iterable(found)), np.int64), np.fromiter(map(len, found), np.int64, len(found))
         raw = [b"".join(map(self.b._ids, SEGMENT.findall(c.replace(" ", MARK)))) for c in chunks]
         own = np.frombuffer(b"".join(raw), "<i4")
         each = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         if len(self.b.pairs) * 100 > self.b.cache_bytes:
             self.b.pairs.clear()
-        return [(ids.astype(np.int32), self.a.width[ids], sizes), (own, self.b.size[own], each)]
+        return [(ids.astype(np.int32), self.width[ids], sizes), (own, self.b.size[own], each)]
 
 
 def _cuts(hashes: bytes, shards: int) -> np.ndarray:
@@ -136,8 +142,19 @@ def _cuts(hashes: bytes, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(found, borders), len(found))
 
 
+def _packed(chunks: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("chunk", pa.string())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.record_batch([chunks], names=["chunk"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.Array:
+    return pa.ipc.open_stream(raw).read_all().column("chunk").combine_chunks()
+
+
 def _parts(blocks: DataFrame, shards: int) -> DataFrame:
-    """(shard, block, chunks, counts): the distinct chunks of each block by the shard of their hash."""
+    """(shard, block, chunks, counts): the distinct chunks of each block by the shard of their hash, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -146,12 +163,12 @@ def _parts(blocks: DataFrame, shards: int) -> DataFrame:
                 chunks, counts = batch.column("chunks")[k].values, loose(batch.column("counts")[k].as_py())
                 cuts = _cuts(batch.column("hashes")[k].as_py(), shards)
                 own = np.flatnonzero(np.diff(cuts))
-                ends = np.append(cuts[own], cuts[-1])
-                columns = [pa.array(own, pa.int32()), pa.array([batch.column("block")[k].as_py()] * len(own), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunks)]
-                columns.append(pa.array([squeeze(counts[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
+                spans = [(int(cuts[x]), int(cuts[x + 1])) for x in own]
+                columns = [pa.array(own, pa.int32()), pa.array([batch.column("block")[k].as_py()] * len(own), pa.int64())]
+                columns += [pa.array([_packed(chunks.slice(a, b - a)) for a, b in spans], pa.binary()), pa.array([squeeze(counts[a:b]) for a, b in spans], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["shard", "block", "chunks", "counts"])
 
-    return blocks.select("block", "chunks", "hashes", "counts").mapInArrow(run, "shard int, block bigint, chunks array<string>, counts binary")
+    return blocks.select("block", "chunks", "hashes", "counts").mapInArrow(run, "shard int, block bigint, chunks binary, counts binary")
 
 
 def chunk_units(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -160,7 +177,8 @@ def chunk_units(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         tokenizers = held(("alignment", a_path, b_path), lambda: Tokenizers(a_path, b_path))
         counts = np.concatenate([loose(c.as_py()) for c in table.column("counts")])
-        found = pa.table({"chunk": pc.list_flatten(table.column("chunks")), "n": pa.array(counts, pa.int64())}).group_by("chunk").aggregate([("n", "sum")])
+        chunks = pa.chunked_array([_unpacked(c.as_py()) for c in table.column("chunks")], pa.string())
+        found = pa.table({"chunk": chunks, "n": pa.array(counts, pa.int64())}).group_by("chunk").aggregate([("n", "sum")])
         chunk = found.column("chunk").combine_chunks()
         shard = table.column("shard")[0].as_py()
         columns = [pa.array((shard << 32) + np.arange(len(chunk))), chunk, found.column("n_sum").combine_chunks()]
@@ -170,15 +188,16 @@ def chunk_units(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(each)])
             if (np.diff(np.concatenate([[0], np.cumsum(size)])[ends]) != want).any():
                 raise ValueError("the tokens of a chunk don't spell it")
-            columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.array(size, pa.int32())], names=["id", "size"])))
-        return pa.table(columns, names=["unit", "chunk", "n", "a", "b"])
+            columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (ids, size)]
+        return pa.table(columns, names=["unit", "chunk", "n", "a", "a_size", "b", "b_size"])
 
     return parts.groupBy("shard").applyInArrow(run, UNIT)
 
 
 def tokens_of(units: DataFrame, side: str) -> DataFrame:
     """(unit, pos, id, begin, end) of every token of one side."""
-    rows = units.select("unit", F.posexplode(side).alias("pos", "t")).select("unit", "pos", "t.id", "t.size")
+    both = F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_size").alias("size"))
+    rows = units.select("unit", F.posexplode(both).alias("pos", "t")).select("unit", "pos", "t.id", "t.size")
     end = F.sum("size").over(Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn("end", end).select("unit", "pos", "id", (F.col("end") - F.col("size")).alias("begin"), "end")
 
@@ -196,9 +215,10 @@ def in_place(spark: SparkSession) -> Iterator[None]:
 
 
 def align(units: DataFrame) -> DataFrame:
-    """(unit, n_groups, groups, links) of units (unit, a, b) with tokens: groups in order as a1,a2|b1;a3|b2,
+    """(unit, n_groups, groups, links) of units (unit, a, a_size, b, b_size), the
+    ids of their tokens and the bytes of each: groups in order as a1,a2|b1;a3|b2,
     and one link for each A and B token that share bytes, A's id and B's in the halves of a long."""
-    units = units.select("unit", "a", "b").repartition("unit")
+    units = units.select("unit", "a", "a_size", "b", "b_size").repartition("unit")
     a, b = tokens_of(units, "a"), tokens_of(units, "b")
     cuts = a.select("unit", "end").join(b.select("unit", "end"), ["unit", "end"])
     none = F.lit(None).cast("int")
@@ -231,33 +251,41 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    blocks = materialize(chunk_blocks(docs), "blocks")
+    blocks = materialize(chunk_blocks(docs), "blocks", "zstd")
     total = blocks.agg(F.sum(F.size("chunks"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_CHUNKS))
-    units = materialize(chunk_units(_parts(blocks, shards), a_path, b_path), "units")
+    units = materialize(chunk_units(_parts(blocks, shards), a_path, b_path), "units", "zstd")
     with in_place(spark):
         sized = units.select("unit", "chunk", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-        aligned = materialize(sized.join(align(units), "unit"), "aligned")
+        aligned = materialize(sized.join(align(units), "unit"), "aligned", "zstd")
     drop(units)
     pairs = materialize(pair_counts(aligned), "pairs")
     known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
-    dealt = aligned.repartition("unit")
-    linked = dealt.select("unit", F.explode("links").alias("pair")).join(known.withColumnRenamed("n", "m"), "pair").groupBy("unit")
+    # Rows of a unit stand together in the table, so most of the sums are made before the shuffle.
+    linked = aligned.select("unit", F.explode("links").alias("pair")).join(known.withColumnRenamed("n", "m"), "pair").groupBy("unit")
     linked = linked.agg(F.count("*").alias("n_links"), F.count_if("is_best").alias("n_best"), F.sum("m").alias("count_sum"))
-    results = dealt.join(linked, "unit").select(F.shiftright("unit", 32).cast("int").alias("shard"), "chunk", *FIGURES, "groups")
+    # A shard gets its units' own figures and their sums as rows of two kinds.
+    none, shard = F.lit(None).cast("long"), F.shiftright("unit", 32).cast("int").alias("shard")
+    results = aligned.select(shard, "unit", "chunk", "n_a", "n_b", "n_groups", none.alias("n_links"), none.alias("n_best"), none.alias("count_sum"), "groups")
+    text = F.lit(None).cast("string")
+    results = results.union(linked.select(shard, "unit", text, none, none, none, "n_links", "n_best", "count_sum", text))
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        place = {c: k for k, c in enumerate(known.column("chunk").to_pylist())}
-        figures = np.stack([known.column(c).to_numpy() for c in FIGURES])
-        groups = known.column("groups").to_pylist()
+        own = pc.is_valid(known.column("chunk"))
+        units, sums = known.filter(own).sort_by("unit"), known.filter(pc.invert(own)).sort_by("unit")
+        if not units.column("unit").equals(sums.column("unit")):
+            raise ValueError("a unit has no sums")
+        place = {c: k for k, c in enumerate(units.column("chunk").to_pylist())}
+        figures = np.stack([(units if k < 3 else sums).column(c).to_numpy() for k, c in enumerate(FIGURES)])
+        groups = units.column("groups").to_pylist()
         out = []
-        for row in asked.column("chunks").to_pylist():
-            at = [place[c] for c in row]
+        for packed in asked.column("chunks"):
+            at = list(map(place.__getitem__, _unpacked(packed.as_py()).to_pylist()))
             raw = figures[:, at].astype("<i8").tobytes() + "\n".join(map(groups.__getitem__, at)).encode()
             out.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
         return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "answer"])
 
-    asked = _parts(blocks, shards).groupBy("shard").cogroup(results.groupBy("shard"))
+    asked = _parts(blocks, shards).select("shard", "block", "chunks").groupBy("shard").cogroup(results.groupBy("shard"))
     answers = asked.applyInArrow(answer, "block bigint, shard int, answer binary")
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
