@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from itemforge.functions.labels import CHAPTERS, year_range
@@ -51,10 +51,16 @@ def chapter_years(chapters: DataFrame) -> DataFrame:
     return chapters.select("name", year_range(F.array_min("years"), F.array_max("years")).alias("years"))
 
 
-def changed_rows(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows of which any of the columns changed."""
-    old = before.select(key, *(F.col(c).alias(f"__{c}") for c in columns))
+def changed_rows(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """How many rows have a pair of columns, before and after, that differs."""
     differs = F.lit(False)
-    for c in columns:
-        differs = differs | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
-    return after.join(old, key).agg(F.count_if(differs).alias("modified"))
+    for before, after in pairs:
+        differs = differs | ~F.col(after).eqNullSafe(F.col(before))
+    return rows.agg(F.count_if(differs).alias("modified"))
+
+
+def written_with_figures(df: DataFrame, path: str, *figures: Column) -> dict:
+    """Write df and return figures of its rows, taken in the pass that writes."""
+    seen = Observation()
+    df.observe(seen, *figures).write.mode("overwrite").parquet(path)
+    return seen.get

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from itemforge.functions import labels as lab
 from itemforge.functions import text as tx
-from itemforge.operators import generation, match, rules, scan, search, state, summary
+from itemforge.operators import deltas, generation, match, rules, scan, search, state, stored, summary
 from itemforge.plans.bank import ItemBank
+from itemforge.scratch import scratch_path
 from itemforge.sources.bank import text_lines
 
 QUERIES: dict = {}
@@ -58,9 +59,75 @@ def search_page(spark, sf):
     return search.page(found, 2, search.SEARCH_PAGE).select("ord", "chapter", "n_chars")
 
 
-@query("SELECT doc_id AS ord FROM documents WHERE 1 = 0")
+@query("SELECT lang AS chapter, count(*) AS asked, CAST(0 AS BIGINT) AS unasked FROM documents WHERE contains(lower(text), 'license') GROUP BY lang")
 def search_without_criteria(spark, sf):
-    return search.matching(items(spark, sf)).select("ord")
+    """A search without criteria finds nothing, beside what the same search finds with one."""
+    q, n = items(spark, sf), F.count("*")
+    rows = search.matching(q, text="license").select("chapter", F.lit(1).alias("asked")).union(search.matching(q).select("chapter", F.lit(0)))
+    return rows.groupBy("chapter").agg(F.sum("asked").alias("asked"), (n - F.sum("asked")).alias("unasked"))
+
+
+STORED_SQL = "SELECT doc_id AS ord, lang AS chapter FROM documents WHERE {0} ORDER BY doc_id LIMIT {1}"
+
+
+def shelf(spark, sf):
+    """documents as stored items, written anew."""
+    return stored.StoredItems.build(items(spark, sf), scratch_path(spark, "shelf"))
+
+
+@query(STORED_SQL.format("lang = 'en' AND contains(lower(text), 'license')", 30))
+def stored_search(spark, sf):
+    """A search that reads the blocks that hold the needle's trigrams."""
+    return shelf(spark, sf).search(chapter="en", text=" License ", number=2).select("ord", "chapter")
+
+
+@query(STORED_SQL.format("lang = 'en' AND contains(lower(text), ' the ')", 40))
+def stored_chapter_search(spark, sf):
+    """The same within a chapter, where the needle keeps its blanks."""
+    return shelf(spark, sf).chapter_page("en", text=" The ", number=2).select("ord", "chapter")
+
+
+@query(STORED_SQL.format("doc_id > 150", 20))
+def stored_page(spark, sf):
+    """The page behind a known item, by seeking."""
+    return shelf(spark, sf).after(150, 20).select("ord", "chapter")
+
+
+CHANGED_SQL = (
+    "WITH q AS (SELECT o_orderkey AS k, o_orderstatus AS name, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE year(o_orderdate) END AS y, "
+    "CASE WHEN o_orderkey % 5 = 0 THEN 9 ELSE CAST(substr(o_orderpriority, 1, 1) AS INT) END AS m FROM orders WHERE o_orderkey % 7 <> 0) "
+)
+
+
+def kept_summary(spark, sf):
+    """Counts of orders, of which then a seventh is deleted, and in another batch others change year or marks."""
+    rows = order_items(spark, sf).withColumn("answer", F.when(F.col("marks") == 1, "x"))
+    kept = deltas.KeptSummary.start(rows, scratch_path(spark, "summary"))
+    kept.add(1, deltas.changes(rows.where("ord % 7 = 0"), rows.limit(0)))
+    old = rows.where("ord % 7 <> 0 and (ord % 11 = 0 or ord % 5 = 0)")
+    new = old.withColumns({"year": F.expr("if(ord % 11 = 0, 0, year)"), "marks": F.expr("if(ord % 5 = 0, 9, marks)"), "answer": F.expr("if(ord % 5 = 0, null, answer)")})
+    kept.add(2, deltas.changes(old, new))
+    return kept
+
+
+@query(
+    CHANGED_SQL + ", d AS (SELECT name, string_agg(m || '=' || c, ',' ORDER BY m) AS marks_dist FROM (SELECT name, m, count(*) AS c FROM q GROUP BY ALL) GROUP BY name), "
+    "y AS (SELECT name, count(*) AS count, string_agg(DISTINCT CAST(y AS VARCHAR), ',' ORDER BY CAST(y AS VARCHAR)) AS years FROM q GROUP BY name) SELECT name, count, years, marks_dist FROM y JOIN d USING (name)"
+)
+def summary_by_deltas(spark, sf):
+    s = kept_summary(spark, sf).chapters()
+    pairs = F.transform(F.map_entries("marks_dist"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return s.select("name", "count", F.array_join(F.array_sort(F.col("years").cast("array<string>")), ",").alias("years"), F.array_join(F.array_sort(pairs), ",").alias("marks_dist"))
+
+
+@query(CHANGED_SQL + "SELECT count(*) AS total, count(DISTINCT name) AS chapters, count(*) FILTER (m = 1) AS matched_answers, min(y) FILTER (y <> 0) || '–' || max(y) AS years FROM q")
+def stats_by_deltas(spark, sf):
+    return kept_summary(spark, sf).stats()
+
+
+@query(CHANGED_SQL + "SELECT DISTINCT y AS year FROM q WHERE y <> 0")
+def facet_by_deltas(spark, sf):
+    return kept_summary(spark, sf).years()
 
 
 @query("SELECT doc_id AS ord FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 20")
@@ -302,7 +369,7 @@ def card_labels(spark, sf):
 @query("SELECT count(*) FILTER (trim(regexp_replace(text, '\\s+', ' ', 'g')) <> text) AS modified FROM documents")
 def changed_rows(spark, sf):
     q = items(spark, sf).select("ord", "question")
-    return summary.changed_rows(q, q.withColumn("question", tx.collapse(F.col("question"))), "ord", ["question"])
+    return summary.changed_rows(q.withColumn("after", tx.collapse(F.col("question"))), [("question", "after")])
 
 
 def bank_of(spark: SparkSession, sf: str) -> ItemBank:

@@ -8,6 +8,7 @@ sides of each letter, mark and digit beyond ASCII, and takes them away again (ed
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from itemforge.functions import labels as lab
@@ -161,21 +162,33 @@ GOLDEN = {
 }
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {q(v)})" for k, v in enumerate(GOLDEN.values())) + ", (99, NULL)) v(ord, text)")
+@query(f"SELECT doc_id AS ord, source || ' ' || [{', '.join(map(q, GOLDEN.values()))}][doc_id % {len(GOLDEN)} + 1] AS text FROM documents")
 def markup_rows(spark, sf):
-    rows = spark.createDataFrame([*enumerate(GOLDEN), (99, None)], "ord int, raw string")
-    return rows.select("ord", mk.markup(F.col("raw")).alias("text"))
+    """Known notations and what they become, each behind a word of the table's rows."""
+    d = t(spark, sf, "documents")
+    piece = F.get(F.array(*map(F.lit, GOLDEN)), (F.col("doc_id") % len(GOLDEN)).cast("int"))
+    return d.select(F.col("doc_id").alias("ord"), mk.markup(F.concat("source", F.lit(" "), piece)).alias("text"))
 
 
-@query(
-    f"WITH s AS ({MARKED_SQL}) SELECT count(*) FILTER ((length(x) - length(replace(x, '$', ''))) % 2 <> 0) AS odd_dollar, count(*) FILTER (contains(x, '$\\sqrt{{}}$')) AS empty_root, "
+AUDIT = (
+    "SELECT count(*) FILTER ((length(x) - length(replace(x, '$', ''))) % 2 <> 0) AS odd_dollar, count(*) FILTER (contains(x, '$\\sqrt{}$')) AS empty_root, "
     "count(*) FILTER (regexp_matches(x, '\\$\\\\pi\\$ [0-9]')) AS pi_digit, count(*) FILTER (regexp_matches(x, '\\$\\\\omega\\$[0-9]')) AS omega_digit, "
-    "count(*) FILTER (regexp_matches(x, '\\$[^$]+\\$ [0-9]([\\s,).]|$)')) AS denominator FROM s"
+    "count(*) FILTER (regexp_matches(x, '\\$[^$]+\\$ [0-9]([\\s,).]|$)')) AS denominator"
 )
+
+
+@query(f"WITH s AS ({MARKED_SQL}) {AUDIT} FROM s")
 def audit_counts(spark, sf):
     return marked(spark, sf).agg(*mk.audit(F.col("x")))
 
 
+@query(f"WITH t AS ({steps_sql(*STEPS)}) {AUDIT} FROM t")
+def audit_of_written(spark, sf):
+    """The audit's counts of texts that are marked up and written, taken in the pass that writes them."""
+    found = summary.written_with_figures(markup_documents(spark, sf), scratch_path(spark, "marked"), *mk.audit(F.col("x")))
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} bigint" for k in found))
+
+
 LATE = "ω π α β γ Γ δ Δ ε θ λ μ µ ν ξ ρ σ τ φ χ ψ Ω".split()
 RESIDUAL_SQL = literal("x", [(c, f"$\\{mk.GREEK[c]}$") for c in LATE])
 RESIDUAL_SQL = literal(each(RESIDUAL_SQL, r"\s*°\s*", r"$^{\circ}$"), [(c, f"${mk.SIGNS[c]}$") for c in "×÷"])
@@ -423,10 +436,11 @@ def bank_views(spark, sf):
 FILES = sorted(f"{n}.parquet" for n in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({q(f)})" for f in FILES) + ") v(file)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {q(f)})" for k, f in enumerate(FILES)) + ") v(place, file)")
 def folder_files(spark, sf):
-    """Names of a folder's files, in name order."""
-    return bank.chapter_files(spark, sf, "*.parquet").select("file")
+    """Names of a folder's files, with their place in the order in which they come: one row a file."""
+    found = bank.chapter_files(spark, sf, "*.parquet").select("file", F.monotonically_increasing_id().alias("came"))
+    return found.select((F.row_number().over(Window.orderBy("came")) - 1).alias("place"), "file")
 
 
 PAPERS = [*bank.SOLVED_PAPERS, "Other.pdf"]
@@ -464,8 +478,7 @@ def bank_document(spark, sf):
     path = scratch_path(spark, "bank")
     bank.write_bank(_stored(rows), _chapters(_stored(rows)), path)
     read, _ = bank.read_bank(spark, bank.preferred(spark, f"{path}/raw", path))
-    total = spark.read.json(path).select("total", F.lit(1).alias("marks"))  # one row
-    # Stored order is the list's order: positions from 0, which the keys of this table are too.
+    total = bank.bank_totals(spark, path).select("total", F.lit(1).alias("marks"))  # one row
     return read.join(total, "marks").select("ord", "id", "chapter", "question", "total")
 
 
@@ -503,6 +516,16 @@ def set_value(spark, sf):
     return bank.set_value(t(spark, sf, "nation").select(F.col("n_name").alias("id")))
 
 
+@query("SELECT DISTINCT 'u' || user_id AS id FROM events WHERE event_type = 'click'")
+def stored_sets(spark, sf):
+    """A set of any size, written over a former one under its key and read back."""
+    ids = t(spark, sf, "events").select("event_type", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"))
+    sets = bank.StoredSets(spark, scratch_path(spark, "sets"))
+    sets.write("solved", ids)
+    sets.write("solved", ids.where("event_type = 'click'"))
+    return sets.read("solved")
+
+
 @query("SELECT doc_id AS ord, lang AS chapter FROM documents")
 def appended(spark, sf):
     """Lists of several files put together."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,7 +49,10 @@ def text_lines(docs: DataFrame, key: str = "file", text: str = "text") -> DataFr
 
 
 def read_bank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Questions and chapters of a bank document, with their stored order."""
+    """Questions and chapters of a bank document, with their stored order: one JSON file, or the folder that
+    write_bank makes."""
+    if exists(spark, f"{path}/{QUESTIONS}"):
+        return _records(spark, f"{path}/{QUESTIONS}", schemas.QUESTION), _records(spark, f"{path}/{CHAPTERS}", schemas.CHAPTER)
     root = spark.read.schema(schemas.ROOT).option("multiLine", True).json(path)
     questions = root.select(F.posexplode("questions").alias("ord", "q")).select(F.col("ord").cast("long").alias("ord"), "q.*")
     chapters = root.select(F.posexplode("chapters").alias("ord", "c")).select("ord", "c.*")
@@ -64,26 +69,41 @@ def preferred(spark: SparkSession, raw: str, cooked: str) -> str:
     return raw if exists(spark, raw) else cooked
 
 
-#: Questions that still go into one exchange document, which is one row.
-MAX_DOCUMENT_ROWS = 100_000
+# The root document as a folder: its files, in name order, are the text of one JSON document, a
+# record a line. Tasks write the records of their range of the order; the frame around them is short.
+HEAD, QUESTIONS, MIDDLE, CHAPTERS, TAIL = "0-head", "1-questions", "2-middle", "3-chapters", "4-tail"
 
 
 def write_bank(questions: DataFrame, chapters: DataFrame, path: str) -> None:
-    """One root document for exchange. Larger banks are refused: write_bank_lines takes them."""
-    total = questions.count()
-    if total > MAX_DOCUMENT_ROWS:
-        raise ValueError(f"{total} questions are too many for one document; use write_bank_lines")
+    """One root document for exchange, of any size, with what it holds in stored order (ord) and the totals."""
+    spark = questions.sparkSession
 
-    def listed(df: DataFrame, name: str) -> DataFrame:
-        fields = F.struct("ord", F.struct(*(c for c in df.columns if c != "ord")).alias("row"))
-        return df.agg(F.transform(F.array_sort(F.collect_list(fields)), lambda x: x["row"]).alias(name)).withColumn("one", F.lit(1))
+    def records(df: DataFrame, folder: str) -> None:
+        first = df.agg(F.min("ord")).first()[0]
+        line = F.concat(F.when(F.col("ord") == F.lit(first), "").otherwise(","), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+        ordered = df.repartitionByRange("ord").sortWithinPartitions("ord")
+        ordered.select(line.alias("value")).write.mode("overwrite").text(f"{path}/{folder}")
 
-    # A struct with a map can't be sorted; only its order can, so maps travel as entries.
-    safe = chapters.withColumn("marks_dist", F.to_json("marks_dist"))
-    matched = questions.agg(F.count_if(F.coalesce("answer", F.lit("")) != "").alias("matched_answers")).withColumn("one", F.lit(1))
-    root = listed(questions, "questions").join(listed(safe, "chapters"), "one").join(matched, "one")
-    parsed = F.transform("chapters", lambda c: c.withField("marks_dist", F.from_json(c["marks_dist"], "map<string,bigint>")))
-    root.select(parsed.alias("chapters"), "questions", F.lit(total).alias("total"), "matched_answers").coalesce(1).write.mode("overwrite").json(path)
+    def frame(text: str, folder: str) -> None:
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{folder}")
+
+    totals = questions.agg(F.count("*").alias("n"), F.count_if(F.coalesce("answer", F.lit("")) != "").alias("answered")).first()
+    frame('{"questions":[', HEAD)
+    records(questions, QUESTIONS)
+    frame('],"chapters":[', MIDDLE)
+    records(chapters, CHAPTERS)
+    frame(f'],"total":{totals["n"]},"matched_answers":{totals["answered"]}}}', TAIL)
+
+
+def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    text = spark.read.text(path).where("value <> ''")
+    return text.select(F.from_json(F.regexp_replace("value", "^,", ""), schema).alias("r")).select("r.*")
+
+
+def bank_totals(spark: SparkSession, path: str) -> DataFrame:
+    """(total, matched_answers) of a document that write_bank made."""
+    end = F.concat(F.lit("{"), F.substring(F.col("value"), 3, 1 << 20))
+    return spark.read.text(f"{path}/{TAIL}").select(F.from_json(end, "total bigint, matched_answers bigint").alias("r")).select("r.*")
 
 
 def write_bank_lines(questions: DataFrame, chapters: DataFrame, path: str) -> None:
@@ -109,10 +129,46 @@ def stored_value(value: Column, kind: str, default: Column) -> Column:
 
 
 def set_value(ids: DataFrame) -> DataFrame:
-    """The stored form of a set: one JSON array."""
+    """The stored form of a small set: one JSON array. Sets of any size go to StoredSets."""
     return ids.agg(F.to_json(F.array_sort(F.collect_set("id"))).alias("value"))
 
 
+@dataclass
+class StoredSets:
+    """Sets of ids by key, of any size, that a failed write leaves as they were.
+
+    A write goes to a folder of its own with the next number; Spark's commit puts its _SUCCESS there when
+    all tasks have written. Readers take the highest number that has one, so they see the former set or
+    the new one. Folders that nobody reads any more are left to clean().
+    """
+
+    spark: SparkSession
+    path: str
+
+    def _folders(self, key: str, pattern: str) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{key}/{pattern}")
+        found = where.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(where)
+        return sorted(part for f in found or () for part in f.getPath().toString().split("/") if part.startswith("set-"))
+
+    def write(self, key: str, ids: DataFrame) -> None:
+        done = self._folders(key, "set-*/_SUCCESS")
+        number = int(done[-1].split("-")[1]) + 1 if done else 0
+        ids.select("id").distinct().write.parquet(f"{self.path}/{key}/set-{number:012}-{uuid.uuid4().hex}")
+
+    def read(self, key: str) -> DataFrame:
+        """(id) of the set; a key that was never written is an empty set."""
+        done = self._folders(key, "set-*/_SUCCESS")
+        return self.spark.read.parquet(f"{self.path}/{key}/{done[-1]}") if done else self.spark.createDataFrame([], "id string")
+
+    def clean(self, key: str) -> None:
+        """Delete folders of former and of failed writes. Run while nobody reads or writes the key."""
+        keep = self._folders(key, "set-*/_SUCCESS")[-1:]
+        for name in self._folders(key, "set-*"):
+            if name not in keep:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{key}/{name}")
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "ord") -> DataFrame:
     """Positions from 0 in the given order, without one task for all rows: a range partitioning,
     written once, then each partition's count is added to the positions in the later ones."""

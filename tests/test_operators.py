@@ -1,11 +1,14 @@
+import glob
+import json
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from itemforge.functions import markup as mk
 from itemforge.functions import text as tx
-from itemforge.operators import generation, match, rules, scan, search, state, stored, summary
+from itemforge.operators import deltas, generation, match, rules, scan, search, state, stored, summary
 from itemforge.plans.bank import ItemBank
 from itemforge.plans.pipeline import build, extract
 from itemforge.sources import bank
@@ -294,6 +297,17 @@ def test_bank_round_trip(spark, few, tmp_path):
     q, c = bank.read_bank(spark, path)
     assert sorted(map(tuple, q.select(*few.columns).collect())) == sorted(map(tuple, few.collect()))
     assert {r.name: r.marks_dist for r in c.collect()} == {r.name: r.marks_dist for r in chapters.collect()}
+    assert tuple(bank.bank_totals(spark, path).first()) == (4, 1)
+    # The folder's files in name order are one JSON document.
+    parts = sorted(f for f in glob.glob(f"{path}/*/part-*"))
+    root = json.loads("".join(open(f, encoding="utf-8").read() for f in parts))
+    assert [r["id"] for r in root["questions"]] == [r.id for r in few.orderBy("ord").collect()] and root["total"] == 4 and root["matched_answers"] == 1
+    assert [r["name"] for r in root["chapters"]] == [r.name for r in chapters.orderBy("ord").collect()]
+    one = str(tmp_path / "one.json")
+    open(one, "w").write(json.dumps(root, indent=2))
+    assert {r.id for r in bank.read_bank(spark, one)[0].collect()} == {r["id"] for r in root["questions"]}
+    bank.write_bank(full.limit(0), chapters.limit(0), path + "-empty")
+    assert [x.count() for x in bank.read_bank(spark, path + "-empty")] == [0, 0]
     bank.write_bank_lines(full, chapters, path + "-lines")
     q, c = bank.read_bank_lines(spark, path + "-lines")
     assert sorted(map(tuple, q.select(*few.columns).collect())) == sorted(map(tuple, few.collect()))
@@ -417,3 +431,72 @@ def test_many_rules_without_a_chapter(spark):
         return next((f"L{k}" for k, w in enumerate(words) if k != 6 and (k % 3 or c == ("x", "y")[k % 2]) and w in t.lower()), None) if t is not None else None
 
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((i, label(c, t))) for i, c, t in rows)
+
+
+def test_large_bank_document(spark, tmp_path):
+    rows = spark.range(0, 200_000, 1, 8).select(
+        F.col("id").alias("ord"), F.concat(F.lit("q"), "id").alias("id"), F.lit("Atoms").alias("chapter"), F.lit(1).alias("marks"), F.lit(2020).alias("year"), F.lit('a "quoted"\nquestion').alias("question"),
+        F.when(F.col("id") % 2 == 0, "x").alias("answer"), F.lit(False).alias("bookmarked"), F.lit(False).alias("solved"), F.lit(True).alias("in_syllabus"), F.lit(None).cast("string").alias("removed_reason"),
+    )
+    chapters = spark.createDataFrame([(0, "Atoms", 200_000, None, [2020], {"1": 200_000}, "atoms")], "ord int, name string, count long, count_total long, years array<int>, marks_dist map<string,long>, slug string")
+    bank.write_bank(rows, chapters, str(tmp_path / "b"))
+    q, c = bank.read_bank(spark, str(tmp_path / "b"))
+    assert q.count() == 200_000 and q.exceptAll(rows).count() == 0 and c.first().marks_dist == {"1": 200_000}
+    assert len(glob.glob(str(tmp_path / "b" / bank.QUESTIONS / "part-*"))) > 1
+    assert tuple(bank.bank_totals(spark, str(tmp_path / "b")).first()) == (200_000, 100_000)
+
+
+def test_stored_sets_survive_a_failed_write(spark, tmp_path):
+    sets = bank.StoredSets(spark, str(tmp_path / "sets"))
+    assert sets.read("solved").count() == 0
+    sets.write("solved", spark.createDataFrame([("a",), ("b",), ("a",)], "id string"))
+    failing = spark.range(0, 1000, 1, 4).select(F.when(F.col("id") < 900, F.col("id").cast("string")).otherwise(F.raise_error(F.lit("stop"))).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        sets.write("solved", failing)
+    assert sorted(r.id for r in sets.read("solved").collect()) == ["a", "b"]
+    sets.write("solved", spark.range(5000).select(F.col("id").cast("string").alias("id")))
+    sets.clean("solved")
+    assert sets.read("solved").count() == 5000 and len(glob.glob(str(tmp_path / "sets/solved/set-*"))) == 1
+
+
+def test_deltas_are_a_recompute(spark, tmp_path):
+    rng = random.Random(8)
+
+    def item(k):
+        return (k, f"i{k}", rng.choice(["A", "B", "C"]), rng.choice([1, 2, 5, None]), rng.choice([0, 2019, 2020, 2021]), "q", rng.choice(["", None, "x"]), rng.choice([True, True, False, None]))
+
+    schema = "ord long, id string, chapter string, marks int, year int, question string, answer string, in_syllabus boolean"
+    now = {k: item(k) for k in range(60)}
+    kept = deltas.KeptSummary.start(spark.createDataFrame(list(now.values()), schema), str(tmp_path / "s"))
+    for number in range(1, 6):
+        old, new = [], []
+        for k in rng.sample(range(90), 20):
+            old += [now.pop(k)] if k in now else []
+            if rng.random() < 0.7:
+                now[k] = item(k)
+                new.append(now[k])
+        kept.add(number, deltas.changes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)))
+        if number == 3:
+            kept.compact(2)
+    rows = spark.createDataFrame(list(now.values()), schema).where("coalesce(in_syllabus, true)")
+    want = summary.group_summary(rows, "chapter", "year", "marks", "ord").drop("first")
+    assert sorted(map(repr, kept.chapters().select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert kept.stats().collect() == summary.stats(rows).collect()
+    assert kept.years().collect() == summary.facet(rows, "year").collect()
+    assert "batch=1" not in str(spark.read.parquet(str(tmp_path / "s")).inputFiles())
+
+
+def test_figures_of_the_pass_that_writes(spark, tmp_path):
+    rows = spark.range(100).select("id", F.concat(F.lit("$"), F.col("id").cast("string")).alias("x"))
+    found = summary.written_with_figures(rows, str(tmp_path / "w"), F.count("*").alias("n"), F.count_if(F.col("id") % 3 == 0).alias("thirds"))
+    assert found == {"n": 100, "thirds": 34} and spark.read.parquet(str(tmp_path / "w")).count() == 100
+
+
+def test_markup_neighbourhoods_are_the_whole_pass(spark):
+    rng = random.Random(4)
+    atoms = [*"αβπω√×°−∑→5091 2V0XLCmRIUHe^{}_\\.,()-\n\té", *mk.ELEMENTS[:20], "XL", "VC", "V0", "Vm", "i0", "L1", "abc", "the ", "LC ", "\\pi", "\\times", "\\frac{a}{b}", "10", "10-19", "235 92 U", "√ LC", "× 108", "π 3", "  ", "__SQRT__", *"     "]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randrange(30))) for _ in range(3000)] + [" ".join(rng.choice(atoms) for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts += [t.replace("a", "$", 1).replace("e", "$") for t in texts[:2000]] + ["", None, "plain words only"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    both = df.select("x", mk.markup(F.col("x")).alias("spans"), mk.markup_whole(tx.control_clean(F.col("x"))).alias("whole"))
+    assert both.where(~F.col("spans").eqNullSafe(F.col("whole"))).collect() == []
