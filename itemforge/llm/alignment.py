@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from itemforge.llm.common import drop, held, materialize, release, text_slices
+from itemforge.llm.common import held, materialize, release, text_slices
 from itemforge.llm.elias_fano import EliasFano, loose, pack, squeeze
 from itemforge.llm.pieces import MARK, SEGMENT, PrefixTable
 
@@ -56,7 +56,9 @@ BROADCAST_PAIRS = 1 << 20
 CUT_HERE, A_BEGINS, B_BEGINS = range(3)
 CUT = re.compile(r"(?<!\s)(?=[ \n])")
 BLOCK = "block bigint, doc_ids array<bigint>, sizes binary, codes binary, chunks array<string>, hashes binary, counts binary"
-UNIT = "unit bigint, chunk string, n bigint, a array<int>, a_size array<int>, b array<int>, b_size array<int>"
+#: A distinct chunk: its occurrences, the ids of its A and B tokens, and their sizes in bytes. Or a request: the
+#: units of a shard, by number, that a block holds.
+UNIT = "unit bigint, n bigint, a array<int>, a_size array<int>, b array<int>, b_size array<int>, block bigint, asked binary"
 RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
@@ -172,34 +174,41 @@ def _parts(blocks: DataFrame, shards: int) -> DataFrame:
 
 
 def chunk_units(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """Every distinct chunk once: (unit, chunk, n, a, b), n occurrences, a and b its tokens."""
+    """Every distinct chunk of the parts once, as a unit, and what each block asks of the shard's units. A
+    unit's number is its shard and its place there."""
 
     def run(table: pa.Table) -> pa.Table:
         tokenizers = held(("alignment", a_path, b_path), lambda: Tokenizers(a_path, b_path))
-        counts = np.concatenate([loose(c.as_py()) for c in table.column("counts")])
-        chunks = pa.chunked_array([_unpacked(c.as_py()) for c in table.column("chunks")], pa.string())
-        found = pa.table({"chunk": chunks, "n": pa.array(counts, pa.int64())}).group_by("chunk").aggregate([("n", "sum")])
-        chunk = found.column("chunk").combine_chunks()
-        shard = table.column("shard")[0].as_py()
-        columns = [pa.array((shard << 32) + np.arange(len(chunk))), chunk, found.column("n_sum").combine_chunks()]
-        encoded = tokenizers.encode(chunk.to_pylist())
-        want = pc.binary_length(chunk).to_numpy()
-        for ids, size, each in encoded:
-            ends = np.concatenate([[0], np.cumsum(each)])
+        each = [_unpacked(c.as_py()) for c in table.column("chunks")]
+        coded = pa.concat_arrays(each).dictionary_encode()
+        place, chunk = coded.indices.to_numpy(), coded.dictionary
+        n = np.zeros(len(chunk), np.int64)
+        np.add.at(n, place, np.concatenate([loose(c.as_py()) for c in table.column("counts")]))
+        first = table.column("shard")[0].as_py() << 32
+        lists, want = [], pc.binary_length(chunk).to_numpy()
+        for ids, size, many in tokenizers.encode(chunk.to_pylist()):
+            ends = np.concatenate([[0], np.cumsum(many)])
             if (np.diff(np.concatenate([[0], np.cumsum(size)])[ends]) != want).any():
                 raise ValueError("the tokens of a chunk don't spell it")
-            columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (ids, size)]
-        return pa.table(columns, names=["unit", "chunk", "n", "a", "a_size", "b", "b_size"])
+            lists += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (ids, size)]
+        names = ["unit", "n", "a", "a_size", "b", "b_size"]
+        units = pa.table([pa.array(first + np.arange(len(chunk))), pa.array(n), *lists], names=names)
+        cuts = np.cumsum([len(c) for c in each])[:-1]
+        asked = [pa.array([first] * len(each), pa.int64()), table.column("block"), pa.array([squeeze(p) for p in np.split(place, cuts)], pa.binary())]
+        both = pa.concat_tables([units, pa.table(asked, names=["unit", "block", "asked"])], promote_options="default")
+        return both.select([c.split()[0] for c in UNIT.split(", ")])
 
     return parts.groupBy("shard").applyInArrow(run, UNIT)
 
 
-def tokens_of(units: DataFrame, side: str) -> DataFrame:
-    """(unit, pos, id, begin, end) of every token of one side."""
-    both = F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_size").alias("size"))
-    rows = units.select("unit", F.posexplode(both).alias("pos", "t")).select("unit", "pos", "t.id", "t.size")
+def tokens_of(packed: DataFrame, side: int) -> DataFrame:
+    """(unit, id, begin, end) of every token of A (0) or B (1) of align's packed units."""
+    n = F.when(F.lit(side == 0), F.get("p", F.lit(0))).otherwise((F.size("p") - 1) / 2 - F.get("p", F.lit(0))).cast("int")
+    at = F.lit(2) if side == 0 else 2 * F.get("p", F.lit(0)) + 2
+    both = F.arrays_zip(F.slice("p", at, n).alias("id"), F.slice("p", at + n, n).alias("size"))
+    rows = packed.select("unit", F.posexplode(both).alias("pos", "t")).select("unit", "pos", "t.id", "t.size")
     end = F.sum("size").over(Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("end", end).select("unit", "pos", "id", (F.col("end") - F.col("size")).alias("begin"), "end")
+    return rows.withColumn("end", end).select("unit", "id", (F.col("end") - F.col("size")).alias("begin"), "end")
 
 
 @contextmanager
@@ -218,8 +227,9 @@ def align(units: DataFrame) -> DataFrame:
     """(unit, n_groups, groups, links) of units (unit, a, a_size, b, b_size), the
     ids of their tokens and the bytes of each: groups in order as a1,a2|b1;a3|b2,
     and one link for each A and B token that share bytes, A's id and B's in the halves of a long."""
-    units = units.select("unit", "a", "a_size", "b", "b_size").repartition("unit")
-    a, b = tokens_of(units, "a"), tokens_of(units, "b")
+    # One array holds all of a unit, so that one exchange serves every reader below.
+    packed = units.select("unit", F.concat(F.array(F.size("a")), "a", "a_size", "b", "b_size").alias("p")).repartition("unit")
+    a, b = tokens_of(packed, 0), tokens_of(packed, 1)
     cuts = a.select("unit", "end").join(b.select("unit", "end"), ["unit", "end"])
     none = F.lit(None).cast("int")
     rows = cuts.select("unit", F.col("end").alias("at"), F.lit(CUT_HERE).alias("kind"), none.alias("a"), none.alias("b"))
@@ -254,11 +264,11 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     blocks = materialize(chunk_blocks(docs), "blocks", "zstd")
     total = blocks.agg(F.sum(F.size("chunks"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_CHUNKS))
-    units = materialize(chunk_units(_parts(blocks, shards), a_path, b_path), "units", "zstd")
+    found = materialize(chunk_units(_parts(blocks, shards), a_path, b_path), "units", "zstd")
+    units = found.where("block is null")
     with in_place(spark):
-        sized = units.select("unit", "chunk", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
+        sized = units.select("unit", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
         aligned = materialize(sized.join(align(units), "unit"), "aligned", "zstd")
-    drop(units)
     pairs = materialize(pair_counts(aligned), "pairs")
     known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
     # Rows of a unit stand together in the table, so most of the sums are made before the shuffle.
@@ -266,29 +276,30 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     linked = linked.agg(F.count("*").alias("n_links"), F.count_if("is_best").alias("n_best"), F.sum("m").alias("count_sum"))
     # A shard gets its units' own figures and their sums as rows of two kinds.
     none, shard = F.lit(None).cast("long"), F.shiftright("unit", 32).cast("int").alias("shard")
-    results = aligned.select(shard, "unit", "chunk", "n_a", "n_b", "n_groups", none.alias("n_links"), none.alias("n_best"), none.alias("count_sum"), "groups")
-    text = F.lit(None).cast("string")
-    results = results.union(linked.select(shard, "unit", text, none, none, none, "n_links", "n_best", "count_sum", text))
+    results = aligned.select(shard, "unit", "n_a", "n_b", "n_groups", none.alias("n_links"), none.alias("n_best"), none.alias("count_sum"), "groups")
+    results = results.union(linked.select(shard, "unit", none, none, none, "n_links", "n_best", "count_sum", F.lit(None).cast("string")))
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        own = pc.is_valid(known.column("chunk"))
+        release()
+        own = pc.is_valid(known.column("groups"))
         units, sums = known.filter(own).sort_by("unit"), known.filter(pc.invert(own)).sort_by("unit")
         if not units.column("unit").equals(sums.column("unit")):
             raise ValueError("a unit has no sums")
-        place = {c: k for k, c in enumerate(units.column("chunk").to_pylist())}
         figures = np.stack([(units if k < 3 else sums).column(c).to_numpy() for k, c in enumerate(FIGURES)])
         groups = units.column("groups").to_pylist()
         out = []
-        for packed in asked.column("chunks"):
-            at = list(map(place.__getitem__, _unpacked(packed.as_py()).to_pylist()))
-            raw = figures[:, at].astype("<i8").tobytes() + "\n".join(map(groups.__getitem__, at)).encode()
+        for packed in asked.column("asked"):
+            at = loose(packed.as_py())
+            planes = np.ascontiguousarray(figures[:, at]).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+            raw = planes + "\n".join(map(groups.__getitem__, at.tolist())).encode()
             out.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
         return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "answer"])
 
-    asked = _parts(blocks, shards).select("shard", "block", "chunks").groupBy("shard").cogroup(results.groupBy("shard"))
+    asked = found.where("block is not null").select(shard, "block", "asked").groupBy("shard").cogroup(results.groupBy("shard"))
     answers = asked.applyInArrow(answer, "block bigint, shard int, answer binary")
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         row = block.to_pylist()[0]
         sizes = np.frombuffer(row["sizes"], "<i8")
         codes, cuts = loose(row["codes"]), _cuts(row["hashes"], shards)
@@ -296,7 +307,8 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for r in answers.to_pylist():
             a, b = cuts[r["shard"] : r["shard"] + 2]
             raw = pa.decompress(r["answer"][8:], int.from_bytes(r["answer"][:8], "little"), codec="zstd", asbytes=True)
-            figures[:, a:b] = np.frombuffer(raw, "<i8", 6 * (b - a)).reshape(6, -1)
+            planes = np.frombuffer(raw, np.uint8, 48 * (b - a)).reshape(8, -1)
+            figures[:, a:b] = np.ascontiguousarray(planes.T).view("<i8").reshape(6, -1)
             groups[a:b] = raw[48 * (b - a) :].decode().split("\n")
         ends = np.cumsum(sizes)
         totals = np.zeros((6, len(sizes)), np.int64)
