@@ -227,8 +227,8 @@ def align(units: DataFrame) -> DataFrame:
     """(unit, n_groups, groups, links) of units (unit, a, a_size, b, b_size), the
     ids of their tokens and the bytes of each: groups in order as a1,a2|b1;a3|b2,
     and one link for each A and B token that share bytes, A's id and B's in the halves of a long."""
-    # One array holds all of a unit, so that one exchange serves every reader below.
-    packed = units.select("unit", F.concat(F.array(F.size("a")), "a", "a_size", "b", "b_size").alias("p")).repartition("unit")
+    # One array holds all of a unit, and no reader adds a filter, so that one exchange serves all below.
+    packed = units.where("unit is not null").select("unit", F.concat(F.array(F.size("a")), "a", "a_size", "b", "b_size").alias("p")).repartition("unit")
     a, b = tokens_of(packed, 0), tokens_of(packed, 1)
     cuts = a.select("unit", "end").join(b.select("unit", "end"), ["unit", "end"])
     none = F.lit(None).cast("int")
