@@ -157,13 +157,16 @@ ANY_AT = "|".join([NUCLEAR_AT, SYMBOL_AT, ROOT, SUBSCRIPT_AT, POWER_AT, r"[\\$]"
 # blocks, which fuse over a space. So a neighbourhood is hot words with those, and with neighbours that
 # could be blocks. Braces may hold anything: from one on the text stays together. Dollars in the text
 # pair over any distance: then all from the first hot word on stays together.
-HOT = rf"\p{{Nd}}_\\${{}}^{SYMBOLS}"
-WORD = rf"[^\s{HOT}]"
-PAIR = r"(?:[XV][LCR]|[VIEvi]m)"
-TO_WORD = rf"(?:[^\s{{]*+\{{(?s:.)*+|\S++)"
-IS_HOT = rf"(?={WORD}*+[{HOT}]|{WORD}*?\b{PAIR}\b)"
-BEGIN = rf"(?<!\S)(?:{WORD}++\s++(?=[{HOT}]))?{IS_HOT}"
-NEIGHBOURHOOD = rf"{BEGIN}{TO_WORD}(?:(?<=[{HOT}])\s++{TO_WORD}|\s++(?={WORD}*+[{HOT}]|{WORD}++\s++[{HOT}]|{WORD}*?\b{PAIR}\b){TO_WORD})*+"
+# Words are told by ranges that Java checks fast: plain characters are ASCII but digits and the marks that
+# patterns name, Latin, Cyrillic and Hebrew letters, and dashes and quotes. All others count as hot.
+PLAIN = r"!-#%-/:-\[\]`a-z|~\u00A1-\u00AF\u00B1-\u00B4\u00B6-\u00D6\u00D8-\u00F6\u00F8-\u036F\u0400-\u05FF\u2010-\u2027"
+BLANK = r" \t\n\x0B\f\r"
+WORD, HOT, GAP = f"[{PLAIN}]", f"[^{PLAIN}{BLANK}]", f"[{BLANK}]++"
+PAIR = r"(?<![A-Za-z0-9_])(?:[XV][LCR]|[VIEvi]m)(?![A-Za-z0-9_])"
+TO_WORD = rf"(?:[^{BLANK}{{]*+\{{(?s:.)*+|[^{BLANK}]++)"
+IS_HOT = rf"(?:{WORD}*+{HOT}|{WORD}*?{PAIR})"
+BEGIN = rf"(?<![^{BLANK}])(?:{WORD}++{GAP}(?={HOT}))?(?={IS_HOT})"
+NEIGHBOURHOOD = rf"{BEGIN}{TO_WORD}(?:(?<={HOT}){GAP}{TO_WORD}|{GAP}(?={IS_HOT}|{WORD}++{GAP}{HOT}){TO_WORD})*+"
 FROM_FIRST = rf"{BEGIN}(?s:.)++"
 
 

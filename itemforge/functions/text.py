@@ -112,5 +112,5 @@ def map_segments(c: Column, fn: Callable[[Column], Column], math: bool = False)
 def map_spans(c: Column, span: str, fn: Callable[[Column], Column]) -> Column:
     """fn applied to the matches of span, one pass over the text; what lies between stays as it is. The
     text may not hold the character \\x01."""
-    pieces = F.split(rx(c, span, "\x01$0\x01"), "\x01", -1)
+    pieces = F.split(F.regexp_replace(c, span, "\x01$0\x01"), "\x01", -1)
     return F.array_join(F.transform(pieces, lambda x, k: F.when(k % 2 == 1, fn(x)).otherwise(x)), "")
