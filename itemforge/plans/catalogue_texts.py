@@ -19,7 +19,7 @@ from itemforge.plans.bank import ItemBank
 from itemforge.plans.catalogue import answered, bank_of, items, order_items, query, t
 from itemforge.scratch import scratch_path
 from itemforge.sources import bank
-from itemforge.streaming import toggles
+from itemforge.streaming import toggle_state, toggles
 
 SNIPPETS = [
     "235 92 U and 4 2 He", "1 √ LC", "V0 √ 2 or 2.5 √ 3", "XL VC B0 Im C2", "3 × 108 m/s", "10-19 C", "π 3", "2π 3", "α β", "αβ", "ω0 ω2", "∑", "30°",
@@ -546,6 +546,16 @@ def toggle_stream(spark, sf):
     return toggles.current_from_table(spark, kept, keys)
 
 
+@query("SELECT user_id, event_type FROM events GROUP BY ALL HAVING count(*) % 2 = 1")
+def toggle_store(spark, sf):
+    """Toggles kept as states of a stream, read from its state store after it has ended."""
+    events, keys = t(spark, sf, "events"), ["user_id", "event_type"]
+    source, out, marks = (scratch_path(spark, n) for n in ("events", "changes", "marks"))
+    events.select(*keys).repartition(2).write.parquet(source)
+    toggle_state.run(toggles.toggle_stream(spark, source, events.select(*keys).schema, files=1), keys, out, marks)
+    return toggle_state.states(spark, marks, keys)
+
+
 @query("SELECT doc_id AS ord, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE regexp_replace(regexp_replace(text || chr(7) || '  x', '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '  +', ' ', 'g') END AS x FROM documents")
 def control_clean(spark, sf):
     x = F.when(F.col("ord") % 5 != 0, F.concat("question", F.lit("\x07  x")))

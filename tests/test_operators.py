@@ -12,7 +12,7 @@ from itemforge.operators import deltas, generation, match, rules, scan, search,
 from itemforge.plans.bank import ItemBank
 from itemforge.plans.pipeline import build, extract
 from itemforge.sources import bank
-from itemforge.streaming import toggles
+from itemforge.streaming import toggle_state, toggles
 
 
 def questions(spark, rows):
@@ -500,3 +500,20 @@ def test_markup_neighbourhoods_are_the_whole_pass(spark):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     both = df.select("x", mk.markup(F.col("x")).alias("spans"), mk.markup_whole(tx.control_clean(F.col("x"))).alias("whole"))
     assert both.where(~F.col("spans").eqNullSafe(F.col("whole"))).collect() == []
+
+
+def test_toggle_states_survive_a_restart(spark, tmp_path):
+    keys = ["user", "kind"]
+    events = spark.range(2000).select((F.col("id") * 7 % 60).alias("user"), (F.col("id") * 13 % 5).cast("string").alias("kind")).where("user % 7 <> 3 or kind <> '2'")
+    source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    for part in (events.where("user < 40").limit(700), events.where("user > 20")):
+        part.repartition(2).write.mode("append").parquet(source)
+        # A new query each time: it goes on from the states of the one before.
+        toggle_state.run(toggles.toggle_stream(spark, source, events.schema, files=1), keys, out, marks)
+        want = sorted(map(tuple, state.toggled(spark.read.parquet(source), keys).collect()))
+        assert sorted(map(tuple, toggle_state.states(spark, marks, keys).collect())) == want
+    changes = spark.read.parquet(out)
+    last = changes.groupBy(*keys).agg(F.max_by("on", "batch").alias("on")).where("on").select(*keys)
+    assert sorted(map(tuple, last.collect())) == want
+    # Users below 21 had no events in the second half, so no batch of it wrote them.
+    assert changes.where("batch >= 2 and user < 21").count() == 0
