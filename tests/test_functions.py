@@ -23,6 +23,18 @@ def test_markup_golden(spark):
     assert column(spark, ["∑", "Vm √ 2"], lambda c: mk.markup(c, faithful=False)) == [r"$\sum$", r"$\frac{V_m}{\sqrt{2}}$"]
 
 
+def test_entries_of_the_fixed_tables(spark):
+    """Entries of each table, spelled here and not taken from the code."""
+    cases = {
+        "14 6 C": r"${}^{14}_{6}\text{C}$", "23 11 Na": r"${}^{23}_{11}\text{Na}$", "2 1 X": "2 1 X",
+        "θ ε µ λ": r"$\theta \varepsilon \mu \lambda$", "a ≥ b": r"a $\geq$ b", "a ∝ b": r"a $\propto$ b", "A → B": r"A $\rightarrow$ B", "5 − 3": "5 - 3",
+        r"\nabla x": r"$\nabla$ x", r"\cdot": r"$\cdot$", r"\partial t": r"$\partial$ t", r"\unknown": r"\unknown", "VC L2 n1": "$V_{C} L_2 n_1$", "10-7": "$10^{-7}$",
+    }
+    assert column(spark, [*cases], mk.markup) == [*cases.values()]
+    page = "x\nPrevious Year Questions • Free download at collegedunia.com \nPage 12 y\nz"
+    assert column(spark, [page], tx.clean_pages) == ["x\n y\nz"]
+
+
 def test_segments_lose_nothing(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab$ \n\\") for _ in range(rng.randrange(0, 14))) for _ in range(800)]
