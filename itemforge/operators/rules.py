@@ -52,12 +52,14 @@ def rule_table(spark, rules=RULES) -> DataFrame:
 GRAM = 4
 #: One of so many items tells how frequent grams are; that decides on speed alone.
 GRAM_SAMPLE = 1024
+FEW_GRAMS = 64
 BROADCAST_BYTES = 32 << 20
 
 
-def _grams(text: Column, size: int) -> Column:
-    """All runs of so many characters."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) if size else F.array(F.lit(""))
+def _grams(text: Column, size: int, few: list[str] | None = None) -> Column:
+    """All runs of so many characters, or those of few."""
+    any_of = f".{{{size}}}" if few is None else "|".join(f"\\Q{g}\\E" for g in few if len(g) == size)
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({any_of}))"), F.lit(1)) if size else F.array(F.lit(""))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -90,7 +92,10 @@ def tag_by_table(questions: DataFrame, rules: DataFrame, key: str = "id") -> Dat
     sizes = sorted(r["n"] for r in known.select(F.length("gram").alias("n")).distinct().collect())  # GRAM + 1 at most
     if not sizes:
         return questions.select(key, F.lit(None).cast("string").alias("removed_reason"))
-    held = F.array_distinct(F.concat(*(_grams(F.col("t"), n) for n in sizes)))
+    # A few grams are looked for as such; of more, all that the item has are tried.
+    few = [r["gram"] for r in known.select("gram").distinct().limit(FEW_GRAMS + 1).collect()]
+    few = few if len(few) <= FEW_GRAMS and not any("\\E" in g for g in few) else None
+    held = F.array_distinct(F.concat(*(_grams(F.col("t"), n, few) for n in sizes)))
     met = items.where("t is not null").select("c", *row, F.explode(held).alias("gram")).join(_small(known), "gram").where("of is null or of = c")
     tried = F.array_sort(F.collect_set(F.struct("rule_ord", "kw_ord", "keyword", "label"))).alias("tried")
     found = materialize(met.groupBy("h1", "h2").agg(tried), "candidates")
