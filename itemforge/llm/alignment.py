@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -48,12 +48,13 @@ from itemforge.llm.elias_fano import EliasFano, loose, pack, squeeze
 from itemforge.llm.pieces import MARK, SEGMENT, PrefixTable
 
 #: Text of a block, single longer texts apart; distinct chunks that a shard gets about.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 SHARD_CHUNKS = 1 << 16
 #: Pairs of ids with their counts that may be broadcast, some 50 bytes each.
 BROADCAST_PAIRS = 1 << 20
 #: What stands at a byte of a unit, in this order.
 CUT_HERE, A_BEGINS, B_BEGINS = range(3)
+ZSTD_LEVEL = 6
 CUT = re.compile(r"(?<!\s)(?=[ \n])")
 BLOCK = "block bigint, doc_ids array<bigint>, sizes binary, codes binary, chunks array<string>, hashes binary, counts binary"
 #: A distinct chunk: its occurrences, the ids of its A and B tokens, and their sizes in bytes. Or a request: the
@@ -201,10 +202,18 @@ def chunk_units(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return parts.groupBy("shard").applyInArrow(run, UNIT)
 
 
+#: Numbers in front of a packed unit: A's tokens, and the unit's occurrences as two halves.
+PACK_HEAD = 3
+
+
+def _n_b() -> Column:
+    return F.shiftright(F.size("p") - PACK_HEAD, 1) - F.get("p", F.lit(0))
+
+
 def tokens_of(packed: DataFrame, side: int) -> DataFrame:
     """(unit, id, begin, end) of every token of A (0) or B (1) of align's packed units."""
-    n = F.when(F.lit(side == 0), F.get("p", F.lit(0))).otherwise((F.size("p") - 1) / 2 - F.get("p", F.lit(0))).cast("int")
-    at = F.lit(2) if side == 0 else 2 * F.get("p", F.lit(0)) + 2
+    n_a = F.get("p", F.lit(0))
+    n, at = (n_a, F.lit(PACK_HEAD + 1)) if side == 0 else (_n_b(), 2 * n_a + PACK_HEAD + 1)
     both = F.arrays_zip(F.slice("p", at, n).alias("id"), F.slice("p", at + n, n).alias("size"))
     rows = packed.select("unit", F.posexplode(both).alias("pos", "t")).select("unit", "pos", "t.id", "t.size")
     end = F.sum("size").over(Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -224,11 +233,12 @@ def in_place(spark: SparkSession) -> Iterator[None]:
 
 
 def align(units: DataFrame) -> DataFrame:
-    """(unit, n_groups, groups, links) of units (unit, a, a_size, b, b_size), the
-    ids of their tokens and the bytes of each: groups in order as a1,a2|b1;a3|b2,
+    """(unit, n, n_a, n_b, n_groups, groups, links) of units (unit, n, a, a_size, b, b_size), the ids
+    of their tokens and the bytes of each, with n, their occurrences: groups in order as a1,a2|b1;a3|b2,
     and one link for each A and B token that share bytes, A's id and B's in the halves of a long."""
+    halves = F.shiftright("n", 31).cast("int"), F.col("n").bitwiseAND((1 << 31) - 1).cast("int")
     # One array holds all of a unit, and no reader adds a filter, so that one exchange serves all below.
-    packed = units.where("unit is not null").select("unit", F.concat(F.array(F.size("a")), "a", "a_size", "b", "b_size").alias("p")).repartition("unit")
+    packed = units.where("unit is not null").select("unit", F.concat(F.array(F.size("a"), *halves), "a", "a_size", "b", "b_size").alias("p")).repartition("unit")
     a, b = tokens_of(packed, 0), tokens_of(packed, 1)
     cuts = a.select("unit", "end").join(b.select("unit", "end"), ["unit", "end"])
     none = F.lit(None).cast("int")
@@ -248,7 +258,10 @@ def align(units: DataFrame) -> DataFrame:
     token = F.struct("grp", "kind", "at", F.concat(mark, F.col("id").cast("string")).alias("text"), pair.alias("pair"))
     found = rows.groupBy("unit").agg(F.array_sort(F.collect_list(token)).alias("tokens"), (F.max("grp") + 1).alias("n_groups"))
     pairs = F.filter(F.transform("tokens", lambda t: t["pair"]), lambda x: x.isNotNull())
-    return found.select("unit", "n_groups", F.array_join(F.transform("tokens", lambda t: t["text"]), "").alias("groups"), pairs.alias("links"))
+    found = found.select("unit", "n_groups", F.array_join(F.transform("tokens", lambda t: t["text"]), "").alias("groups"), pairs.alias("links"))
+    n = F.shiftleft(F.get("p", F.lit(1)).cast("long"), 31).bitwiseOR(F.get("p", F.lit(2)).cast("long"))
+    sized = packed.select("unit", n.alias("n"), F.get("p", F.lit(0)).cast("long").alias("n_a"), _n_b().cast("long").alias("n_b"))
+    return sized.join(found, "unit")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -267,8 +280,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     found = materialize(chunk_units(_parts(blocks, shards), a_path, b_path), "units", "zstd")
     units = found.where("block is null")
     with in_place(spark):
-        sized = units.select("unit", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-        aligned = materialize(sized.join(align(units), "unit"), "aligned", "zstd")
+        aligned = materialize(align(units), "aligned", "zstd")
     pairs = materialize(pair_counts(aligned), "pairs")
     known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
     # Rows of a unit stand together in the table, so most of the sums are made before the shuffle.
@@ -281,6 +293,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         release()
+        pa.default_memory_pool().release_unused()
         own = pc.is_valid(known.column("groups"))
         units, sums = known.filter(own).sort_by("unit"), known.filter(pc.invert(own)).sort_by("unit")
         if not units.column("unit").equals(sums.column("unit")):
@@ -292,7 +305,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             at = loose(packed.as_py())
             planes = np.ascontiguousarray(figures[:, at]).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
             raw = planes + "\n".join(map(groups.__getitem__, at.tolist())).encode()
-            out.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
+            out.append(len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=ZSTD_LEVEL).compress(raw, asbytes=True))
         return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "answer"])
 
     asked = found.where("block is not null").select(shard, "block", "asked").groupBy("shard").cogroup(results.groupBy("shard"))
@@ -300,13 +313,14 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
         release()
+        pa.default_memory_pool().release_unused()
         row = block.to_pylist()[0]
         sizes = np.frombuffer(row["sizes"], "<i8")
         codes, cuts = loose(row["codes"]), _cuts(row["hashes"], shards)
         figures, groups = np.zeros((6, cuts[-1]), np.int64), np.empty(cuts[-1], object)
         for r in answers.to_pylist():
             a, b = cuts[r["shard"] : r["shard"] + 2]
-            raw = pa.decompress(r["answer"][8:], int.from_bytes(r["answer"][:8], "little"), codec="zstd", asbytes=True)
+            raw = pa.Codec("zstd").decompress(r["answer"][8:], int.from_bytes(r["answer"][:8], "little"), asbytes=True)
             planes = np.frombuffer(raw, np.uint8, 48 * (b - a)).reshape(8, -1)
             figures[:, a:b] = np.ascontiguousarray(planes.T).view("<i8").reshape(6, -1)
             groups[a:b] = raw[48 * (b - a) :].decode().split("\n")
@@ -315,9 +329,13 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         has = sizes > 0
         for k in range(6 if has.any() else 0):
             totals[k, has] = np.add.reduceat(figures[k][codes], (ends - sizes)[has])
-        strings = [";".join(groups[codes[e - s : e]]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-        columns = [pa.array(row["doc_ids"], pa.int64()), *map(pa.array, totals), pa.array(strings, pa.string())]
-        return pa.table(columns, names=["doc_id", *FIGURES, "groups"])
+        out = []
+        for at in range(0, len(sizes), 128):  # strings are long: they go on a few at a time
+            some = slice(at, at + 128)
+            strings = pa.array([";".join(groups[codes[e - s : e]]) for s, e in zip(sizes[some].tolist(), ends[some].tolist(), strict=True)], pa.string())
+            columns = [pa.array(row["doc_ids"][some], pa.int64()), *(pa.array(t[some]) for t in totals), strings]
+            out.append(pa.record_batch(columns, names=["doc_id", *FIGURES, "groups"]))
+        return pa.Table.from_batches(out)
 
     own = blocks.select("block", "doc_ids", "sizes", "codes", "hashes")
     return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, RESULT)

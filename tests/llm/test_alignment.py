@@ -107,12 +107,12 @@ def test_query(spark, sf, documents, encoded):
 
 def test_operator_on_units_without_cuts(spark):
     """Tokens that end together only at the end of a long unit still give a link a pair, no more."""
-    rows = [(1, [7] * 5001, [2] * 5001, [9] * 5002, [1, *[2] * 5000, 1]), (2, [1], [3], [2, 3], [1, 2])]
-    units = spark.createDataFrame(rows, "unit long, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
+    rows = [(1, 1 << 40, [7] * 5001, [2] * 5001, [9] * 5002, [1, *[2] * 5000, 1]), (2, 5, [1], [3], [2, 3], [1, 2])]
+    units = spark.createDataFrame(rows, "unit long, n long, a array<int>, a_size array<int>, b array<int>, b_size array<int>")
     found = {r.unit: r for r in alignment.align(units).collect()}
-    assert Counter(found[1].links) == {7 << 32 | 9: 10002} and found[1].n_groups == 1
+    assert Counter(found[1].links) == {7 << 32 | 9: 10002} and tuple(found[1])[1:5] == (1 << 40, 5001, 5002, 1)
     assert found[1].groups == ",".join(["7"] * 5001) + "|" + ",".join(["9"] * 5002)
-    assert tuple(found[2])[1:] == (1, "1|2,3", [1 << 32 | 2, 1 << 32 | 3])
+    assert tuple(found[2])[1:] == (5, 1, 2, 1, "1|2,3", [1 << 32 | 2, 1 << 32 | 3])
 
 
 def test_empty_tables(spark, odd):
