@@ -3,6 +3,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from itemforge.plans import catalogue, catalogue_texts
+from itemforge.sources import bank
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -30,3 +31,15 @@ def test_entry(spark):
     assert entry_point.entry(spark).columns == ["ord", "chapter", "n_chars"]
     assert catalogue_texts.markup_documents.__name__ in catalogue.QUERIES
     assert set(catalogue.QUERIES) <= set(entry_point.queries())
+
+
+def test_folder_files_with_tables_of_several_files(spark, tmp_path):
+    for name in ("a.parquet", "d.parquet", "x.csv"):
+        (tmp_path / name).write_bytes(b"x")
+    for name in ("c.parquet/part-0.parquet", "c.parquet/part-1.parquet", "b.parquet/year=1/part-0.parquet", "b.parquet/part-2", "y/z.parquet"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    found = catalogue.QUERIES["folder_files"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [(k, f"{x}.parquet") for k, x in enumerate("abcd")]
+    assert [r["path"] for r in bank.chapter_files(spark, str(tmp_path), "{c,x}.*").collect()] == [f"file:{tmp_path}/c.parquet", f"file:{tmp_path}/x.csv"]
+    assert bank.chapter_files(spark, str(tmp_path)).collect() == []
