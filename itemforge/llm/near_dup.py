@@ -7,11 +7,11 @@ parity bitmap in which each sample flips one bit. The population count of two sk
 estimates a high similarity; candidates whose estimate is far below the threshold are dropped, the
 others are confirmed on the full sets.
 
-No bucket is expanded into its pairs. First every member is compared with the bucket's smallest
-class (its hub). In buckets whose members still lie in more than one component, the classes outside
+No bucket is expanded into its pairs. First every member is compared with a few of the bucket's classes,
+the same ones in all its bands as far as they are there (its hubs). In buckets whose members still lie in more than one component, the classes outside
 the largest component meet all of the bucket's classes, cut into tiles of about TILE whose pairs are
 compared in tasks of their own; within a task only links that join two components are kept. So a
-bucket of n members costs n rows, and more only where comparisons are really open; nothing is capped.
+bucket of n members costs HUBS * n rows, and more only where comparisons are really open; nothing is capped.
 
 Null and empty texts, and texts of white space, have an empty set and link with nothing; a text
 with fewer than k words has its whole sequence as one shingle. Rows with a null id take part in all
@@ -37,6 +37,8 @@ SAMPLES = 125
 SKETCH_BITS = 512
 MISS = 1e-6  # chance that bands miss a pair at the threshold
 TILE = 256
+FEW_PAIRS, TOGETHER = 64, 1 << 20  # up to so many pairs of a tile, or beyond so many shingles, pairs are compared one by one
+HUBS = 4  # classes of a bucket that all others meet first
 TILE_SHINGLES = 1 << 22
 _rng = np.random.default_rng(9)
 _A = _rng.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
@@ -110,6 +112,28 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common elements of each left and each right array, both sorted and distinct."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(x, y)
+    sides = []
+    for flat, arrays in ((x, left), (y, right)):
+        row, at = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays]), np.searchsorted(common, flat)
+        here = at < len(common)
+        here[here] = common[at[here]] == flat[here]
+        sides.append((row[here], at[here], len(arrays)))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, len(common), 2048):
+        planes = []
+        for row, at, n in sides:
+            now = (at >= lo) & (at < lo + 2048)
+            plane = np.zeros((n, 2048), np.float32)
+            plane[row[now], at[now] - lo] = 1
+            planes.append(plane)
+        out += (planes[0] @ planes[1].T).astype(np.int64)
+    return out
+
+
 def _signatures(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -162,26 +186,29 @@ def _tile_links(percent: int, different: int):
                 apart += np.bitwise_count(x[:, word, None] ^ y[:, word])
             nx, ny = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None]
             fits = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
-            at, to = np.nonzero((apart <= different) & fits)
-            parent = {c: c for c in pdf["comp"]}
-
-            def root(c):
-                while parent[c] != c:
-                    parent[c] = parent[parent[c]]
-                    c = parent[c]
-                return c
-
-            sets = {}
-            for side in (left, right):
-                sets.update((r, np.asarray(f, np.int64).view(np.uint64)) for r, f in zip(side["rep"].tolist(), side["fp"], strict=True))
-            lr, rr, lc, rc = left["rep"].tolist(), right["rep"].tolist(), left["comp"].tolist(), right["comp"].tolist()
-            # The likeliest pairs first: once joined, a component's other pairs need no comparison.
-            for k in np.argsort(apart[at, to], kind="stable").tolist():
-                p, q = int(at[k]), int(to[k])
-                a, b = root(lc[p]), root(rc[q])
-                if a != b and similar(sets[lr[p]], sets[rr[q]], percent):
-                    parent[max(a, b)] = min(a, b)
+            # Components by number; only pairs of two of them are open.
+            numbers, codes = np.unique(pd.concat([left["comp"], right["comp"]]).to_numpy(), return_inverse=True)
+            lc, rc, joined = codes[: len(left)], codes[len(left) :], np.arange(len(numbers))
+            at, to = np.nonzero((apart <= different) & fits & (lc[:, None] != rc))
+            order = np.argsort(apart[at, to], kind="stable")  # the likeliest pairs first
+            at, to = at[order], to[order]
+            lr, rr = left["rep"].tolist(), right["rep"].tolist()
+            ls, rs = ([np.asarray(f, np.int64).view(np.uint64) for f in side["fp"]] for side in (left, right))
+            confirm = len(at) <= FEW_PAIRS or nx.sum() + ny.sum() > TOGETHER
+            if not confirm:
+                both = shared(ls, rs)
+                linked = (100 * both >= percent * (nx + ny - both))[at, to]
+                at, to = at[linked], to[linked]
+            while len(at):
+                p, q = int(at[0]), int(to[0])
+                if not confirm or similar(ls[p], rs[q], percent):
+                    x, y = joined[lc[p]], joined[rc[q]]
+                    joined[joined == max(x, y)] = min(x, y)
                     found.append((lr[p], rr[q]))
+                # Once joined, a component's other pairs need no comparison.
+                open_ = joined[lc[at]] != joined[rc[to]]
+                open_[0] = False
+                at, to = at[open_], to[open_]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
@@ -213,8 +240,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     lead = classes.select("rep", F.col("best.doc_id").alias("lead_id"), F.col("best.row").alias("lead_row"), F.col("best.at").alias("at"))
     cls = sig.join(lead.select("rep", "at"), "at").select("rep", "n", "bands", "sketch")
     keyed = cls.select("rep", "n", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1")
-    members = materialize(keyed.join(hubs, "key").select("key", "hub", "c", "rep", "n"), "members")
+    drawn = (F.min_by("rep", F.xxhash64("rep", F.lit(seed))) for seed in range(HUBS - 2))
+    hubs = keyed.groupBy("key").agg(F.array_distinct(F.array(F.min("rep"), F.max("rep"), *drawn)).alias("hubs"), F.count("*").alias("c")).where("c > 1")
+    members = materialize(keyed.join(hubs, "key").select("key", "hubs", "c", "rep", "n"), "members")
 
     # Full sets of the classes that share a bucket, and of no others.
     wanted = members.select("rep").distinct()
@@ -225,8 +253,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = texts.mapInArrow(_set_rows(k), "rep long, fp array<bigint>").dropDuplicates(["rep"])
     facts = materialize(sets.join(facts, "rep"), "sets")
 
-    # 1. Each member against its bucket's hub.
-    pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    # 1. Each member against its bucket's hubs.
+    met = members.select("rep", F.explode("hubs").alias("hub")).where("rep <> hub")
+    pairs = met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     slim = facts.select("rep", "n", "sketch")
     pa_, pb_ = (slim.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}")) for s in "ab")
     apart = sum((F.bit_count(F.col("sa")[w].bitwiseXOR(F.col("sb")[w])) for w in range(SKETCH_BITS // 64)), F.lit(0))

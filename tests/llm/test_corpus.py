@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,30 @@ def test_near_components_of_rows_without_own_ids(spark):
     assert sorted((str(r.doc_id), str(r.text)[:2]) for r in stay) == sorted([("3", "a0"), ("2", "b0"), ("None", "c0"), ("8", "No"), ("None", "No")])
 
 
+def test_tiles_compared_together():
+    """A tile of many near copies in components of their own is a few products, not a comparison a pair."""
+    draw = np.random.default_rng(5)
+    sets = [np.unique(draw.integers(0, 5000, 400).astype(np.uint64) << np.uint64(50)) for _ in range(20)] + [np.zeros(0, np.uint64)]
+    assert near_dup.shared(sets[:8], sets[8:]).tolist() == [[len(np.intersect1d(a, b)) for b in sets[8:]] for a in sets[:8]]
+    base, rows = draw.integers(0, 1 << 63, 300).astype(np.uint64), []
+    for k in range(120):
+        own = np.unique(np.append(draw.choice(base, 285, replace=False), draw.integers(0, 1 << 63, 30).astype(np.uint64)))
+        rows.append((0, k % 60 + 60 * (k >= 60), len(own), near_dup.sketches(near_dup.minhash(own)[None])[0], own.view(np.int64)))
+    calls = []
+    similar, near_dup.similar = near_dup.similar, lambda *x: calls.append(x) or similar(*x)
+    try:
+        pdf = pd.DataFrame([(side, rep, n, sketch, fp, rep) for _, rep, n, sketch, fp in rows for side in (0, 1)], columns=["side", "rep", "n", "sketch", "fp", "comp"])
+        together = near_dup._tile_links(70, 512)(None, pdf)
+        assert not calls
+        near_dup.FEW_PAIRS, few = 1 << 30, near_dup.FEW_PAIRS
+        alone = near_dup._tile_links(70, 512)(None, pdf)
+        near_dup.FEW_PAIRS = few
+        assert calls and len(together) > 60
+        assert together.values.tolist() == alone.values.tolist()
+    finally:
+        near_dup.similar = similar
+
+
 def test_near_components_query(spark, sf, documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op9_minhash_dedup(spark, sf).collect()}
