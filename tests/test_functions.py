@@ -66,3 +66,13 @@ def test_display(spark):
     assert column(spark, ["→E and →"], mk.residual_symbols) == [r"$\vec{E}$ and $\rightarrow$"]
     assert column(spark, ["$a$ $b$"], mk.merge_blocks) == ["$a b$"]
     assert column(spark, ["$$x$$ y\nz"], mk.display_math) == [["x"]]
+
+
+def test_symbols_and_roots_in_one_pass(spark):
+    pairs = {"√": mk.ROOT, **{k: "\\" + v for k, v in mk.GREEK.items()}, **mk.SIGNS}
+    texts = [None, "", "√", "aα\n×\x01β−", "日本 ℵ𝛼 °°C ñ±²³", "x" + "".join(pairs) + "y", " ".join(pairs)]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", mk.commands_for_symbols(F.col("x")).alias("y"))
+    for x, y in df.collect():
+        assert y == (x and "".join(pairs.get(c, c) for c in x))
+    assert "replace(" not in df._jdf.queryExecution().optimizedPlan().toString()  # one pass a symbol before
+    assert all(re.match(mk.SYMBOL_AT, c) for c in pairs)
