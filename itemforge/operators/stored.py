@@ -46,16 +46,20 @@ def _ranges(numbers: list[int]) -> list[tuple[int, int]]:
 class StoredItems:
     spark: SparkSession
     path: str
+    searched: bool = True
 
     @classmethod
-    def build(cls, questions: DataFrame, path: str) -> StoredItems:
-        """questions: ord (a long of its own for each item), question and other columns."""
+    def build(cls, questions: DataFrame, path: str, searched: bool = True) -> StoredItems:
+        """questions: ord (a long of its own for each item), question and other columns. Items that are only
+        paged through need no grams: not searched, they have none, and a search reads them as the plain one does."""
         spark, block = questions.sparkSession, F.floor(F.col("ord") / BLOCK_ROWS).alias("block")
         ordered = questions.repartitionByRange("ord").sortWithinPartitions("ord")
         ordered.write.mode("overwrite").option("parquet.page.row.count.limit", BLOCK_ROWS).option("parquet.block.size", 4 << 20).parquet(f"{path}/items")
         stored = spark.read.parquet(f"{path}/items")
         counted = stored.groupBy(block).agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count("*").alias("n"))
         counted.repartitionByRange("block").sortWithinPartitions("block").write.mode("overwrite").parquet(f"{path}/blocks")
+        if not searched:
+            return cls(spark, path, searched)
         found = stored.select(block, F.explode(grams(F.col("question"))).alias("gram")).distinct()
         found = found.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
         found.write.mode("overwrite").option("parquet.page.row.count.limit", 4096).option("parquet.block.size", 4 << 20).parquet(f"{path}/grams")
@@ -76,7 +80,7 @@ class StoredItems:
 
     def holding(self, needle: str) -> DataFrame:
         """The items in blocks that may hold the needle."""
-        if len(needle) < GRAM:
+        if len(needle) < GRAM or not self.searched:
             return self.items()
         blocks = sorted(r["block"] for r in self.candidates(needle).limit(MAX_BLOCKS + 1).collect())
         if len(blocks) > MAX_BLOCKS:

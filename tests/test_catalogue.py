@@ -43,3 +43,11 @@ def test_folder_files_with_tables_of_several_files(spark, tmp_path):
     assert [tuple(r) for r in found] == [(k, f"{x}.parquet") for k, x in enumerate("abcd")]
     assert [r["path"] for r in bank.chapter_files(spark, str(tmp_path), "{c,x}.*").collect()] == [f"file:{tmp_path}/c.parquet", f"file:{tmp_path}/x.csv"]
     assert bank.chapter_files(spark, str(tmp_path)).collect() == []
+
+
+def test_pages_need_no_grams(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(k, f"License {k}") for k in range(700)], "ord long, question string").withColumn("chapter", catalogue.F.lit("en"))
+    monkeypatch.setattr(catalogue.stored, "grams", None)
+    shelf = catalogue.stored.StoredItems.build(df, str(tmp_path), searched=False)
+    assert [r["ord"] for r in shelf.after(254, 5).collect()] == [255, 256, 257, 258, 259]
+    assert [r["ord"] for r in shelf.chapter_page("en", text="license 69").collect()] == [69, *range(690, 700)]
