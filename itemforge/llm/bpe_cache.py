@@ -171,6 +171,6 @@ def with_ends(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def encoder(path: str, special_as_text: bool = True) -> ChunkedEncoder:
-    """One encoder for each Python worker, vocabulary and treatment of added tokens."""
-    return held(("chunks", path, special_as_text), lambda: ChunkedEncoder(path, special_as_text=special_as_text))
+def encoder(path: str, special_as_text: bool = True, cache_bytes: int = CACHE_BYTES) -> ChunkedEncoder:
+    """One encoder for each Python worker, vocabulary, treatment of added tokens and size of its cache."""
+    return held(("chunks", path, special_as_text, cache_bytes), lambda: ChunkedEncoder(path, cache_bytes, special_as_text))

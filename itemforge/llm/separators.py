@@ -21,10 +21,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itemforge.llm.bpe_cache import encoder, with_ends
-from itemforge.llm.common import materialize, scratch_path, text_or_empty, text_slices
+from itemforge.llm.common import materialize, release, scratch_path, text_or_empty, text_slices
 
 BLOCK_IDS = 1 << 18
-TEXT_SLICE = 8 << 20  # bytes of text encoded at once
+TEXT_SLICE = 1 << 20  # bytes of text encoded at once: a slice needs some 20 times that beside it
+CACHE_BYTES = 64 << 20  # chunks kept by a worker that writes flat files
 FLAT = "kind string, file int, block int, n long, payload binary"
 
 
@@ -52,6 +53,7 @@ def scan_blocks(blocks: DataFrame, separator: int, dtype: str = "<u4") -> DataFr
     kind = blocks.schema["file"].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # the encoder of the worker's former tasks
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("payload")[i].as_buffer(), dtype)
@@ -95,41 +97,47 @@ def scan_blocks(blocks: DataFrame, separator: int, dtype: str = "<u4") -> DataFr
     )
 
 
-def write_flat(docs: DataFrame, path: str, vocabulary: str, separator: int, block_ids: int = BLOCK_IDS, dtype: str = "<u4") -> None:
-    """Encode (doc_id, text) into flat id runs, one for each partition of docs as it stands (no
-    shuffle), cut into blocks (kind 'ids'), with the order of the documents beside them (kind
-    'docs'), partitioned by kind."""
+def flat_rows(batches: Iterator[pa.RecordBatch], file: int, vocabulary: str, separator: int, block_ids: int, dtype: str) -> Iterator[pa.RecordBatch]:
+    """Rows of FLAT of one run: its ids in blocks, and the doc_ids of each slice of its texts."""
     size = np.dtype(dtype).itemsize
     step = block_ids * size
 
-    def row(kind, file, block, n, payload):
+    def row(kind, block, n, payload):
         return pa.RecordBatch.from_arrays(
             [pa.array([kind]), pa.array([file], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())],
             names=["kind", "file", "block", "n", "payload"],
         )
 
+    block, seen = 0, 0
+    # As text: the id of an added token in a document would read as a separator.
+    enc, flat = encoder(vocabulary, special_as_text=True, cache_bytes=CACHE_BYTES), bytearray()
+    if max(separator, enc.tokenizer.get_vocab_size() - 1) >> 8 * size:
+        raise ValueError(f"ids of this vocabulary don't fit {dtype}")
+    for batch in batches:
+        for part in text_slices(batch, "text", rows=1 << 14, size=TEXT_SLICE):
+            flat += with_ends(*enc.encode(part.column("text")), separator).astype(dtype).tobytes()
+            names = part.column("doc_id").to_numpy(zero_copy_only=False) if not part.column("doc_id").null_count else None
+            known = np.array([d is not None for d in part.column("doc_id").to_pylist()], "u1")
+            values = part.column("doc_id").fill_null(0).to_numpy() if names is None else names
+            yield row("docs", seen, part.num_rows, known.tobytes() + values.astype("<i8").tobytes())
+            seen += part.num_rows
+            while len(flat) >= step:
+                yield row("ids", block, block_ids, bytes(flat[:step]))
+                del flat[:step]
+                block += 1
+    if flat:
+        yield row("ids", block, len(flat) // size, bytes(flat))
+
+
+def write_flat(docs: DataFrame, path: str, vocabulary: str, separator: int, block_ids: int = BLOCK_IDS, dtype: str = "<u4") -> None:
+    """Encode (doc_id, text) into flat id runs, one for each partition of docs as it stands (no
+    shuffle), cut into blocks (kind 'ids'), with the order of the documents beside them (kind
+    'docs'), partitioned by kind."""
+
     def encode(batches):
         from pyspark import TaskContext
 
-        file, block, seen = TaskContext.get().partitionId(), 0, 0
-        # As text: the id of an added token in a document would read as a separator.
-        enc, flat = encoder(vocabulary, special_as_text=True), bytearray()
-        if max(separator, enc.tokenizer.get_vocab_size() - 1) >> 8 * size:
-            raise ValueError(f"ids of this vocabulary don't fit {dtype}")
-        for batch in batches:
-            for part in text_slices(batch, "text", rows=1 << 14, size=TEXT_SLICE):
-                flat += with_ends(*enc.encode(part.column("text")), separator).astype(dtype).tobytes()
-                names = part.column("doc_id").to_numpy(zero_copy_only=False) if not part.column("doc_id").null_count else None
-                known = np.array([d is not None for d in part.column("doc_id").to_pylist()], "u1")
-                values = part.column("doc_id").fill_null(0).to_numpy() if names is None else names
-                yield row("docs", file, seen, part.num_rows, known.tobytes() + values.astype("<i8").tobytes())
-                seen += part.num_rows
-                while len(flat) >= step:
-                    yield row("ids", file, block, block_ids, bytes(flat[:step]))
-                    del flat[:step]
-                    block += 1
-        if flat:
-            yield row("ids", file, block, len(flat) // size, bytes(flat))
+        return flat_rows(batches, TaskContext.get().partitionId(), vocabulary, separator, block_ids, dtype)
 
     (
         docs.select("doc_id", text_or_empty().alias("text"))
@@ -147,6 +155,7 @@ def token_counts(docs: DataFrame, vocabulary: str, separator: int = 50256, block
     stored = spark.read.schema("file int, block int, n long, payload binary, kind string").option("basePath", path).parquet(path)
 
     def names(batches):
+        release()
         for batch in batches:
             for i in range(batch.num_rows):
                 n, first = batch.column("n")[i].as_py(), batch.column("block")[i].as_py()

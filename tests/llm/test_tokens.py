@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -69,6 +70,21 @@ def test_token_output_query_is_the_default_library(spark, odd, tmp_path):
     assert (counts[20], counts[21]) == (9, len(plain.encode("after it").ids))
 
 
+def test_flat_rows_are_made_in_little_memory(documents):
+    """Many texts of one batch are encoded in small slices."""
+    texts = [r.text for r in documents.limit(400).collect() if r.text]
+    texts = (texts * (1 + (12 << 20) // sum(map(len, texts))))[: 1 << 14]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    separators.encoder(VOCAB, special_as_text=True, cache_bytes=separators.CACHE_BYTES)
+    tracemalloc.start()
+    try:
+        n = sum(r.column("n")[0].as_py() for r in separators.flat_rows(iter([batch]), 0, VOCAB, 50256, 1 << 18, "<u2") if r.column("kind")[0].as_py() == "docs")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == len(texts) and peak < 64 << 20
+
+
 def test_pieces_are_the_library(documents):
     table, sp = pieces.PrefixTable(MODEL, cache_bytes=100_000), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     texts = noise(4000, 2) + [r.text for r in documents.limit(40).collect()] + ["a" * k for k in range(40)] + ["", "=" * 70]
