@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from itemforge.llm.common import held, materialize, release, text_slices
+from itemforge.llm.common import drop, held, materialize, release, text_slices
 from itemforge.llm.elias_fano import EliasFano, loose, pack, squeeze
 from itemforge.llm.pieces import MARK, SEGMENT, PrefixTable
 
@@ -278,16 +278,21 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     total = blocks.agg(F.sum(F.size("chunks"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_CHUNKS))
     found = materialize(chunk_units(_parts(blocks, shards), a_path, b_path), "units", "zstd")
-    units = found.where("block is null")
+    # The chunks' texts, and after the alignment their tokens, aren't read again: the rest goes on without them.
+    own = materialize(blocks.select("block", "doc_ids", "sizes", "codes", "hashes"), "codes", "zstd")
+    drop(blocks)
+    shard = F.shiftright("unit", 32).cast("int").alias("shard")
     with in_place(spark):
-        aligned = materialize(align(units), "aligned", "zstd")
+        aligned = materialize(align(found.where("block is null")), "aligned", "zstd")
+    asked = materialize(found.where("block is not null").select(shard, "block", "asked"), "asked", "zstd")
+    drop(found)
     pairs = materialize(pair_counts(aligned), "pairs")
     known = F.broadcast(pairs) if pairs.count() <= BROADCAST_PAIRS else pairs
     # Rows of a unit stand together in the table, so most of the sums are made before the shuffle.
     linked = aligned.select("unit", F.explode("links").alias("pair")).join(known.withColumnRenamed("n", "m"), "pair").groupBy("unit")
     linked = linked.agg(F.count("*").alias("n_links"), F.count_if("is_best").alias("n_best"), F.sum("m").alias("count_sum"))
     # A shard gets its units' own figures and their sums as rows of two kinds.
-    none, shard = F.lit(None).cast("long"), F.shiftright("unit", 32).cast("int").alias("shard")
+    none = F.lit(None).cast("long")
     results = aligned.select(shard, "unit", "n_a", "n_b", "n_groups", none.alias("n_links"), none.alias("n_best"), none.alias("count_sum"), "groups")
     results = results.union(linked.select(shard, "unit", none, none, none, "n_links", "n_best", "count_sum", F.lit(None).cast("string")))
 
@@ -308,8 +313,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             out.append(len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=ZSTD_LEVEL).compress(raw, asbytes=True))
         return pa.table([asked.column("block"), asked.column("shard"), pa.array(out, pa.binary())], names=["block", "shard", "answer"])
 
-    asked = found.where("block is not null").select(shard, "block", "asked").groupBy("shard").cogroup(results.groupBy("shard"))
-    answers = asked.applyInArrow(answer, "block bigint, shard int, answer binary")
+    answers = asked.groupBy("shard").cogroup(results.groupBy("shard")).applyInArrow(answer, "block bigint, shard int, answer binary")
 
     def finish(block: pa.Table, answers: pa.Table) -> pa.Table:
         release()
@@ -337,5 +341,4 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             out.append(pa.record_batch(columns, names=["doc_id", *FIGURES, "groups"]))
         return pa.Table.from_batches(out)
 
-    own = blocks.select("block", "doc_ids", "sizes", "codes", "hashes")
     return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, RESULT)

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from itemforge.llm import alignment, queries
+from itemforge.scratch import materialize
 
 VOCAB, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -120,3 +122,12 @@ def test_empty_tables(spark, odd):
     assert alignment.alignments(docs.limit(0), VOCAB, MODEL).count() == 0
     got = alignment.alignments(docs.where("text is null or text = '' or doc_id = 8"), VOCAB, MODEL).collect()
     assert len(got) == 3 and {tuple(r)[1:] for r in got} == {(0, 0, 0, 0, 0, 0, "")}
+
+
+def test_texts_and_tokens_of_chunks_are_dropped_once_aligned(spark, odd, monkeypatch):
+    made = []
+    monkeypatch.setattr(alignment, "materialize", lambda *args: made.append(materialize(*args)) or made[-1])
+    got = alignment.alignments(odd.select("doc_id", "text"), VOCAB, MODEL)
+    left = [t for t in made if os.path.exists(t._itemforge_path.removeprefix("file://"))]
+    assert len(left) < len(made) and not {"chunks", "a", "b"} & {c for t in left for c in t.columns}
+    assert got.count() == odd.count()
