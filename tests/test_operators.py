@@ -2,7 +2,9 @@ import glob
 import json
 import random
 import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -517,3 +519,14 @@ def test_toggle_states_survive_a_restart(spark, tmp_path):
     assert sorted(map(tuple, last.collect())) == want
     # Users below 21 had no events in the second half, so no batch of it wrote them.
     assert changes.where("batch >= 2 and user < 21").count() == 0
+
+
+def test_pairs_of_toggles_cancel_out_before_the_store(monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice([*range(30), None]), rng.choice(["a", "b", None])) for _ in range(5000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[at : at + 300])], names=["user", "n"]) for at in range(0, 5000, 300)]
+    for held in (1 << 20, 1000):
+        monkeypatch.setattr(toggle_state, "HELD_ROWS", held)
+        got = Counter((r["user"], r["n"]) for b in toggle_state.odd(iter(batches)) for r in b.to_pylist())
+        assert got == {k: 1 for k, n in Counter(rows).items() if n % 2}
+    assert list(toggle_state.odd(iter([]))) == []
