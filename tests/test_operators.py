@@ -504,6 +504,16 @@ def test_markup_neighbourhoods_are_the_whole_pass(spark):
     assert both.where(~F.col("spans").eqNullSafe(F.col("whole"))).collect() == []
 
 
+def test_cold_words_are_passed_by_up_to_the_next_neighbourhood(spark):
+    rng = random.Random(8)
+    atoms = [*"Im XL VC-a aXL a-Im the of 5 x2 √ α $ {b} \n \t é é-VL Vm. it; (Em) EmX".split(" "), " ", "  "]
+    texts = [rng.choice(["", " "]).join(rng.choice(["", " ", "-"]) + rng.choice(atoms) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", " ", "word " * 20000]], "x string")
+    alone = F.regexp_extract_all("x", F.lit(mk.NEIGHBOURHOOD), F.lit(0))
+    cut = F.split(tx.map_spans(F.col("x"), mk.NEIGHBOURHOOD, lambda s: F.when(s == "", s).otherwise(F.concat(F.lit("\x02"), s, F.lit("\x03"))), mk.COLD), "[\x02\x03]", -1)
+    assert df.where(~F.filter(cut, lambda _, k: k % 2 == 1).eqNullSafe(alone)).collect() == []
+
+
 def test_toggle_states_survive_a_restart(spark, tmp_path):
     keys = ["user", "kind"]
     events = spark.range(2000).select((F.col("id") * 7 % 60).alias("user"), (F.col("id") * 13 % 5).cast("string").alias("kind")).where("user % 7 <> 3 or kind <> '2'")
