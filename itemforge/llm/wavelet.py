@@ -46,9 +46,10 @@ def build(ids: np.ndarray, levels: int) -> list[bytes]:
         padded[: len(packed)] = packed
         per = np.bitwise_count(padded.view(np.uint64)).reshape(-1, STEP // 64).sum(1, dtype=np.uint32)
         rank = np.concatenate([np.zeros(1, np.uint32), np.cumsum(per, dtype=np.uint32)])
-        zeros = seq[~one]
+        # Taking by positions is several times faster than by a mask of mixed bits.
+        zeros = seq.take(np.flatnonzero(~one))
         parts += [struct.pack("<Q", len(zeros)), rank.tobytes(), padded.tobytes()]
-        seq = np.concatenate([zeros, seq[one]])
+        seq = np.concatenate([zeros, seq.take(np.flatnonzero(one))])
     return parts
 
 
@@ -130,8 +131,8 @@ class WaveletMatrix:
         for level, (zeros, _, bits) in enumerate(reversed(self.planes)):
             one = np.unpackbits(bits, count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
-            above[~one] = out[:zeros]
-            above[one] = out[zeros:] | out.dtype.type(1 << level)
+            above[np.flatnonzero(~one)] = out[:zeros]
+            above[np.flatnonzero(one)] = out[zeros:] | out.dtype.type(1 << level)
             out = above
         return out
 

@@ -10,7 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from itemforge.llm import pieces, queries, separators, wavelet
-from itemforge.llm.bpe_cache import ChunkedEncoder
+from itemforge.llm.bpe_cache import ChunkedEncoder, KnownChunks
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -53,6 +53,44 @@ def test_chunked_encoding_is_the_default_library(documents):
         assert listed(enc.encode(pa.array(part))) == [e.ids for e in plain.encode_batch(part, add_special_tokens=False)]
 
 
+def test_chunks_are_learnt_once():
+    """60,000 words fit 6 MB with their ids, and marks behind a word don't make it another one."""
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.n = inner, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.n += sum(1 + t.count("\x01") for t in texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("aeiounrst") for _ in range(9)) for _ in range(60_000)})
+    enc = ChunkedEncoder(VOCAB, cache_bytes=6 << 20)
+    enc.pieces = Counted(enc.pieces)
+    slices = [words[at : at + 4000] for at in range(0, len(words), 4000)]
+    want = [listed(enc.encode(pa.array([": " + " ".join(part)])))[0] for part in slices]
+    assert enc.pieces.n == len(words)
+    assert [listed(enc.encode(pa.array([": " + " ".join(part)])))[0] for part in slices] == want
+    for mark in (",", ".", "!?"):
+        enc.encode(pa.array([": " + f"{mark} ".join(words[:4000])]))
+    assert enc.pieces.n == len(words)
+
+
+def test_chunks_with_one_hash_stay_apart(library, monkeypatch):
+    keyed = KnownChunks.keyed
+
+    def clashing(chunks):
+        keys, hashes, long = keyed(chunks)
+        return keys, hashes % np.uint64(7), long
+
+    monkeypatch.setattr(KnownChunks, "keyed", staticmethod(clashing))
+    texts = noise(2000, 6)
+    enc = ChunkedEncoder(VOCAB, cache_bytes=100_000)
+    for at in range(0, len(texts), 300):
+        assert listed(enc.encode(pa.array(texts[at : at + 300]))) == library(texts[at : at + 300])
+
+
 def test_token_output_query_is_the_default_library(spark, odd, tmp_path):
     plain = Tokenizer.from_file(VOCAB)
     more = spark.createDataFrame([(20, "a<|endoftext|>b"), (21, "after it"), (22, "<|endoftext|>")], "doc_id long, text string")
