@@ -24,7 +24,8 @@ import pyarrow.compute as pc
 from itemforge.llm.common import held
 
 #: Bytes of chunks and their ids held by a worker, about ENTRY a chunk included, and LONG_ENTRY more
-#: where it is longer than KEY_BYTES. Beyond, only the chunks of the texts at hand stay.
+#: where it is longer than KEY_BYTES. Beyond, only chunks that were met again stay, or only those of
+#: the texts at hand.
 CACHE_BYTES = 128 << 20
 ENTRY, LONG_ENTRY = 48, 200
 KEY_BYTES = 23
@@ -66,6 +67,7 @@ class KnownChunks:
         self.flat = np.zeros(0, dtype)
         self.keys = np.zeros((0, 3), "<u8")
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)  # a size of -1: not to be cut
+        self.met = np.zeros(0, bool)  # again, since the last trim
         self.hashes, self.rows = np.zeros(0, "<u8"), np.zeros(0, np.int32)
         self.long: dict[str, int] = {}
         self.long_bytes = 0
@@ -99,11 +101,13 @@ class KnownChunks:
             at[order] = np.searchsorted(self.hashes, hashes[order])
             at[at == len(self.hashes)] = 0
             row = self.rows[at]
-            same = (self.hashes[at] == hashes) & (self.keys[row] == keys).all(axis=1) & ~long
+            equal = self.keys[row] == keys
+            same = (self.hashes[at] == hashes) & equal[:, 0] & equal[:, 1] & equal[:, 2] & ~long
             rows[same] = row[same]
         which = np.flatnonzero(long)
         if len(which):
             rows[which] = [self.long.get(c, -1) for c in chunks.take(pa.array(which)).to_pylist()]
+        self.met[rows[rows >= 0]] = True
         return rows
 
     def add(self, chunks: pa.Array, keys: np.ndarray, hashes: np.ndarray, long: np.ndarray, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -112,6 +116,7 @@ class KnownChunks:
         rows = np.arange(len(self.start), len(self.start) + len(chunks), dtype=np.int32)
         self.start = np.concatenate([self.start, start + len(self.flat)])
         self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.met = np.concatenate([self.met, np.zeros(len(chunks), bool)])
         self.flat = np.concatenate([self.flat, ids])
         self.keys = np.concatenate([self.keys, keys])
         self._index(keys, hashes, rows, long)
@@ -126,17 +131,24 @@ class KnownChunks:
         at = np.searchsorted(self.hashes, hashes[order])
         self.hashes, self.rows = np.insert(self.hashes, at, hashes[order]), np.insert(self.rows, at, rows[order])
 
-    def only(self, rows: np.ndarray) -> None:
-        """Forget all but these distinct rows, which become rows 0, 1, 2 and so on."""
-        new = np.full(len(self.start), -1, np.int32)
-        new[rows] = np.arange(len(rows))
+    def trim(self, rows: np.ndarray) -> np.ndarray:
+        """Forget the chunks that weren't met again; where most were, all but those of rows. Returns
+        what the rows, -1 left out, are called then."""
+        if 2 * self.met.sum() > len(self.met):
+            self.met[:] = False
+            self.met[rows[rows >= 0]] = True
+        stay = np.flatnonzero(self.met)
+        new = np.full(len(self.start) + 1, -1, np.int32)
+        new[stay] = np.arange(len(stay))
         kept = new[self.rows] >= 0
         self.hashes, self.rows = self.hashes[kept], new[self.rows[kept]]
         self.long = {c: int(new[r]) for c, r in self.long.items() if new[r] >= 0}
         self.long_bytes = sum(map(len, self.long)) + LONG_ENTRY * len(self.long)
-        size = np.maximum(self.size[rows], 0).astype(np.int64)
-        self.flat = self.flat[spans(self.start[rows], size)]
-        self.keys, self.start, self.size = self.keys[rows], np.cumsum(size) - size, self.size[rows]
+        size = np.maximum(self.size[stay], 0).astype(np.int64)
+        self.flat = self.flat[spans(self.start[stay], size)]
+        self.keys, self.start, self.size = self.keys[stay], np.cumsum(size) - size, self.size[stay]
+        self.met = np.zeros(len(stay), bool)
+        return new[rows]
 
 
 class ChunkedEncoder:
@@ -221,9 +233,7 @@ class ChunkedEncoder:
         key = self.known.keyed(units)
         rows = self.known.find(units, *key)
         if self.known.held > self.cache_bytes:
-            old = rows >= 0
-            self.known.only(rows[old])
-            rows[old] = np.arange(old.sum())
+            rows = self.known.trim(rows)
         new = np.flatnonzero(rows < 0)
         if len(new):
             chunks = units.take(pa.array(new))

@@ -77,6 +77,20 @@ def test_chunks_are_learnt_once():
     assert enc.pieces.n == len(words)
 
 
+def test_chunks_met_again_stay():
+    """When the cache is full, words that come again and again outlast those that came once."""
+    enc = ChunkedEncoder(VOCAB, cache_bytes=400_000)
+    often = " ".join(f"often{a}{b}" for a in "abcdefghij" for b in "klmnopqrst")
+    for k in range(40):
+        once = " ".join(f"once{'abcdefghij'[k % 10]}{'klmn'[k // 10]}{a}{b}{c}" for a in "abcdefghij" for b in "abcdefghij" for c in "uvwxyzabcd")
+        enc.encode(pa.array([once] if k % 2 else [f"x {often}", once]))
+        assert enc.known.held < 500_000
+    calls = []
+    inner, enc.pieces = enc.pieces, type("Noted", (), {"encode_batch_fast": lambda self, texts, **o: calls.append(texts) or inner.encode_batch_fast(texts, **o)})()
+    enc.encode(pa.array([f"x {often}"]))
+    assert not calls
+
+
 def test_chunks_with_one_hash_stay_apart(library, monkeypatch):
     keyed = KnownChunks.keyed
 
